@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; with texts of some kB this keeps a batch at a few MB.
 BATCH_ROWS = "4000"
@@ -78,3 +79,8 @@ def columns_without(df: DataFrame, *taken: str) -> list[str]:
     """Columns of df whose names clash with none of those taken (case is ignored)."""
     low = {t.lower() for t in taken}
     return [c for c in df.columns if c.lower() not in low]
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """Schema of df followed by the columns of a DDL list."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

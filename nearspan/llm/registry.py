@@ -1,10 +1,15 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import sharding
+from . import bpe, langid, linededup, media, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_media": media.op4_media,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES = {
+    "op5_line_dedup": linededup.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
