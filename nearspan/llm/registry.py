@@ -1,13 +1,15 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, langid, linededup, media, sharding
+from . import bpe, brownlm, langid, linededup, media, neardup, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_lm_scoring": brownlm.op2_lm_scoring,
     "op3_bpe": bpe.op3_bpe,
     "op4_media": media.op4_media,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op9_sharding": sharding.op9_sharding,
+    "op10_near_dedup": neardup.op10_near_dedup,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
