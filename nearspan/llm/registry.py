@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, brownlm, langid, linededup, media, neardup, sharding
+from . import bpe, brownlm, decontam, langid, linededup, media, neardup, pii, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_media": media.op4_media,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
 }
