@@ -253,5 +253,31 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "
     return found
 
 
+def flag(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", out: str = "leak") -> DataFrame:
+    """docs with a boolean column: whether the text holds an item. Blocks of items follow one
+    another over the same rows, so nothing is shuffled."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    marked = docs.select(*kept).withColumn(out, F.lit(False))
+    for block in item_blocks(items, key, text):
+        index = segments(block)
+        if index is None:
+            continue
+        held = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, off = views(batch.column(kept.index("text")))
+                leak = batch.column(len(kept)).to_numpy(zero_copy_only=False).copy()
+                for a, b in chunks(off, SCAN_BYTES):
+                    for t, *_ in find(*fold(raw, off[a : b + 1]), held.value):
+                        leak[a + t] = True
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(leak, pa.bool_())], names=[*kept, out])
+
+        marked = marked.mapInArrow(run, marked.schema)
+    return marked
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

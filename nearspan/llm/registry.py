@@ -1,6 +1,8 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, brownlm, decontam, langid, linededup, media, neardup, pii, sharding
+import corpus_pipeline
+
+from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, neardup, pii, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,12 +10,16 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_media": media.op4_media,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_html_text": htmltext.op6_html_text,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
