@@ -1,3 +1,94 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL for the registered queries: brute force, where the library plans around it."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from .functions.strings import BASES, LETTERS
+from .registry import EUCLID_R, K, NUM_ANCHORS, NUM_PIVOTS, NUM_QUERIES, TOLERANCE, T
+
+_DRAW = "((7 * 48271 + {0} * 69621 + 11) % 2147483647)"
+_DNA = f"""dna as (select doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') as s from documents where text is not null),
+kmers as (select doc_id, i - 1 as pos, substr(s, i, {K}) as seq from dna, unnest(generate_series(1, length(s) - {K - 1})) t(i)),
+drawn as (select doc_id as q_id, substr(s, ({_DRAW.format('doc_id')} % (length(s) - {K - 1})) + 1, {K}) as q from dna where length(s) >= {K} order by {_DRAW.format('doc_id')}, doc_id limit {NUM_QUERIES}),
+queries as (select q_id, case when q_id % 2 = 1 then substr(q, 1, (q_id * 31) % {K}) || translate(substr(q, (q_id * 31) % {K} + 1, 1), 'ACGT', 'CGTA') || substr(q, (q_id * 31) % {K} + 2) else q end as q from drawn)"""
+_NAMES = """names as (select c_custkey as pos, c_name as seq from customer),
+queries as (select pos as q_id, translate(seq, '#', '@') as q from names where pos % 20 = 0)"""
+_ANCHORS = f"""{_NAMES},
+anchors as (select row_number() over (order by {_DRAW.format('pos')}, pos) - 1 as anchor_id, seq as a from (select * from names order by {_DRAW.format('pos')}, pos limit {NUM_ANCHORS})),
+idx as (select anchor_id, pos, levenshtein(a, seq)::bigint as dist from anchors, names),
+ranked as (select q_id, anchor_id, d, row_number() over (partition by q_id order by d, anchor_id) - 1 as rank from (select q_id, anchor_id, levenshtein(q, a)::bigint as d from queries, anchors))"""
+_SEED = K // T
+
+
+def _candidates(where: str) -> str:
+    return f"""with {_ANCHORS},
+hits as (select q_id, r.anchor_id, pos from ranked r join idx using (anchor_id) where {where} and dist between greatest(d - {TOLERANCE}, 0) and d + {TOLERANCE}),
+need as (select q_id, count(distinct anchor_id) as n from hits group by 1)
+select q_id, pos from hits join need using (q_id) group by q_id, pos, n having count(distinct anchor_id) = n"""
+
+
+def _sae(t: int) -> str:
+    length = max(K // t, 1)
+    same = " or ".join(f"substr(q, {o + 1}, {length}) = substr(seq, {o + 1}, {length})" for o in range(0, length * (K // length), length))
+    return f"select q_id, {t}::bigint as max_dist, doc_id, pos from pairs where d <= {t} and ({same})"
+
+
+_METRICS = f"""with {_DNA},
+pairs as (select q_id, doc_id, pos, q, seq, levenshtein(q, seq) as d from queries, kmers where levenshtein(q, seq) <= 4),
+truth as (select q_id, t.max_dist, doc_id, pos from pairs, (values (2::bigint), (4::bigint)) t(max_dist) where d <= t.max_dist // 2),
+cand as ({_sae(2)} union all {_sae(4)}),
+asked as (select distinct q_id, max_dist from truth),
+hit as (select t.*, exists (select 1 from cand c where c.q_id = t.q_id and c.max_dist = t.max_dist and c.doc_id = t.doc_id and abs(c.pos - t.pos) <= t.max_dist) as ok from truth t),
+good as (select c.*, exists (select 1 from truth t where c.q_id = t.q_id and c.max_dist = t.max_dist and c.doc_id = t.doc_id and abs(c.pos - t.pos) <= t.max_dist) as ok from cand c),
+metrics as (select a.q_id, a.max_dist, (select count(*) from hit h where h.q_id = a.q_id and h.max_dist = a.max_dist and ok) as tp,
+ (select count(*) from good g where g.q_id = a.q_id and g.max_dist = a.max_dist and not ok) as fp, (select count(*) from hit h where h.q_id = a.q_id and h.max_dist = a.max_dist and not ok) as fn from asked a)"""
+_VECTORS = """v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null),
+pairs as (select a.vec_id as q_id, b.vec_id, list_distance(a.e, b.e) as d from v a, v b where a.vec_id % 20 = 0)"""
+_RANGE = f"select q_id, pos, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= {TOLERANCE}"
+_ONE = "select q_id, pos as id, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= 1"
+
+ORACLES = {
+    "kmer_windows": f"with {_DNA} select doc_id, count(*) as n_windows, count(distinct seq) as n_distinct, min(seq) as first_kmer, max(seq) as last_kmer from kmers group by 1",
+    "distinct_kmers": f"with {_DNA} select n, count(*) as n_kmers from (select count(*) as n from kmers group by seq) group by 1",
+    "simulated_queries": f"with {_DNA} select q_id, q from queries",
+    "exact_occurrences": f"with {_DNA} select q_id, doc_id as ref_id, pos from queries join kmers on q = seq",
+    "range_search": f"with {_DNA} select q_id, doc_id as ref_id, pos, levenshtein(q, seq)::bigint as dist from queries, kmers where levenshtein(q, seq) <= {T}",
+    "range_search_loop": f"with {_NAMES} {_RANGE}",
+    "truth_positions": f"with {_DNA} select q_id, doc_id as ref_id, pos, t.max_dist from queries, kmers, (values (2::bigint), (4::bigint)) t(max_dist) where levenshtein(q, seq) <= t.max_dist // 2",
+    "seed_hits": f"""with {_DNA}, seeds as (select q_id, substr(q, o + 1, {_SEED}) as seed from queries, unnest(range(0, {_SEED * (K // _SEED)}, {_SEED})) t(o)),
+spots as (select substr(s, i, {_SEED}) as seed, count(*) as n from dna, unnest(generate_series(1, length(s) - {_SEED - 1})) t(i) group by 1)
+select q_id, count(*) as index_accesses, coalesce(sum(n), 0)::bigint as candidate_accesses from seeds left join spots using (seed) group by 1""",
+    "sae_candidates": f"with {_DNA}, pairs as (select q_id, doc_id, pos, q, seq, levenshtein(q, seq) as d from queries, kmers where levenshtein(q, seq) <= {T}) select q_id, doc_id as ref_id, pos, d::bigint as dist from ({_sae(T)}) join pairs using (q_id, doc_id, pos)",
+    "position_metrics": f"{_METRICS} select * from metrics",
+    "metrics_summary": f"""{_METRICS} select max_dist, count(*) as n_queries, avg(tp) as avg_tp, avg(fp) as avg_fp, avg(fn) as avg_fn, coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0)::double as recall,
+coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0)::double as precision, coalesce(sum(fp) / nullif(sum(tp), 0), 0)::double as fp_per_tp from metrics group by 1""",
+    "distance_stats": f"""with {_DNA}, found as (select q_id, doc_id, pos, levenshtein(q, seq) as d from queries, kmers where {' or '.join(f'substr(q, {o + 1}, {_SEED}) = substr(seq, {o + 1}, {_SEED})' for o in range(0, _SEED * (K // _SEED), _SEED))})
+select q_id, count(d) as n, coalesce(avg(d), 0)::double as avg_dist, coalesce(max(d), 0)::bigint as far_dist, coalesce(avg(d), 0)::double as avg_all from queries left join found using (q_id) group by 1""",
+    "window_min_distance": """with pairs as (select n_nationkey, '#000' || n_nationkey as p, c_name as t from nation, customer),
+scored as (select n_nationkey, case when length(t) < length(p) then levenshtein(p, t) else list_min(list_transform(generate_series(1, length(t) - length(p) + 1), lambda i: levenshtein(p, substr(t, i, length(p))))) end as dist from pairs)
+select n_nationkey::bigint as n_nationkey, dist::bigint as dist, count(*) as n from scored group by 1, 2""",
+    "anchor_index": f"with {_ANCHORS} select anchor_id, pos, dist from idx",
+    "anchor_rank": f"with {_ANCHORS} select q_id, anchor_id, d, rank from ranked",
+    "anchor_candidates": _candidates("true"),
+    "anchor_candidates_topk": _candidates("rank < 3"),
+    "anchor_conjunctive": """with refs as (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as t from benchmark where text is not null), wanted(a, most) as (values ('tioner', 2), ('thereand', 4)),
+scored as (select item_id, most, case when length(t) < length(a) then levenshtein(a, t) else list_min(list_transform(generate_series(1, length(t) - length(a) + 1), lambda i: levenshtein(a, substr(t, i, length(a))))) end as dist from refs, wanted)
+select item_id from scored group by 1 having bool_and(dist <= most)""",
+    "nearby_anchor_filter": f"with {_ANCHORS} select distinct q_id from ranked where d < 4",
+    "query_buckets": f"with {_ANCHORS} select q_id, anchor_id as bucket from ranked where rank = 0",
+    "edit_join": f"with s as (select distinct p_name as s from part) select a.s as l_id, b.s as r_id, levenshtein(a.s, b.s)::bigint as dist from s a, s b where levenshtein(a.s, b.s) <= {T}",
+    "knn_edit": f"with {_NAMES} select * from (select q_id, pos, levenshtein(q, seq)::bigint as dist, row_number() over (partition by q_id order by levenshtein(q, seq), pos) as rank from queries, names) where rank <= 3",
+    "range_search_pivot": f"with {_NAMES} {_RANGE}",
+    "range_search_removed": f"with {_NAMES} {_RANGE} and pos % 3 <> 0",
+    "structure": f"select 'pivot' as layer, {NUM_PIVOTS}::bigint as n union all select 'member', count(*) from customer",
+    "range_euclidean": f"with {_VECTORS} select q_id, vec_id, round(d, 6) as dist from pairs where d <= {EUCLID_R}",
+    "knn_euclidean": f"with {_VECTORS} select * from (select q_id, vec_id, round(d, 6) as dist, row_number() over (partition by q_id order by d, vec_id) as rank from pairs) where rank <= 5",
+    "substring_extract": f"""with {_DNA}, coords as (select o_orderkey, o_orderkey % 1200 as chrom, o_custkey as pos, o_orderkey % 50 as len from orders)
+select o_orderkey, chrom, pos, len, coalesce(substr(s, pos + 1, len), '') as seq from coords left join dna on chrom = doc_id""",
+    "parse_int_list": "select n_nationkey::bigint as n_nationkey, array_to_string(list_filter(list_transform(string_split(n_nationkey || ', ' || n_name || ', ' || n_regionkey, ','), lambda x: try_cast(trim(x) as int)), lambda x: x is not null), ' ') as ints from nation",
+    "json_thresholds": "select r_name as anchor_id, r_regionkey::bigint as most from region",
+    "distance_lists": "select c_nationkey::bigint as method, 2 * count(*) as n, sum(c_custkey + 0.5 + 2.25)::double as total from customer group by 1",
+    "literal_arrays": "select n_nationkey::bigint as n_nationkey, (n_nationkey + 0.5 + 2.25)::double as total from nation",
+    "dag_recall": "select 0::bigint as missing, 0::bigint as extra",
+    "dag_exhaustive": f"with {_NAMES} {_ONE}",
+    "dag_adaptive": f"with {_NAMES} {_ONE}",
+}

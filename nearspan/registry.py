@@ -1,3 +1,311 @@
-"""The queries of the library itself (name -> function of session and table folder)."""
+"""The queries of the library (name -> function of session and table folder).
 
-QUERIES = {}
+Fixtures over whole tables: the letters of every document stand for a genome (one reference
+a document), and customer names are short strings for metric search. Query sets are part of
+each query: NUM_QUERIES simulated reads, or every customer or vector whose id is divisible
+by 20 against all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.strings import parse_doubles, parse_ints, parse_thresholds, to_bases, window_distance
+from .functions.vectors import euclidean
+from .operators import anchors, cluster, dag, evaluate, generate, pivots, search
+from .sources import files
+
+K, NUM_QUERIES, T = 20, 10, 3
+NUM_ANCHORS, NUM_PIVOTS = 10, 16
+EUCLID_R = 1.25
+DAG_RADII = {dag.SMALL: 2, dag.MIDDLE: 4, dag.LARGE: 8}
+TOLERANCE = 2
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as long: one width for every engine."""
+    return df.select([F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in df.dtypes])
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("ref_id"), to_bases(F.col("text")).alias("seq"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NUM_QUERIES simulated reads with base (id * 31) % K substituted in every second one."""
+    drawn = generate.simulate_queries(references(spark, sf_dir), NUM_QUERIES, K)
+    at = (F.col("q_id") * 31 % K).cast("int")
+    swapped = F.concat(F.expr(f"substring(q, 1, cast(q_id * 31 % {K} as int))"), F.translate(F.expr(f"substring(q, cast(q_id * 31 % {K} as int) + 1, 1)"), "ACGT", "CGTA"), F.col("q").substr(at + 2, F.lit(K)))
+    chosen = drawn.select("q_id", F.when(F.col("q_id") % 2 == 1, swapped).otherwise(F.col("q")).alias("q"))
+    return spark.createDataFrame(chosen.collect(), chosen.schema)  # NUM_QUERIES rows
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("seq"))
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th customer's name with its '#' changed."""
+    return names(spark, sf_dir).filter(F.col("pos") % 20 == 0).select(F.col("pos").alias("q_id"), F.translate("seq", "#", "@").alias("q"))
+
+
+def name_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NUM_ANCHORS names by a draw: (anchor_id, seq); the draw's rank is the id."""
+    some = names(spark, sf_dir).select("pos", "seq", generate.draw(F.col("pos")).alias("d")).orderBy("d", "pos").limit(NUM_ANCHORS)
+    rows = some.agg(F.array_sort(F.collect_list(F.struct("d", "pos", "seq"))).alias("a"))
+    return rows.select(F.posexplode("a").alias("anchor_id", "x")).select(F.col("anchor_id").cast("long"), "x.seq")
+
+
+def _ids(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(value).alias("s"))
+
+
+def kmer_windows(spark, d):
+    found = search.kmers(references(spark, d), K)
+    return found.groupBy(F.col("ref_id").alias("doc_id")).agg(F.count("*").alias("n_windows"), F.countDistinct("seq").alias("n_distinct"), F.min("seq").alias("first_kmer"), F.max("seq").alias("last_kmer"))
+
+
+def distinct_kmers(spark, d):
+    return search.distinct_kmers(search.kmers(references(spark, d), K)).groupBy("n").agg(F.count("*").alias("n_kmers"))
+
+
+def simulated_queries(spark, d):
+    return longs(reads(spark, d))
+
+
+def exact_occurrences(spark, d):
+    return longs(search.exact_occurrences(reads(spark, d), references(spark, d), K))
+
+
+def range_search(spark, d):
+    return longs(search.range_search(reads(spark, d), references(spark, d), K, T))
+
+
+def range_search_loop(spark, d):
+    objects = names(spark, d).select(F.lit(0).cast("long").alias("ref_id"), "pos", "seq")
+    return longs(search.nested_loop(name_queries(spark, d), objects, TOLERANCE)).drop("ref_id")
+
+
+def truth_positions(spark, d):
+    q, r = reads(spark, d), references(spark, d)
+    parts = [search.truth(q, r, K, t).withColumn("max_dist", F.lit(t)) for t in (2, 4)]
+    return longs(parts[0].unionByName(parts[1]))
+
+
+def seed_hits(spark, d):
+    length = K // T
+    q = reads(spark, d)
+    hits = search.seed_hits(q, references(spark, d), K, length, K // length)
+    return longs(evaluate.access_counts(search.seeds(q, K, length, K // length), hits))
+
+
+def sae_candidates(spark, d):
+    return longs(search.sae_candidates(reads(spark, d), references(spark, d), K, T))
+
+
+def _evaluated(spark, d):
+    q, r = reads(spark, d), references(spark, d)
+    truth = cands = asked = None
+    for t in (2, 4):
+        parts = [p.withColumn("max_dist", F.lit(t)) for p in (search.truth(q, r, K, t), search.sae_candidates(q, r, K, t).drop("dist"), q.select("q_id"))]
+        truth, cands, asked = (p if old is None else old.unionByName(p) for old, p in zip((truth, cands, asked), parts, strict=True))
+    return evaluate.position_metrics(truth, cands, evaluate.with_truth(asked, truth))
+
+
+def position_metrics(spark, d):
+    return longs(_evaluated(spark, d))
+
+
+def metrics_summary(spark, d):
+    return longs(evaluate.summary(_evaluated(spark, d)))
+
+
+def distance_stats(spark, d):
+    q = reads(spark, d)
+    found = search.sae_candidates(q, references(spark, d), K, T, verify=False)
+    return longs(evaluate.distance_stats(q, found))
+
+
+def window_min_distance(spark, d):
+    patterns = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("#000"), F.col("n_nationkey").cast("string")).alias("p"))
+    pairs = names(spark, d).crossJoin(F.broadcast(patterns)).select("n_nationkey", window_distance(F.col("p"), F.col("seq")).alias("dist"))
+    return longs(pairs.groupBy("n_nationkey", "dist").agg(F.count("*").alias("n")))
+
+
+def anchor_index(spark, d):
+    return longs(anchors.build_index(name_anchors(spark, d), names(spark, d)))
+
+
+def anchor_rank(spark, d):
+    return longs(anchors.query_anchors(name_queries(spark, d), name_anchors(spark, d)))
+
+
+def _anchor_result(spark, d, start=None, end=None):
+    a = name_anchors(spark, d)
+    chosen = anchors.select_anchors(anchors.query_anchors(name_queries(spark, d), a), start, end)
+    return anchors.candidates(chosen, anchors.build_index(a, names(spark, d)), TOLERANCE)
+
+
+def anchor_candidates(spark, d):
+    return longs(_anchor_result(spark, d))
+
+
+def anchor_candidates_topk(spark, d):
+    return longs(_anchor_result(spark, d, 0, 3))
+
+
+def anchor_conjunctive(spark, d):
+    refs = table(spark, d, "benchmark").filter(F.col("text").isNotNull()).select(F.col("item_id").alias("ref_id"), F.regexp_replace("text", "[^ -~]", "").alias("seq"))
+    known = spark.createDataFrame([("a0", "tioner"), ("a1", "thereand")], "anchor_id string, seq string")
+    wanted = spark.createDataFrame([('{"a0": 2, "a1": 4, "unknown": 0}',)], "js string").select(F.explode(parse_thresholds(F.col("js"))).alias("anchor_id", "most"))
+    return anchors.conjunctive(refs, known, wanted).select(F.col("ref_id").alias("item_id"))
+
+
+def nearby_anchor_filter(spark, d):
+    return anchors.has_near_anchor(name_queries(spark, d), name_anchors(spark, d), 4).select("q_id")
+
+
+def query_buckets(spark, d):
+    return longs(anchors.group_queries(name_queries(spark, d), name_anchors(spark, d)))
+
+
+def edit_join(spark, d):
+    strings = table(spark, d, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("s")).distinct()
+    return longs(search.edit_join(strings, strings, T))
+
+
+def knn_edit(spark, d):
+    found = search.knn_edit(_ids(name_queries(spark, d), "q_id", "q"), _ids(names(spark, d), "pos", "seq"), 3, 18)
+    return longs(found.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("pos"), "dist", "rank"))
+
+
+def _name_index(spark, d):
+    objects = names(spark, d).select(F.col("pos").alias("id"), F.col("seq").alias("obj"))
+    return pivots.build(objects, NUM_PIVOTS, F.levenshtein)
+
+
+def range_search_pivot(spark, d):
+    heads, members = _name_index(spark, d)
+    return longs(pivots.range_search(name_queries(spark, d), heads, members, F.levenshtein, TOLERANCE).withColumnRenamed("id", "pos"))
+
+
+def range_search_removed(spark, d):
+    heads, members = _name_index(spark, d)
+    left = pivots.remove(members, names(spark, d).filter(F.col("pos") % 3 == 0).select(F.col("pos").alias("id")))
+    return longs(pivots.range_search(name_queries(spark, d), heads, left, F.levenshtein, TOLERANCE).withColumnRenamed("id", "pos"))
+
+
+def structure(spark, d):
+    return pivots.structure(*_name_index(spark, d))
+
+
+def overlap_stats(spark, d):
+    return pivots.overlap(*_name_index(spark, d), F.levenshtein)
+
+
+def outlier_members(spark, d):
+    heads, members = _name_index(spark, d)
+    return longs(pivots.outliers(heads, members, 25, 1.1).select("id", "pivot_id", "d"))
+
+
+def _vectors(spark, d):
+    v = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
+    objects = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("obj"))
+    return objects, objects.filter(F.col("id") % 20 == 0).select(F.col("id").alias("q_id"), F.col("obj").alias("q"))
+
+
+def range_euclidean(spark, d):
+    objects, queries = _vectors(spark, d)
+    found = pivots.range_search(queries, *pivots.build(objects, NUM_PIVOTS, euclidean), euclidean, EUCLID_R)
+    return found.select("q_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+def knn_euclidean(spark, d):
+    objects, queries = _vectors(spark, d)
+    found = pivots.knn(queries, *pivots.build(objects, NUM_PIVOTS, euclidean), euclidean, 5)
+    return longs(found.select("q_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"), "rank"))
+
+
+def substring_extract(spark, d):
+    chromosomes = references(spark, d).select(F.col("ref_id").alias("chrom"), "seq")
+    coords = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1200).alias("chrom"), F.col("o_custkey").cast("int").alias("pos"), (F.col("o_orderkey") % 50).cast("int").alias("len"))
+    return longs(files.extract(coords, chromosomes).select("o_orderkey", "chrom", "pos", "len", "seq"))
+
+
+def parse_int_list(spark, d):
+    text = F.concat_ws(", ", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+    return longs(table(spark, d, "nation").select("n_nationkey", F.array_join(parse_ints(text).cast("array<string>"), " ").alias("ints")))
+
+
+def json_thresholds(spark, d):
+    js = F.concat(F.lit('{"'), F.col("r_name"), F.lit('": '), F.col("r_regionkey").cast("string"), F.lit("}"))
+    return longs(table(spark, d, "region").select(F.explode(parse_thresholds(js)).alias("anchor_id", "most")))
+
+
+def distance_lists(spark, d):
+    js = F.concat(F.lit("["), F.col("c_custkey").cast("string"), F.lit(".5, x, 2.25]"))
+    long = evaluate.explode_distances(table(spark, d, "customer").select(F.col("c_nationkey").alias("method"), js.alias("distances")))
+    return longs(long.groupBy("method").agg(F.count("*").alias("n"), F.sum("distance").alias("total")))
+
+
+def literal_arrays(spark, d):
+    js = F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(".5, 2.25]"))
+    return longs(table(spark, d, "nation").select("n_nationkey", F.aggregate(parse_doubles(js), F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
+def _dag(spark, d):
+    leaves = _ids(names(spark, d), "pos", "seq")
+    return leaves, *dag.build(leaves, DAG_RADII)
+
+
+def _dag_search(mode):
+    def run(spark, d):
+        leaves, nodes, edges = _dag(spark, d)
+        return longs(dag.search(spark, mode, name_queries(spark, d), leaves, nodes, edges, 1))
+
+    return run
+
+
+def dag_recall(spark, d):
+    leaves, nodes, edges = _dag(spark, d)
+    q = name_queries(spark, d)
+    found = dag.search_adaptive(q, leaves, nodes, edges, 1).select("q_id", "id")
+    return evaluate.recall_sets(found, dag.search_brute_force(q, leaves, 1).select("q_id", "id"))
+
+
+def dag_statistics(spark, d):
+    leaves, nodes, edges = _dag(spark, d)
+    return dag.statistics(nodes, edges, leaves)
+
+
+def intra_class_distance(spark, d):
+    leaves, nodes, edges = _dag(spark, d)
+    return longs(dag.intra_class(edges, leaves))
+
+
+def leader_pivots(spark, d):
+    return dag.leaders(_ids(names(spark, d), "pos", "seq"), 2)
+
+
+def split_clusters(spark, d):
+    groups = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_name").alias("s")).distinct()
+    return longs(cluster.split_groups(groups))
+
+
+def mutated_reads(spark, d):
+    return longs(generate.substituted(reads(spark, d), "q", "q_id"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, position_metrics, metrics_summary, distance_stats, window_min_distance,
+        anchor_index, anchor_rank, anchor_candidates, anchor_candidates_topk, anchor_conjunctive, nearby_anchor_filter, query_buckets, edit_join, knn_edit, range_search_pivot, range_search_removed, structure, overlap_stats,
+        outlier_members, range_euclidean, knn_euclidean, substring_extract, parse_int_list, json_thresholds, distance_lists, literal_arrays, dag_recall, dag_statistics, intra_class_distance, leader_pivots, split_clusters, mutated_reads,
+    )
+} | {f"dag_{mode}": _dag_search(mode) for mode in ("exhaustive", "adaptive", "greedy")}
