@@ -72,7 +72,7 @@ def repeated_bits(docs: DataFrame, bits: int) -> np.ndarray:
             places_, n = np.unique(every, return_counts=True)
             part, at = places_ // CHUNK_BITS, (places_ % CHUNK_BITS).astype(np.uint32)
             bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-            ends = np.r_[bounds[1:], len(part)]
+            ends = np.r_[bounds[1:], len(part)] if len(part) else bounds
             return pa.RecordBatch.from_arrays([pa.array(part[bounds], pa.int64()), pa.array([at[i:j].tobytes() for i, j in zip(bounds, ends, strict=True)], pa.binary()), pa.array([at[i:j][n[i:j] > 1].tobytes() for i, j in zip(bounds, ends, strict=True)], pa.binary())], names=["part", "once", "twice"])
 
         for batch in batches:
