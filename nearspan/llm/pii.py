@@ -255,10 +255,14 @@ def _marked(column) -> list[int]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """A field from at most `sample` documents with a digit or an at sign."""
-    draw = F.xxhash64("text", F.lit(5))
-    some = docs.filter(F.col("text").rlike("[0-9@]")).select("text", draw.alias("draw"))
-    # Ordered by a hash: each task sends its least rows only. Nodes, not texts, are kept.
-    few = some.orderBy("draw", "text").limit(sample)
+    draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30))
+    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text", draw.alias("draw"))
+    n = marked.count()
+    if not n:
+        return None
+    # About twice the sample passes the hash, whatever the size of the table, and is ordered
+    # by it. Nodes, not texts, are kept.
+    few = marked.filter(F.col("draw") < int(min(1, (2 * sample + 50) / n) * (1 << 30))).orderBy("draw", "text").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
