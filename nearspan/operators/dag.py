@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import materialise
-from .search import edit_join
+from .search import edit_join, small
 
 SMALL, MIDDLE, LARGE = 1, 2, 3
 #: Ball radii of the three layers.
@@ -61,9 +61,9 @@ def build(leaves: DataFrame, radii: dict[int, int] = RADII) -> tuple[DataFrame,
     A leaf is in every small ball that covers it. A ball has as parents all balls above it
     that it meets; a ball that lies in none of them gets a parent with its own center, so
     that every ball is inside one parent."""
-    small = materialise(leaders(leaves, radii[SMALL]), "small")
-    layers, edges = {SMALL: small}, []
-    into = _pairs(leaves, small, radii[SMALL]).select(F.lit(SMALL).alias("layer"), F.col("r_id").alias("parent"), F.col("l_id").alias("child"))
+    first = materialise(leaders(leaves, radii[SMALL]), "centers")
+    layers, edges = {SMALL: first}, []
+    into = _pairs(leaves, first, radii[SMALL]).select(F.lit(SMALL).alias("layer"), F.col("r_id").alias("parent"), F.col("l_id").alias("child"))
     edges.append(into)
     for low, high in ((SMALL, MIDDLE), (MIDDLE, LARGE)):
         centers = layers[low]
@@ -105,7 +105,7 @@ def _descend(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, layer: int
 
 
 def _roots(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    top = F.broadcast(nodes.filter(F.col("layer") == LARGE).limit(100_000))
+    top = small(nodes.filter(F.col("layer") == LARGE))
     return queries.crossJoin(top).select("q_id", "q", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("parent"), F.col("node_id").alias("child"), "center", "radius")
 
 
@@ -179,9 +179,8 @@ def statistics(nodes: DataFrame, edges: DataFrame, leaves: DataFrame) -> DataFra
 
 
 def intra_class(edges: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(parent, n, least, mean, most) of distances between leaves of one small ball. Within a
-    ball distances are at most twice its radius, so an edit join over distinct strings gives
-    them; pairs of one ball are then looked up."""
+    """(parent, n, least, mean, most) of the distances between any two leaves of a small ball:
+    a report on an index that compares what lies within one ball, and nothing across balls."""
     own = edges.filter(F.col("layer") == SMALL).select("parent", F.col("child").alias("id")).join(leaves, "id")
     a, b = own.select("parent", F.col("id").alias("a"), F.col("s").alias("sa")), own.select("parent", F.col("id").alias("b"), F.col("s").alias("sb"))
     d = a.join(b, "parent").filter("a < b").withColumn("d", F.levenshtein("sa", "sb"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .search import nearest, small
 
@@ -76,12 +77,17 @@ def range_search(queries: DataFrame, pivots: DataFrame, members: DataFrame, metr
 
 
 def knn(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, k: int) -> DataFrame:
-    """k nearest members of each query. The k-th least of d(q, center) + d(member, center)
-    bounds the k-th distance, so only members below that bound are compared."""
-    near = queries.crossJoin(small(pivots)).select("q_id", "q", "pivot_id", metric(F.col("q"), F.col("center")).alias("dq"))
-    pairs = near.join(members, "pivot_id").select("q_id", "q", "id", "obj", (F.col("dq") + F.col("d")).alias("dist"), F.abs(F.col("dq") - F.col("d")).alias("low"))
-    bound = nearest(pairs.select("q_id", "id", "dist"), k, "q_id", "id").groupBy("q_id").agg(F.max("dist").alias("bound"))
-    rest = pairs.join(bound, "q_id").filter(F.col("low") <= F.col("bound") + 1e-9)
+    """k nearest members of each query. Balls in the order of d(q, center) + radius that hold k
+    members bound the k-th distance; balls and members beyond the bound are left out, as in a
+    range search."""
+    counted = pivots.drop("n").join(members.groupBy("pivot_id").agg(F.count("*").alias("n")), "pivot_id")
+    near = queries.crossJoin(small(counted)).select("q_id", "q", "pivot_id", "radius", "n", metric(F.col("q"), F.col("center")).alias("dq"))
+    reach = F.col("dq") + F.col("radius")
+    held = F.sum("n").over(Window.partitionBy("q_id").orderBy(reach, "pivot_id"))
+    near = near.withColumn("_held", held)
+    bound = F.min(F.when(F.col("_held") >= k, reach)).over(Window.partitionBy("q_id"))
+    near = near.withColumn("_bound", F.coalesce(bound, F.lit(float("inf"))) + 1e-9).filter(F.col("dq") - F.col("radius") <= F.col("_bound"))
+    rest = near.select("q_id", "q", "pivot_id", "dq", "_bound").join(members, "pivot_id").filter(F.abs(F.col("dq") - F.col("d")) <= F.col("_bound"))
     return nearest(rest.select("q_id", "id", metric(F.col("q"), F.col("obj")).alias("dist")), k, "q_id", "id")
 
 

@@ -92,9 +92,8 @@ def range_search(queries: DataFrame, refs: DataFrame, k: int, t: int) -> DataFra
 
 
 def nested_loop(queries: DataFrame, found: DataFrame, t: int) -> DataFrame:
-    """The same over k-mers by comparing every pair: the baseline, for query sets of a
-    checked size."""
-    pairs = found.join(F.broadcast(queries.limit(BROADCAST_ROWS)), F.levenshtein(F.col("q"), F.col("seq"), t) >= 0)
+    """The same over k-mers by comparing every pair: the baseline, for small query sets."""
+    pairs = found.join(small(queries), F.levenshtein(F.col("q"), F.col("seq"), t) >= 0)
     return pairs.select("q_id", "ref_id", "pos", F.levenshtein("q", "seq").alias("dist"))
 
 
