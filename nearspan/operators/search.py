@@ -33,7 +33,12 @@ def pages(refs: DataFrame, reach: int, ahead: int) -> DataFrame:
     n = F.length("seq")
     cut = refs.filter(n > 0).select("ref_id", n.cast("int").alias("ref_len"), "seq", F.explode(F.sequence(F.lit(0), n - 1, F.lit(PAGE))).alias("base"))
     left = F.greatest(F.col("base") - reach, F.lit(0))
-    return spread(cut.select("ref_id", "ref_len", "base", left.alias("left"), F.col("seq").substr(left + 1, F.lit(PAGE + ahead) + F.col("base") - left).alias("part")))
+    at, size = left + 1, F.lit(PAGE + ahead) + F.col("base") - left
+    # Bytes are found by address, characters by walking there: with one byte a character, as
+    # in any genome, pages of a long sequence are cut in linear time.
+    one_byte = F.octet_length("seq") == F.col("ref_len")
+    part = F.when(one_byte, F.col("seq").cast("binary").substr(at, size).cast("string")).otherwise(F.col("seq").substr(at, size))
+    return spread(cut.select("ref_id", "ref_len", "base", left.alias("left"), part.alias("part")))
 
 
 def places(paged: DataFrame, width: int) -> DataFrame:

@@ -106,6 +106,14 @@ def test_edit_join_equals_brute_force(spark, t):
     assert {tuple(r) for r in search.edit_join(df, df, t).collect()} == want
 
 
+def test_pages_of_wide_characters(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAGE", 5)
+    for seq in ("ACGTACGTTTGAC", "äöACé日GTACGTTT"):
+        refs = spark.createDataFrame([(0, seq)], "ref_id long, seq string")
+        got = {(r["pos"], r["seq"]) for r in search.kmers(refs, 4).collect()}
+        assert got == {(i, seq[i : i + 4]) for i in range(len(seq) - 3)}
+
+
 def points(spark):
     rows = [(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0, 2.0]), (3, [5.0, 5.0]), (4, [10.0, 10.0])]
     return spark.createDataFrame(rows, "id long, obj array<double>"), spark.createDataFrame([(0, [1.5, 1.5])], "q_id long, q array<double>")
