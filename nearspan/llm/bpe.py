@@ -33,7 +33,7 @@ from .common import small_batches, table, with_fields
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces remembered by one Python worker; the store is emptied beyond it (memory only).
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -66,7 +66,7 @@ class Tokenizer:
         self._index(keys, np.array(result, np.int32))
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
 
     def _index(self, keys: np.ndarray, result: np.ndarray) -> None:
         """Open addressing over 2^19 slots: slot -> rank, found by whole-array probes."""
@@ -181,10 +181,9 @@ class Tokenizer:
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are not known: its ids as text, and those ids decoded."""
         new = list(pieces)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
         for piece, ids in zip(new, self.merge([p.encode() for p in new]), strict=True):
-            self.known[piece] = (",".join(map(str, ids)), self.decode_bytes(ids))
+            text = self.decode(ids)  # a piece is made of whole characters, so it decodes alone
+            self.known[piece] = (",".join(map(str, ids)), piece if text == piece else text)
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -201,8 +200,8 @@ class Tokenizer:
             out += [part] if part in self.added else self.pattern.findall(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """For each text: number of ids, the ids as decimal text, the bytes they decode to."""
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of ids, the ids as decimal text, the text they decode to."""
         cut, at = [], 0
         while at < len(texts):
             size = 0
@@ -212,19 +211,19 @@ class Tokenizer:
                 size += len(texts[at])
                 at += 1
             for s, i in self.added.items():
-                self.known[s] = (str(i), s.encode())
+                self.known[s] = (str(i), s)
             wanted = {p for pieces in cut for p in pieces}
             new = wanted - self.known.keys()
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                self.known.update({s: (str(i), s.encode()) for s, i in self.added.items()})
+                self.known.update({s: (str(i), s) for s, i in self.added.items()})
                 new = wanted - self.known.keys()
             self.learn(new)
             get = self.known.__getitem__
             for pieces in cut:
                 pairs = list(map(get, pieces))
                 ids = ",".join([p[0] for p in pairs])
-                yield (ids.count(",") + 1 if ids else 0), ids, b"".join([p[1] for p in pairs])
+                yield (ids.count(",") + 1 if ids else 0), ids, "".join([p[1] for p in pairs])
 
     def encode(self, text: str) -> list[int]:
         ((_, ids, _),) = self.encode_batch([text])
@@ -256,7 +255,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             made = list(tok.encode_batch(texts))
             columns = [
                 pa.array([np.array(s.split(","), np.int32) if s else np.zeros(0, np.int32) for _, s, _ in made], pa.list_(pa.int32())),
-                pa.array([b.decode("utf-8", "replace") for _, _, b in made], pa.string()),
+                pa.array([x for _, _, x in made], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, ids, decoded])
 
@@ -274,10 +273,10 @@ def digests(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             n, ids, decoded = [], [], []
-            for count, s, raw in tok.encode_batch(texts):
+            for count, s, back in tok.encode_batch(texts):
                 n.append(count)
                 ids.append(hashlib.sha256(s.encode()).hexdigest())
-                decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
             made = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..sources.tables import materialise, shared_dir
+
+__all__ = ["chunks", "columns_without", "materialise", "shared_dir", "small_batches", "table", "views", "with_fields"]
+
 #: Rows in one Arrow batch; with texts of some kB this keeps a batch at a few MB.
 BATCH_ROWS = "4000"
 BATCH_BYTES = "8m"
 #: Bytes of text that the numpy kernels work on at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in local tests, a folder of this machine is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="nearspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: the lineage ends there,
-    so a lost executor costs a reread and no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearspan-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches by rows and bytes before a plan with Python functions is made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
