@@ -2,16 +2,13 @@
 
 A payload is stored as an 8-bit greyscale PNG, 64 samples a row, in a tar file in the
 folder that driver and executors share. A member is named by the SHA-256 of its payload and
-stored once in a shard; a row carries digest, shard, offset and length. The header-only pass
-reads 33 bytes (signature and IHDR) of each member to fill width, height and depth; the full
-pass reads a member's range, checks it against the digest and computes features.
+stored once; a row carries digest, shard, offset and length. The header-only pass reads 33
+bytes (signature and IHDR) of each member to fill width, height and depth; the full pass
+reads a member's range, checks it against the digest and computes features.
 
 A shard is written under a name of its own and renamed when it is whole, so a task that runs
 again after a lost executor leaves no half-written file that an index row points to.
 
-Cost: rows of one input partition share shards, so texts are not shuffled; equal payloads of
-different shards are stored once in each (their columns are equal all the same).
-
 Defined results: a null text is an empty one; an empty text is one row of 64 zero bytes;
 repeated rows share a member; ties cannot arise; an empty table writes no shard.
 """
@@ -28,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, small_batches, table, with_fields
@@ -38,6 +35,9 @@ WIDTH = 64
 SHARD_BYTES = 32 << 20
 #: Level of the PNG's deflate stream: fixed, so that equal payloads have equal files.
 LEVEL = 4
+#: Bits of the filter of repeated digests at most (the bound of what is broadcast), and of one
+#: part of it while it is gathered.
+FILTER_BITS, PART_BITS = 1 << 30, 1 << 16
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
@@ -131,47 +131,100 @@ class ShardWriter:
             self.out = None
 
 
-def store(rows: DataFrame, folder: str, key: list[str], text: str = "text") -> DataFrame:
-    """Writes each row's padded text into tar shards under folder; returns the index: the
-    columns `key` with n_bytes, payload_bytes, digest, shard, offset and length. The index is
-    a table in the shared folder."""
-    small_batches(rows.sparkSession)
-    source = rows.select(*key, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_raw"))
+def payload_digest(text: str = "text") -> Column:
+    """SHA-256 of a row's padded payload, as `pad` makes it."""
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    size = F.greatest(F.ceil(F.octet_length(raw) / WIDTH), F.lit(1)) * WIDTH
+    return F.sha2(F.rpad(raw, size.cast("int"), F.lit(b"\0")), 256)
+
+
+def _place(digest: str, bits: int) -> int:
+    return int(digest[:15], 16) & (bits - 1)
+
+
+def repeated(digests: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the digests of more than one row, as packed bits, and its size in bits (32
+    for each such digest, FILTER_BITS at most). It has all of them and a few others."""
+    often = digests.groupBy("digest").count().filter(F.col("count") > 1)
+    bits = 1 << 16
+    n = often.count()
+    while bits < 32 * n and bits < FILTER_BITS:
+        bits *= 2
+    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").bitwiseAND(bits - 1)
+    # A row has PART_BITS places at most.
+    parts = often.select(place.alias("p")).groupBy(F.floor(F.col("p") / PART_BITS).alias("part")).agg(F.collect_set((F.col("p") % PART_BITS).cast("int")).alias("at"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        at = np.array(r["at"], np.int64) + r["part"] * PART_BITS
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out, bits
+
+
+def _write(source: DataFrame, folder: str, key: list[str], skip: tuple[bytes, int] | None) -> DataFrame:
+    """Stores the payloads of (key..., digest, _raw) and returns their index, as a table.
+    Rows in the filter `skip` are listed without a place."""
+    small_batches(source.sparkSession)
     schema = with_fields(source.select(*key), "n_bytes long, payload_bytes long, digest string, shard string, offset long, length long")
+    held = source.sparkSession.sparkContext.broadcast(skip)  # FILTER_BITS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, held = ShardWriter(folder), []
+        writer, ready, later = ShardWriter(folder), [], held.value
         for batch in batches:
             made = []
-            for raw in batch.column(len(key)).to_pylist():
-                payload = pad(raw)
-                digest = hashlib.sha256(payload).hexdigest()
-                place = writer.place(digest) or writer.append(digest, to_png(payload))
+            for digest, raw in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True):
+                payload, place = pad(raw), (None, None, None)
+                if later is None or not later[0][(p := _place(digest, later[1])) >> 3] >> (p & 7) & 1:
+                    place = writer.place(digest) or writer.append(digest, to_png(payload))
                 made.append((len(raw), len(payload), digest, *place))
             n, m, d, s, o, k = zip(*made, strict=True) if made else [()] * 6
             columns = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(d, pa.string()), pa.array(s, pa.string()), pa.array(o, pa.int64()), pa.array(k, pa.int64())]
-            held.append(pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *columns], names=schema.fieldNames()))
+            ready.append(pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *columns], names=schema.fieldNames()))
             if writer.full():
                 writer.close()  # index rows leave only after their shard is in place
-                yield from held
-                held = []
+                yield from ready
+                ready = []
         writer.close()
-        yield from held
+        yield from ready
 
     return materialise(source.mapInArrow(run, schema), "media-index")
 
 
+def store(rows: DataFrame, folder: str, key: list[str], text: str = "text") -> DataFrame:
+    """Stores each row's padded text once in tar shards under folder; returns the index: the
+    columns `key` with n_bytes, payload_bytes, digest, shard, offset and length.
+
+    A payload that only one row has is written by the task that reads it. Those that may
+    repeat, by a filter over all digests, are combined by digest before they are shuffled,
+    and then written."""
+    source = rows.select(*key, payload_digest(text).alias("digest"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_raw"))
+    bits, size = repeated(source.select("digest"))
+    index = _write(source, folder, key, (bits.tobytes(), size))
+    held = rows.sparkSession.sparkContext.broadcast((bits.tobytes(), size))
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = held.value
+        for batch in batches:
+            yield batch.filter(pa.array([bool(own[(p := _place(d, n)) >> 3] >> (p & 7) & 1) for d in batch.column(0).to_pylist()], pa.bool_()))
+
+    again = source.select("digest", "_raw").mapInArrow(suspects, "digest string, _raw binary").groupBy("digest").agg(F.first("_raw").alias("_raw"))
+    shared = _write(again, folder, [], None).select("digest", "shard", "offset", "length")
+    first, late = index.filter(F.col("shard").isNotNull()), index.filter(F.col("shard").isNull()).drop("shard", "offset", "length")
+    return first.unionByName(late.join(shared, "digest").select(*first.columns))
+
+
 class RangeReader:
-    """Reads ranges of shards; keeps the last file open."""
+    """Reads ranges of shards; keeps the files open that it used last."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, most: int = 32):
         self.store, _ = fs.FileSystem.from_uri(folder)
-        self.name, self.file = None, None
+        self.files, self.most = {}, most
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
-        if shard != self.name:
-            self.name, self.file = shard, self.store.open_input_file(shard)
-        return self.file.read_at(length, offset)
+        file = self.files.pop(shard, None) or self.store.open_input_file(shard)
+        self.files[shard] = file  # now the newest
+        if len(self.files) > self.most:
+            self.files.pop(next(iter(self.files))).close()
+        return file.read_at(length, offset)
 
 
 def headers(index: DataFrame, folder: str) -> DataFrame:
@@ -189,10 +242,9 @@ def headers(index: DataFrame, folder: str) -> DataFrame:
 
 
 def load(index: DataFrame, folder: str) -> DataFrame:
-    """The index with media, payload and feature columns reduced to digests, read back from
-    the shards in one range read a row: payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature. The header's columns come from the same bytes."""
-    schema = with_fields(index, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
+    """The index with what a full read of each member gives: payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature. A payload that does not have its digest is an error."""
+    schema = with_fields(index, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader(folder)
@@ -204,9 +256,8 @@ def load(index: DataFrame, folder: str) -> DataFrame:
                 got = hashlib.sha256(payload).hexdigest()
                 if got != digest:
                     raise ValueError(f"{shard} at {offset}: payload does not have its digest")
-                width, height, _ = read_header(media[:HEADER_BYTES])
-                made.append((got, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+                made.append((got, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
@@ -216,4 +267,5 @@ def load(index: DataFrame, folder: str) -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     index = store(table(spark, sf_dir, "documents"), folder, ["doc_id"])
-    return load(index, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    full = load(headers(index, folder), folder)
+    return full.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -63,6 +63,15 @@ def walk_length(n: int) -> int:
     return steps
 
 
+def locate(row_number: int, n: int, shards: int = SHARDS) -> tuple[int, int]:
+    """Shard and slot of one row number below n, without any table."""
+    a, b = grid(n)
+    x = int(permute_values(np.array([row_number], np.int64), a, b)[0])
+    while x >= n:
+        x = int(permute_values(np.array([x], np.int64), a, b)[0])
+    return x % shards, x // shards
+
+
 def with_permutation(df: DataFrame, number: str, n: int, out: str) -> DataFrame:
     """Adds the permuted row number; one projection a round, so that Catalyst keeps each
     round's value as a column and the code stays small."""

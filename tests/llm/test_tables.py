@@ -24,7 +24,7 @@ def oracle(sql, rows):
 def test_media_round_trip(spark, docs, clash, none, rows):
     folder = f"{shared_dir(spark)}/media-test"
     index = media.store(clash, folder, ["doc_id", "text", "shard"][:2])
-    got = media.load(index, folder).collect()
+    got = media.load(media.headers(index, folder), folder).collect()
     assert len(got) == len(rows)
     for r in got:
         payload = media.pad((r["text"] or "").encode())
@@ -34,6 +34,8 @@ def test_media_round_trip(spark, docs, clash, none, rows):
         assert (r["width"], r["height"]) == (64, len(payload) // 64)
     assert len({(r["text"] or "", r["media_sha256"], r["feature"]) for r in got}) == len({r["text"] or "" for r in got})
     assert {tuple(r) for r in media.headers(index, folder).select("width", "depth").collect()} == {(64, 8)}
+    places = {(r["digest"], r["shard"], r["offset"]) for r in got}
+    assert len(places) == len({d for d, _, _ in places}) == len({media.pad((r["text"] or "").encode()) for r in got})
     one = got[0]
     with tarfile.open(one["shard"]) as tar:
         member = tar.getmember(f"{one['digest']}.png")
@@ -96,6 +98,8 @@ def test_sharding_law_and_sql(docs, clash, none, rows):
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 24
     for _, part in got.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+    for r in got.itertuples():
+        assert sharding.locate(r.row_number, len(rows)) == (r.shard, r.slot)
     want = oracle(sharding.ORACLE, rows)
     columns = ["size", "text_crc32", "shard", "slot", "row_number", "position"]
     assert Counter(map(tuple, got[columns].astype(int).values.tolist())) == Counter(map(tuple, want[columns].astype(int).values.tolist()))
