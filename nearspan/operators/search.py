@@ -15,7 +15,7 @@ from ..sources.tables import spread
 
 BROADCAST_ROWS = 100_000
 #: Positions in one page of a reference.
-PAGE = 2048
+PAGE = 512
 #: Radius from which segments are too short to help, and strings that a loop may then hold.
 LOOP_RADIUS, LOOP_ROWS = 4, 20_000
 

@@ -15,6 +15,7 @@ from .functions.strings import parse_doubles, parse_ints, parse_thresholds, to_b
 from .functions.vectors import euclidean
 from .operators import anchors, cluster, dag, evaluate, generate, pivots, search
 from .sources import files
+from .sources.tables import spread
 
 K, NUM_QUERIES, T = 20, 10, 3
 NUM_ANCHORS, NUM_PIVOTS = 10, 16
@@ -33,7 +34,7 @@ def longs(df: DataFrame) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("ref_id"), to_bases(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")).select(F.col("doc_id").alias("ref_id"), to_bases(F.col("text")).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
