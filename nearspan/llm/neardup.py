@@ -10,8 +10,8 @@ Registers are cut into BANDS bands of ROWS; texts that agree in a band are candi
 bucket every text is linked to a few pivots (the least digest, and the least under other
 orders), never all pairs; each link is verified by exact J_P on the whole texts, and verified
 links are joined into classes by label propagation with pointer jumping. A second pass takes
-the buckets that still hold texts of several classes: small ones test every pair across
-classes, larger ones are cut by further bands and go through pivots again.
+the buckets that still hold texts of several classes and tests every pair across classes:
+small ones as links, larger ones in tiles of bounded size, so no candidate stays untested.
 
 Equal texts share one node from the start, so copies cost one row each. Tables between the
 passes are written to the shared folder, which ends their lineage.
@@ -38,8 +38,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 PIVOTS = 3
-#: Second pass: buckets up to this many texts test all pairs across classes.
+#: Second pass: buckets up to this many texts list their pairs, larger ones are tiled.
 SMALL_BUCKET = 24
+#: Bytes of text of one side of a tile; a text counts as LEAST_BYTES at least.
+TILE_BYTES, LEAST_BYTES = 2 << 20, 4 << 10
 #: Members verified against one copy of their pivot's text.
 GROUP = 256
 
@@ -257,20 +259,115 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def rest_links(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Untested links across classes in buckets that still hold several classes. Small buckets
-    give all pairs. A larger one, as of texts that share one passage, is cut into the texts
-    that also agree in one of the next two bands: similar texts agree in many bands, others
-    hardly ever in two; each part goes through pivots again."""
-    classed = buckets.join(labels, "node", "left").select("bucket", "next", "node", F.coalesce("label", "node").alias("label"))
-    mixed = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("bucket", "n")
-    rest = materialise(classed.join(mixed, "bucket"), "rest")
+def rest_links(rest: DataFrame) -> DataFrame:
+    """All links across classes of small buckets; rest: (bucket, n, main, band, node, label)."""
     small = rest.filter(F.col("n") <= SMALL_BUCKET)
     ends = small.groupBy("bucket").agg(F.collect_list(F.struct("node", "label")).alias("all"))  # SMALL_BUCKET entries at most
     across = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & (x["label"] != y["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    pairs = ends.select(F.explode(across).alias("p")).select("p.a", "p.b")
-    parts = rest.filter(F.col("n") > SMALL_BUCKET).select(F.explode(F.transform("next", lambda k: F.xxhash64("bucket", k))).alias("bucket"), "node", "label")
-    return _links(pairs).union(star_links(parts, PIVOTS, 100)).distinct()
+    return _links(ends.select(F.explode(across).alias("p")).select("p.a", "p.b"))
+
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, n, main, band, node, label) of the buckets that hold several classes: their
+    texts, how many, and the class with the most of them."""
+    classed = buckets.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+    each = classed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "label"))["label"].alias("main")).filter(F.col("k") > 1)
+    return materialise(classed.join(mixed.drop("k"), "bucket"), "rest")
+
+
+def tiles(large: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (bucket, u, v, kind, band, node, label, bands, text) whose groups (bucket, u, v)
+    hold every pair across classes of large mixed buckets. The texts outside the bucket's
+    main class are dealt into parts u, and meet each other's parts and those of the main
+    class: two texts of the main class never have to meet, so a bucket of one large class and
+    few others costs a row a text. kind 0 is the side that is held, kind 1 the one that runs."""
+    full = large.join(texts, "node").join(nodes.select("node", "bands"), "node").withColumn("outside", F.col("label") != F.col("main"))
+    weight = F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES))
+    part = lambda side: F.ceil(F.sum(F.when(side, weight).otherwise(0)) / TILE_BYTES).cast("int")
+    sizes = full.groupBy("bucket").agg(part(F.col("outside")).alias("out"), part(~F.col("outside")).alias("in"))
+    dealt = full.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("in"))).cast("int"))
+    at = lambda u, v, kind: F.struct(u.alias("u"), v.alias("v"), F.lit(kind).alias("kind"))
+    held = F.transform(F.sequence("own", F.col("out") + F.col("in") - 1), lambda v: at(F.col("own"), v, 0))
+    met = F.transform(F.sequence(F.lit(0), "own"), lambda u: at(u, F.col("own"), 1))
+    runs = F.transform(F.sequence(F.lit(0), F.col("out") - 1), lambda u: at(u, F.col("out") + F.col("own"), 1))
+    placed = dealt.withColumn("t", F.explode(F.when(F.col("outside"), F.concat(held, met)).otherwise(runs)))
+    return placed.select("bucket", "t.u", "t.v", "t.kind", "band", "node", "label", "bands", "text")
+
+
+class Held:
+    """The held side of a tile: postings of its shingles, to meet one text after another."""
+
+    def __init__(self, rows: list[tuple]):
+        self.nodes, self.labels, bands, self.sets = zip(*rows, strict=True)
+        self.bands = np.array(bands)
+        self.size = np.array([len(ids) for ids, _ in self.sets])
+        self.total = np.array([w.sum() for _, w in self.sets])
+        self.plain = self.total == self.size  # every count is 1
+        ids = np.concatenate([ids for ids, _ in self.sets])
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.weight = np.concatenate([w for _, w in self.sets])[order]
+        self.owner = np.repeat(np.arange(len(rows)), self.size)[order]
+
+    def meet(self, bands: np.ndarray, band: int, other: np.ndarray, own: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, float]]:
+        """(index, J_P) of the held texts of `other` with J_P of at least threshold whose first
+        common band is this one: a pair is tested in one bucket only."""
+        other = other & ~(self.bands[:, :band] == bands[:band]).any(1)
+        if not other.any():
+            return []
+        ids, weight = own
+        lo, hi = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        n = hi - lo
+        hit = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        owner, total = self.owner[hit], weight.sum()
+        # J_P is the chance that two draws, one of each distribution, agree: it is at most the
+        # mass that both share.
+        mass = np.bincount(owner, np.minimum(self.weight[hit] / self.total[owner], np.repeat(weight, n) / total), len(self.size))
+        likely = other & (mass >= threshold - 1e-9)
+        if not likely.any():
+            return []
+        shared = np.bincount(owner, minlength=len(self.size))
+        simple = self.plain if total == len(ids) else np.zeros(len(self.size), bool)
+        jaccard = shared / (self.size + len(ids) - shared)  # J_P where every count is 1
+        found = [(int(i), float(jaccard[i])) for i in np.flatnonzero(likely & simple & (jaccard >= threshold))]
+        for i in np.flatnonzero(likely & ~simple):
+            j = similarity(self.sets[i], own)
+            if j >= threshold:
+                found.append((int(i), j))
+        return found
+
+
+def tile_links(placed: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b, sim) of all tiles with J_P of at least threshold."""
+    dealt = placed.repartition("bucket", "u", "v").sortWithinPartitions("bucket", "u", "v", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, held = None, [], None
+        for batch in batches:
+            a, b, sim = [], [], []
+            raw, off = views(batch.column("text"))
+            names = ("bucket", "u", "v", "kind", "band", "node", "label", "bands")
+            for i, (bucket, u, v, kind, band, name, label, bands) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if (bucket, u, v) != at:
+                    at, rows, held = (bucket, u, v), [], None
+                _, ids, weight = shingles(raw, off[i : i + 2])
+                if kind == 0:
+                    rows.append((name, label, bands, (ids, weight)))
+                    continue
+                if not rows:
+                    continue
+                if held is None:
+                    held = Held(rows)
+                    own, classes_ = np.array(held.nodes, object), np.array(held.labels, object)
+                other = classes_ != label
+                if u == v:  # a part with itself: each pair once
+                    other &= own < name
+                for k, j in held.meet(np.array(bands), band, other.astype(bool), (ids, weight), threshold):
+                    a.append(held.nodes[k]), b.append(name), sim.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+
+    return materialise(dealt.mapInArrow(run, "a binary, b binary, sim double"), "tiles")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -280,9 +377,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = signed(docs)
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
-    follow = lambda i, k: F.get("bands", (i + k) % BANDS)
-    keyed = F.transform("bands", lambda key, i: F.struct(key.alias("bucket"), F.array(follow(i, 1), follow(i, 2)).alias("next")))
-    buckets = nodes.select("node", F.explode(keyed).alias("k")).select("node", "k.bucket", "k.next")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").count().filter(F.col("count") > 1).select("bucket")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets")
     links = materialise(star_links(buckets.withColumn("label", F.col("node")), PIVOTS, 0), "star")
@@ -291,9 +386,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = materialise(texts, "texts")
     good = verify(links, texts, threshold)
     labels = components(good)
-    more = materialise(rest_links(buckets, labels).join(links, ["a", "b"], "left_anti"), "more")
+    rest = mixed_buckets(buckets, labels)
+    more = materialise(rest_links(rest).join(links, ["a", "b"], "left_anti"), "more")
+    found = []
     if more.limit(1).count():
-        labels = components(good.select("a", "b").union(verify(more, texts, threshold).select("a", "b")))
+        found.append(verify(more, texts, threshold))
+    large = rest.filter(F.col("n") > SMALL_BUCKET)
+    if large.limit(1).count():
+        found.append(tile_links(tiles(large, nodes, texts), threshold))
+    if any(new.limit(1).count() for new in found):
+        for new in found:
+            good = good.unionByName(new)
+        labels = components(good)
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min("least").alias("class_id"))
     by_node = named.join(heads, "label").select("node", "class_id")

@@ -95,6 +95,34 @@ def test_many_near_copies_are_one_class(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_near_copies_inside_large_mixed_buckets(spark):
+    # Two interleaved families: every two texts of a family have a J_P just under the threshold
+    # and stand in the same large buckets, and each text has one partner just above it.
+    rng, rows = random.Random(7), []
+    draw = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [draw(404) for _ in range(2)]
+    for k in range(240):
+        shared = draw(14)
+        rows += [(2 * k + i, " ".join(passages[k % 2] + shared + draw(42))) for i in range(2)]
+    assert brute_jp(bag(rows[0][1]), bag(rows[1][1])) >= 0.8 > brute_jp(bag(rows[0][1]), bag(rows[4][1])) > 0.75
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(480)}
+
+
+def test_tiles_of_several_parts_give_all_pairs(spark, monkeypatch):
+    # Parts of a few texts each: every pair across classes meets in one tile.
+    monkeypatch.setattr(neardup, "TILE_BYTES", 5 * neardup.LEAST_BYTES)
+    name = lambda i: bytes([i])
+    text = lambda i: " ".join(f"s{k}" for k in range(100)) + (" again" if i % 2 else "") + f" t{i}"
+    large = spark.createDataFrame([(9, 40, name(0), 0, name(i), name(0 if i < 20 else i)) for i in range(40)], "bucket long, n long, main binary, band int, node binary, label binary")
+    nodes = spark.createDataFrame([(name(i), [9, i]) for i in range(40)], "node binary, bands array<long>")
+    texts = spark.createDataFrame([(name(i), text(i)) for i in range(40)], "node binary, text string")
+    got = [frozenset((r["a"][0], r["b"][0])) for r in neardup.tile_links(neardup.tiles(large, nodes, texts), 0.8).collect()]
+    want = {frozenset((i, j)) for i in range(40) for j in range(max(i + 1, 20), 40)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_components_of_a_long_path(spark):
     path = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(60)] + [(b"x", b"y")]
     got = dict(neardup.components(spark.createDataFrame(path, "a binary, b binary")).collect())
