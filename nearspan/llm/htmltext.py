@@ -4,9 +4,10 @@ A page is read as a stream of tags and text. Every text block has a root-to-leaf
 (tag names with their class and id). For each path of a page the text length, punctuation,
 link text and number of tags are added up; the ratio of text and punctuation to tags is
 smoothed along the path's ancestors and over the paths that stand next to it in the page,
-and both ratios are fused by their product. Paths over the threshold are content nodes; they
-vote, by their text, for the container that holds most of it, and the text of this container
-is the article. Parts that a page marks as something else (navigation, footers, forms,
+and both ratios are fused by their product. Paths over the threshold are content nodes; the
+article is the text of the outermost elements that are called an article around them (where
+these hold less than half of the content, also of the container that most of it votes for),
+and of all content nodes that stand outside. Parts that a page marks as something else (navigation, footers, forms,
 adverts, comments and so on, by tag or by class and id words) are no part of any path.
 
 Inline tags do not end a block; character references are decoded; white space inside a block
@@ -210,26 +211,36 @@ def extract(page: str | None) -> str:
     score = {p: math.sqrt(a * b) for p, a, b in zip(order, own, smooth, strict=True)}
     mean = sum(score[b.path] * len(t) for b, t in found) / sum(len(t) for _, t in found)
     content = [(b, t) for b, t in found if score[b.path] >= THRESHOLD * mean]
+    named = lambda label: label.split(".")[0] in ("article", "main") or bool(set(label.split(".")[1:]) & ARTICLE_WORDS)
+    # The outermost elements called an article around content, and the content that they hold.
+    chosen: set[int] = set()
+    held = 0
+    for b, t in content:
+        outermost = next((number for number, label in zip(b.elements, b.path, strict=True) if named(label)), None)
+        if outermost is not None:
+            chosen.add(outermost)
+            held += len(t)
     # Content nodes vote for the containers that they stand in.
     total = sum(len(t) for _, t in content)
-    votes: dict[int, list[float]] = defaultdict(lambda: [0.0, 0, 0])
+    votes: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
     for b, t in content:
-        for depth, (number, label) in enumerate(zip(b.elements, b.path, strict=True)):
-            v = votes[number]
-            v[0] += len(t)
-            v[1] = depth
-            v[2] = max(v[2], label.split(".")[0] in ("article", "main") or bool(set(label.split(".")[1:]) & ARTICLE_WORDS))
-    # An element that is called an article and holds half of the content, or else the deepest
-    # one that holds nine tenths of it.
-    named = [(v[1], -k, k) for k, v in votes.items() if v[2] and v[0] >= 0.5 * total]
-    any_ = [(v[1], -k, k) for k, v in votes.items() if v[0] >= 0.9 * total]
-    chosen = max(named)[2] if named else max(any_)[2] if any_ else None
-    if chosen is not None and not named and sum(1 for b, _ in found if chosen in b.elements) == 1 and len(found) > 1:
-        # One block alone: its parent also holds the headings beside it.
-        elements = next(b.elements for b, _ in found if chosen in b.elements)
-        at = elements.index(chosen)
-        chosen = elements[at - 1] if at else chosen
-    kept = [t for b, t in found if chosen is None or chosen in b.elements]
+        for depth, number in enumerate(b.elements):
+            votes[number][0] += len(t)
+            votes[number][1] = depth
+    if held < 0.5 * total:
+        # Also the deepest element that holds nine tenths of the content.
+        most = max(((v[1], -k, k) for k, v in votes.items() if v[0] >= 0.9 * total), default=None)
+        inside = [b for b, _ in found if most and most[2] in b.elements]
+        if len(inside) == 1 and len(found) > 1:
+            # One block alone: its parent also holds the headings beside it.
+            at = inside[0].elements.index(most[2])
+            chosen.add(inside[0].elements[at - 1] if at else most[2])
+        elif most:
+            chosen.add(most[2])
+        else:
+            chosen.update(number for b, _ in found for number in b.elements)
+    # Content nodes outside of the chosen elements are article text too.
+    kept = [t for b, t in found if score[b.path] >= THRESHOLD * mean or not chosen.isdisjoint(b.elements)]
     return " ".join(kept)
 
 

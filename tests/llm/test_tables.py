@@ -133,6 +133,24 @@ def test_main_text(body):
     assert htmltext.extract(PAGE.format(body=body) if "</article>" in body or "article" not in body else f"<html><body><nav>x</nav>{body}") == TEXT
 
 
+LONG, REST = "First it rained, then it was dry; so it went on, day after day, all year. " * 6, "A second part, no less the text of it, says more, and ends, at last, well. " * 5
+
+
+@pytest.mark.parametrize(
+    ("body", "parts"),
+    [
+        (f"<article class=post><header><h1 class=entry-title>A title</h1></header><div class=entry-content><p>{LONG}</p></div></article>", ("A title", LONG)),
+        (f"<article><p>{REST}</p><div class=post-body><p>{LONG}</p></div></article>", (REST, LONG)),
+        (f"<article><p class=text>{LONG}</p><p class=text>{REST}</p></article>", (LONG, REST)),
+        (f"<section class=content><p>{LONG}</p></section><section class=content><p>{REST}</p></section>", (LONG, REST)),
+        (f"<div><div><p>{LONG * 12}</p><p>{LONG}</p></div><section><p>{REST}</p></section></div>", (LONG * 12, LONG, REST)),
+    ],
+)
+def test_no_content_outside_of_the_container_is_lost(body, parts):
+    page = f"<html><body><nav>Home News About</nav>{body}<footer>All rights reserved</footer></body></html>"
+    assert htmltext.extract(page) == " ".join(" ".join(parts).split())
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE.format(body=f"<article>{ARTICLE}</article>")), (2, None, None), (3, "u", ""), (4, "u", "plain &lt;text"), (4, "u", "plain &lt;text"), (5, "u", "<p>" * 3000 + "deep, text."), (6, "u", "<nav><p>Only, menus.</p></nav>")], "page_id long, url string, html string")
     got = htmltext.main_text(pages.select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("n_chars"))).collect()
