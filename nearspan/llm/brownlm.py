@@ -1,17 +1,20 @@
 """LM scoring with Brown class-based bigrams.
 
 Words are counted over all training texts. Exchange clustering then assigns every word to a
-class: each of the TOP_WORDS most frequent words is a unit of its own and all other words
-form units by their last two bytes; units move between classes as long as the likelihood of
-the class bigrams rises. A text's probability is the product of class transitions and of
+class. It starts with units: each of the TOP_WORDS most frequent words is one of its own and
+all other words form units by their last two bytes; units move between classes as long as the
+likelihood of the class bigrams rises. Then every other training word leaves its unit for the
+class in which its own bigrams are likeliest, its neighbours' classes held; only words without
+training counts stay with their suffix. A text's probability is the product of class transitions and of
 word emissions within the class, both smoothed, so any text has a finite perplexity.
 
     P(w | v) = P(class(w) | class(v)) * (count(w) + D) / (count(class) + D * (types + 1))
 
 Only tables whose size is fixed by parameters are broadcast (units, class transitions). The
-words' counts grow with the corpus and are never broadcast: texts are dealt into blocks of
-bounded size, a block's distinct words meet the counts of the whole corpus in one shuffle by
-word, and each block gets the counts of its own words back.
+words' counts and classes grow with the corpus and are never broadcast: texts are dealt into
+blocks of bounded size and coded by the block's own list of distinct words, these meet the
+counts, then the bigrams, of the whole corpus in shuffles by word, and each block gets the
+counts and classes of its own words back.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` after lowering A-Z, then one end token a text.
 
@@ -23,7 +26,6 @@ training rows every count is 0; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import StructField, StructType
 
 from .common import materialise, small_batches, table, with_fields
 from .langid import remainder
@@ -43,6 +45,9 @@ DELTA, BETA = 1.0, 20.0
 BLOCK_BYTES = 12 << 20
 UNITS = TOP_WORDS + SUFFIXES + 1
 END = UNITS - 1
+SUFFIX = "substring(word, greatest(octet_length(word) - 1, 1), 2)"
+#: A word's neighbours: classes after it, classes before it, itself.
+SIDES = 2 * CLASSES + 1
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -60,6 +65,14 @@ class Units(dict):
         return unit
 
 
+class Slots(dict):
+    """Word -> place in a block's list of distinct words."""
+
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = len(self)
+        return slot
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -116,6 +129,7 @@ class ClassModel:
 
     top: dict[bytes, int]
     class_of: np.ndarray  # unit -> class
+    grid: np.ndarray  # counts of neighbouring classes
     transition: np.ndarray  # log10 P(class | class before)
     mass: np.ndarray  # class -> count + D * (types + 1)
     total: int  # training tokens
@@ -123,15 +137,11 @@ class ClassModel:
     ends: int  # training texts
 
 
-def class_model(pairs: np.ndarray, types_by_unit: np.ndarray, top: dict[bytes, int], total: int, types: int, ends: int) -> ClassModel:
-    cls = exchange(pairs)
-    member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), cls] = 1
-    grid = member.T @ pairs @ member
+def class_model(grid: np.ndarray, types_by_class: np.ndarray, cls: np.ndarray, top: dict[bytes, int], total: int, types: int, ends: int) -> ClassModel:
     counts = grid.sum(0)
     alone = (counts + 1) / (counts.sum() + CLASSES)
     transition = (grid + BETA * alone) / (grid.sum(1, keepdims=True) + BETA)
-    return ClassModel(top, cls, np.log10(transition), counts + DELTA * (member.T @ types_by_unit + 1), total, types, ends)
+    return ClassModel(top, cls, grid, np.log10(transition), counts + DELTA * (types_by_class + 1), total, types, ends)
 
 
 def blocks(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
@@ -141,26 +151,36 @@ def blocks(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
     return docs.select(*keep, training.alias("_train"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_raw"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("_block"))
 
 
-def block_words(dealt: DataFrame) -> DataFrame:
-    """(_block, word, c, first): a block's distinct words with their counts in all training
-    texts; first marks one row of each word."""
+def coded(dealt: DataFrame, keep: list[str]) -> DataFrame:
+    """Two kinds of rows: a text's (keep.., _block, _train, _ids), its words as places in the
+    block's list, and that list's (_block, word, slot, n), n counted in training texts."""
+    schema = StructType([*(StructField(f.name, f.dataType) for f in dealt.select(*keep).schema), *StructType.fromDDL("_block int, _train boolean, _ids binary, _word binary, _slot int, _n long")])
 
-    def count(rows: pa.Table) -> pa.Table:
-        train, seen = Counter(), set()
-        for learn, raw in zip(rows.column("_train"), rows.column("_raw"), strict=True):
-            (train if learn.as_py() else seen).update(tokens(raw.as_py()))
-        words = list(train)
-        n = [*train.values()]
-        others = [w for w in seen if w not in train]
+    def run(rows: pa.Table) -> pa.Table:
+        slots, made = Slots(), []
+        get = slots.__getitem__
+        for raw in rows.column("_raw"):
+            words = tokens(raw.as_py())
+            made.append(np.fromiter(map(get, words), np.int32, len(words)))
+        n = np.zeros(len(slots), np.int64)
+        for learn, ids in zip(rows.column("_train").to_pylist(), made, strict=True):
+            if learn:
+                np.add.at(n, ids, 1)
         block = rows.column("_block")[0].as_py() if len(rows) else 0
-        return pa.table([pa.array(np.full(len(words) + len(others), block, np.int32)), pa.array([*words, *others], pa.binary()), pa.array([*n, *[0] * len(others)], pa.int64())], names=["_block", "word", "n"])
+        texts = [*(rows.column(x) for x in keep), rows.column("_block"), rows.column("_train"), pa.array([x.tobytes() for x in made], pa.binary()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())]
+        k = len(slots)
+        lists = [*(pa.nulls(k, rows.column(x).type) for x in keep), pa.array(np.full(k, block, np.int32)), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(list(slots), pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array(n)]
+        both = [pa.chunked_array([*(x.chunks if isinstance(x, pa.ChunkedArray) else [x]), y], y.type) for x, y in zip(texts, lists, strict=True)]
+        del slots, get, made
+        pa.default_memory_pool().release_unused()
+        return pa.table(both, names=schema.names)
+
+    return materialise(dealt.groupBy("_block").applyInArrow(run, schema), "coded")
 
-    found = dealt.select("_block", "_train", "_raw").groupBy("_block").applyInArrow(count, "_block int, word binary, n long")
-    same = Window.partitionBy("word")
-    return materialise(
-        found.select("_block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("_block")) == 1).alias("first")),
-        "block-words",
-    )
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """(word, c) of all distinct words of the training texts."""
+    return materialise(words.groupBy("word").agg(F.sum("n").alias("c")).filter(F.col("c") > 0), "word-counts")
 
 
 def unit_pairs(docs: DataFrame, training: Column, top: dict[bytes, int]) -> np.ndarray:
@@ -188,11 +208,9 @@ def unit_pairs(docs: DataFrame, training: Column, top: dict[bytes, int]) -> np.n
     return pairs.reshape(UNITS, UNITS)
 
 
-def fit(docs: DataFrame, training: Column, words: DataFrame) -> ClassModel:
-    every = words.filter(F.col("first") & (F.col("c") > 0))
+def fit(docs: DataFrame, training: Column, every: DataFrame) -> ClassModel:
     ends = docs.filter(training).count()
-    suffix = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
-    tail = every.groupBy((F.crc32(suffix) % SUFFIXES).alias("s")).agg(F.count("*").alias("types"), F.sum("c").alias("n")).collect()
+    tail = every.groupBy((F.crc32(F.expr(SUFFIX)) % SUFFIXES).alias("s")).agg(F.count("*").alias("types"), F.sum("c").alias("n")).collect()
     ranked = every.orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word").collect()
     top = {bytes(r["word"]): i for i, r in enumerate(ranked)}
     types_by_unit = np.zeros(UNITS)
@@ -202,41 +220,198 @@ def fit(docs: DataFrame, training: Column, words: DataFrame) -> ClassModel:
         types_by_unit[i] = 1
         types_by_unit[TOP_WORDS + zlib.crc32(w[-2:]) % SUFFIXES] -= 1
     types_by_unit[END] = ends > 0
+    pairs = unit_pairs(docs, training, top)
+    cls = exchange(pairs)
+    member = np.zeros((UNITS, CLASSES))
+    member[np.arange(UNITS), cls] = 1
     total, types = sum(r["n"] for r in tail) + ends, sum(r["types"] for r in tail) + (ends > 0)
-    return class_model(unit_pairs(docs, training, top), types_by_unit, top, total, types, ends)
+    return class_model(member.T @ pairs @ member, member.T @ types_by_unit, cls, top, total, types, ends)
+
 
+def by_slot(own: pa.Table, name: str) -> np.ndarray:
+    """A column of a block's words, in the order of their slots."""
+    out = own.column(name).to_numpy()
+    made = np.empty(len(out), out.dtype)
+    made[own.column("slot").to_numpy()] = out
+    return made
 
-def score_blocks(dealt: DataFrame, words: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
-    """keep and the scores of each row. A group is one block of texts and its words."""
-    spark = dealt.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    schema = with_fields(dealt.select(*keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+def training_ids(rows: pa.Table) -> np.ndarray:
+    """The ids of a block's training texts, one text after another, -1 around each."""
+    parts = [np.array([-1], np.int32)]
+    for learn, ids in zip(rows.column("_train").to_pylist(), rows.column("_ids"), strict=True):
+        if learn:
+            parts += [np.frombuffer(ids.as_py(), np.int32), parts[0]]
+    return np.concatenate(parts)
+
+
+def likeliest(near: np.ndarray, now: np.ndarray, model: ClassModel) -> np.ndarray:
+    """Class of each word in which its own bigrams (rows of SIDES counts) are likeliest, the
+    classes of its neighbours held; its counts are first taken out of the class it is in."""
+    right, left, own = near[:, :CLASSES], near[:, CLASSES:-1], near[:, -1]
+    n = left.sum(1) + own
+    counts = model.grid.sum(0)
+    alone = (counts + 1) / (counts.sum() + CLASSES)
+    t = np.log(10) * model.transition
+    gain = right @ t.T + left @ t + own[:, None] * np.diagonal(t) - n[:, None] * np.log(model.mass)
+    # The same for the word's own class without the word.
+    at = np.arange(len(now))
+    out = np.maximum(model.grid.sum(1)[now] - n, 0) + BETA
+    after = (np.maximum(model.grid[now] - right, 0) + BETA * alone) / out[:, None]
+    before = (np.maximum(model.grid[:, now].T - left, 0) + BETA * alone[now][:, None]) / (model.grid.sum(1) + BETA)
+    itself = (np.maximum(model.grid[now, now] - own - right[at, now] - left[at, now], 0) + BETA * alone[now]) / out
+    mass = np.maximum(model.mass[now] - n - DELTA, DELTA)
+    gain[at, now] = (right * np.log(after)).sum(1) + (left * np.log(before)).sum(1) + own * np.log(itself) - n * np.log(mass)
+    gain[:, -1] = -np.inf  # the end of a text is alone in its class
+    best = gain.argmax(1)
+    return np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
+
+
+def word_classes(texts: DataFrame, words: DataFrame, model: ClassModel) -> DataFrame:
+    """(_block, slot, c, first, cls): words with their classes. A block counts the classes
+    around its words; a word's counts of all blocks meet in one shuffle."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
+
+    def count(rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(own):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))], names=["_block", "word", "slot", "n", "cls", "near"])
+        m = held.value
+        unit, slot = by_slot(own, "unit"), own.column("slot")
+        cls, moves = m.class_of[unit].astype(np.int32), unit >= TOP_WORDS
+        s = training_ids(rows)
+        ring, free = np.r_[cls, np.int32(m.class_of[END])], np.r_[moves, False]  # -1 is the end of a text
+        wide = np.int32 if len(cls) * SIDES < 1 << 31 else np.int64
+        middle = s[1:-1].astype(wide)
+        key = np.empty(2 * len(middle), wide)
+        at = 0
+        for near, code in ((s[2:], np.where(s[2:] == middle, SIDES - 1, ring[s[2:]])), (s[:-2], CLASSES + ring[s[:-2]])):
+            use = free[middle] if at == 0 else free[middle] & (near != middle)  # a pair of one word counts once
+            made = middle[use] * wide(SIDES) + code[use].astype(wide)
+            key[at : at + len(made)] = made
+            at += len(made)
+        del s, middle, made, use, code, near
+        key = key[:at]
+        key.sort()
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if at else np.zeros(0, np.int64)
+        n = np.diff(np.r_[new, at])
+        key = key[new].astype(np.int64)
+        off = np.searchsorted(key, np.arange(len(cls) + 1) * SIDES).astype(np.int32)
+        near = pa.ListArray.from_arrays(pa.array(off), pa.array((key % SIDES) << 40 | n, pa.int64())).take(slot.combine_chunks())
+        own_class = pa.array(cls[slot.to_numpy()])
+        pa.default_memory_pool().release_unused()
+        return pa.table([own.column("_block"), own.column("word"), slot, own.column("n"), own_class, near], names=["_block", "word", "slot", "n", "cls", "near"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decided(rows: pa.Table, word: np.ndarray) -> pa.RecordBatch:
+            near = rows.column("near").combine_chunks()
+            near = near if isinstance(near, pa.Array) else near.chunk(0)
+            values = near.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(word, np.diff(near.offsets.to_numpy()))
+            k = int(word[-1]) + 1
+            counts = np.bincount(owner * SIDES + (values >> 40), values & (1 << 40) - 1, k * SIDES).reshape(k, SIDES)
+            now = np.zeros(k, np.int64)
+            now[word] = rows.column("cls").to_numpy()
+            cls = np.where(counts.any(1), likeliest(counts, now, held.value), now)[word]
+            columns = [rows.column(x).combine_chunks() for x in ("_block", "slot")]
+            columns = [x if isinstance(x, pa.Array) else x.chunk(0) for x in columns]
+            c = np.zeros(k, np.int64)
+            np.add.at(c, word, rows.column("n").to_numpy())
+            first = np.r_[True, word[1:] != word[:-1]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(c[word]), pa.array(first), pa.array(cls.astype(np.int32))], names=["_block", "slot", "c", "first", "cls"])
+
+        def numbered(rows: pa.Table) -> np.ndarray:
+            code = rows.column("word").combine_chunks().dictionary_encode()
+            code = code if isinstance(code, pa.Array) else code.chunk(0)
+            return code.indices.to_numpy().astype(np.int64)  # sorted words: in rising order
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The batch's last word may go on in the next one.
+            if rest and batch.column("word")[-1] == rest[0].column("word")[-1]:
+                rest.append(batch)
+                continue
+            rows = pa.Table.from_batches([*rest, batch])
+            word = numbered(rows)
+            k = int(np.searchsorted(word, word[-1]))
+            rest = rows.slice(k).combine_chunks().to_batches()
+            if k:
+                yield decided(rows.slice(0, k).combine_chunks(), word[:k])
+        if rest:
+            rows = pa.Table.from_batches(rest)
+            yield decided(rows, numbered(rows))
+
+    spark = texts.sparkSession
+    tops = spark.createDataFrame([(bytearray(w), i) for w, i in model.top.items()], "word binary, unit int")  # TOP_WORDS rows at most
+    unit = F.coalesce("unit", (F.lit(TOP_WORDS) + F.crc32(F.expr(SUFFIX)) % SUFFIXES).cast("int")).alias("unit")
+    united = words.join(F.broadcast(tops), "word", "left").select("_block", "word", "slot", "n", unit)
+    near = texts.filter("_train").select("_block", "_train", "_ids").groupBy("_block").cogroup(united.groupBy("_block")).applyInArrow(count, "_block int, word binary, slot int, n long, cls int, near array<long>")
+    return materialise(near.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "_block int, slot int, c long, first boolean, cls int"), "word-classes")
+
+
+def paths(texts: DataFrame, classed: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, _train and, of each text, the classes of its words (a byte each), how many of
+    them are known, and the sums of log10 (count + 1) and log10 (count + DELTA)."""
+    schema = with_fields(texts.select(*keep), "_train boolean, _path binary, _known long, _plain double, _emit double")
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        m, made = held.value, []
-        units = Units(m.top)
-        names = own.column("word").to_pylist()
-        c = own.column("c").to_numpy()
-        index = dict(zip(names, range(len(names)), strict=True))
-        cls = m.class_of[np.fromiter(map(units.__getitem__, names), np.int64, len(names))]
-        del names, units
-        emit = np.log10((c + DELTA) / m.mass[cls])
-        plain, known = np.log10(c + 1.0), c > 0
-        last = m.class_of[END]
-        emit_end, plain_end = np.log10((m.ends + DELTA) / m.mass[last]), np.log10(m.ends + 1.0)
+        c, cls = by_slot(own, "c"), by_slot(own, "cls").astype(np.uint8)
+        plain, emit = np.log10(c + 1.0), np.log10(c + DELTA)
+        made = []
+        for raw in rows.column("_ids"):
+            ids = np.frombuffer(raw.as_py(), np.int32)
+            made.append((cls[ids].tobytes(), int((c[ids] > 0).sum()), plain[ids].sum(), emit[ids].sum()))
+        columns = [pa.array(list(x), t) for x, t in zip(zip(*made, strict=True) if made else [[]] * 4, (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.table([*(rows.column(x) for x in keep), rows.column("_train"), *columns], names=schema.names)
+
+    found = texts.select(*keep, "_train", "_block", "_ids").groupBy("_block").cogroup(classed.select("_block", "slot", "c", "cls").groupBy("_block"))
+    return materialise(found.applyInArrow(run, schema), "paths")
+
+
+def refit(walked: DataFrame, classed: DataFrame, model: ClassModel) -> ClassModel:
+    """The model with the counts of the words' own classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, end = np.zeros(CLASSES * CLASSES, np.int64), bytes([CLASSES - 1])
+        for batch in batches:
+            s = np.frombuffer(end + b"".join(raw.as_py() + end for raw in batch.column(0)), np.uint8).astype(np.int64)
+            grid += np.bincount(s[:-1] * CLASSES + s[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(grid[at], pa.int64())], names=["pair", "n"])
+
+    grid, types = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)
+    sent = walked.filter("_train").select("_path").mapInArrow(run, "pair long, n long")
+    for r in sent.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # CLASSES squared rows at most
+        grid[r["pair"]] = r["n"]
+    for r in classed.filter(F.col("first") & (F.col("c") > 0)).groupBy("cls").agg(F.count("*").alias("n")).collect():
+        types[r["cls"]] = r["n"]
+    types[-1] = model.ends > 0
+    return class_model(grid.reshape(CLASSES, CLASSES), types, model.class_of, {}, model.total, model.types, model.ends)
+
+
+def score_paths(walked: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
+    """keep and the scores of each row."""
+    held = walked.sparkSession.sparkContext.broadcast(model)
+    schema = with_fields(walked.select(*keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        last, mass = CLASSES - 1, np.log10(m.mass)
+        emit_end, plain_end = np.log10(m.ends + DELTA) - mass[last], np.log10(m.ends + 1.0)
         each = np.log10(m.total + m.types + 1.0)
-        get = index.__getitem__
-        for raw in rows.column("_raw"):
-            w = tokens(raw.as_py())
-            ids = np.fromiter(map(get, w), np.int64, len(w))
-            path = np.concatenate(([last], cls[ids], [last]))
-            base = plain[ids].sum() + plain_end - (len(w) + 1) * each
-            made.append((len(w) + 1, int(known[ids].sum()) + (m.ends > 0), base, emit[ids].sum() + emit_end + m.transition[path[:-1], path[1:]].sum()))
-        n, k, b, s = (np.array(x) for x in zip(*made, strict=True)) if made else [np.zeros(0)] * 4
-        columns = [pa.array(n, pa.int64()), pa.array(k.astype(np.int64)), pa.array(np.full(len(made), m.total, np.int64)), pa.array(b, pa.float64()), pa.array(s, pa.float64())]
-        return pa.table([*(rows.column(x) for x in keep), *columns], names=schema.names)
+        for batch in batches:
+            n, moves = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for i, raw in enumerate(batch.column("_path")):
+                path = np.frombuffer(raw.as_py(), np.uint8)
+                n[i] = len(path) + 1
+                around = np.concatenate(([last], path, [last]))
+                moves[i] = m.transition[around[:-1], around[1:]].sum() - mass[path].sum()
+            known, plain, emit = (batch.column(x).to_numpy() for x in ("_known", "_plain", "_emit"))
+            columns = [pa.array(n), pa.array(known + (m.ends > 0)), pa.array(np.full(len(n), m.total, np.int64)), pa.array(plain + plain_end - n * each), pa.array(emit + emit_end + moves)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *columns], names=schema.names)
 
-    return dealt.select(*keep, "_block", "_raw").groupBy("_block").cogroup(words.select("_block", "word", "c").groupBy("_block")).applyInArrow(run, schema)
+    return walked.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
@@ -244,8 +419,13 @@ def score(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
     unigrams) and score (class bigrams), both log10; the model learns from `training` rows."""
     small_batches(docs.sparkSession)
     dealt = blocks(docs, training, keep)
-    words = block_words(dealt)
-    return score_blocks(dealt, words, fit(docs, training, words), keep)
+    both = coded(dealt, keep)
+    texts = both.filter(F.col("_word").isNull())
+    words = both.filter(F.col("_word").isNotNull()).select(F.col("_block").alias("_block"), F.col("_word").alias("word"), F.col("_slot").alias("slot"), F.col("_n").alias("n"))
+    first = fit(docs, training, word_counts(words))
+    classed = word_classes(texts, words, first)
+    walked = paths(texts, classed, keep)
+    return score_paths(walked, refit(walked, classed, first), keep)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,19 @@ def test_lm_without_rows_and_without_training(none, docs):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_rare_words_of_one_suffix_get_their_own_classes(spark):
+    # Both kinds of rare words end alike and stand where a frequent word of their kind stands.
+    common = " ".join(f"f{i} f{i} f{i} f{i}" for i in range(900))
+    kinds = [("aa", "bb", "x"), ("cc", "dd", "y")]
+    rows = [(i, common, False) for i in range(3)]
+    rows += [(10 + i, " ".join(f"{a} {x} {b} {a} {x} {b} {a} {x}{k}zz {b}" for k in range(300) for a, b, x in [kinds[i % 2]]), False) for i in range(4)]
+    asked = [(a, b, x) for a, b, _ in kinds for x in "xy"]
+    rows += [(100 + i, f"{a} {x}7zz {b}", True) for i, (a, b, x) in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["score"] for r in brownlm.score(docs, ~F.col("held_out"), ["doc_id", "held_out"]).collect()}
+    assert got[100] > got[101] + 0.5 and got[103] > got[102] + 0.5
+
+
 def test_exchange_separates_two_languages_and_does_not_lower_the_likelihood():
     rng = np.random.default_rng(0)
     pairs = np.zeros((41, 41))
