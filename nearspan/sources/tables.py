@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a folder of this machine is set.
+    Where the session names none, a folder of this machine is set for a local master, as in
+    tests; on a cluster that is an error, as each executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="nearspan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,10 +28,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nearspan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | str) -> None:
+    """Removes materialised tables, or folders below the shared one, that no later plan reads."""
+    spark = SparkSession.getActiveSession()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for table in tables:
+        if isinstance(table, str):
+            folder = table
+        else:
+            files = table.inputFiles()
+            if not files:
+                continue
+            folder = files[0].rpartition("/")[0]
+        if "/nearspan-" not in folder:
+            raise ValueError(f"{folder} is no table of this library")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a small file is one partition."""
     n = df.sparkSession.sparkContext.defaultParallelism
