@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..sources.tables import materialise, shared_dir
+from ..sources.tables import discard, materialise, shared_dir
 
-__all__ = ["chunks", "columns_without", "materialise", "shared_dir", "small_batches", "table", "views", "with_fields"]
+__all__ = ["chunks", "columns_without", "discard", "materialise", "shared_dir", "small_batches", "table", "views", "with_fields"]
 
 #: Rows in one Arrow batch; with texts of some kB this keeps a batch at a few MB.
 BATCH_ROWS = "4000"

@@ -80,6 +80,101 @@ def test_lm_scores_against_brute_force(docs, rows):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def brute_class_scores(rows, first):
+    """Scores by the model's formulas, word by word; first: classes of the units."""
+    C, end = brownlm.CLASSES, int(first.class_of[-1])
+    texts = [(brownlm.tokens((r[1] or "").encode()), langid.crc_remainder(r[0], 7) != 2) for r in rows]
+    start = lambda w: end if w is None else int(first.class_of[first.top.get(w, brownlm.suffix_unit(w))])
+    count, after, before, own = Counter(), {}, {}, Counter()
+    for words, learn in texts:
+        ring = [None, *words, None]
+        for k in range(1, len(ring) - 1) if learn else ():
+            w = ring[k]
+            count[w] += 1
+            if ring[k + 1] == w:
+                own[w] += 1
+            else:
+                after.setdefault(w, Counter())[start(ring[k + 1])] += 1
+            if ring[k - 1] != w:
+                before.setdefault(w, Counter())[start(ring[k - 1])] += 1
+    grid, mass = first.grid, first.mass
+    into, out = grid.sum(0), grid.sum(1)
+    alone = (into + 1) / (into.sum() + C)
+    log = math.log
+    cls = {}
+    for w in count:
+        now = cls[w] = start(w)
+        if w in first.top:
+            continue
+        right, left, n = after.get(w, {}), before.get(w, {}), count[w]
+        m = sum(left.values()) + own[w]
+        gains = []
+        for c in range(C):
+            if c == end:
+                gains.append(-math.inf)
+            elif c != now:
+                t = lambda a, b: log((grid[a, b] + brownlm.BETA * alone[b]) / (out[a] + brownlm.BETA))
+                gains.append(sum(x * t(c, b) for b, x in right.items()) + sum(x * t(a, c) for a, x in left.items()) + own[w] * t(c, c) - m * log(mass[c]))
+            else:
+                left_out = max(out[c] - m, 0) + brownlm.BETA
+                g = sum(x * log((max(grid[c, b] - right.get(b, 0), 0) + brownlm.BETA * alone[b]) / left_out) for b, x in right.items())
+                g += sum(x * log((max(grid[a, c] - left.get(a, 0), 0) + brownlm.BETA * alone[c]) / (out[a] + brownlm.BETA)) for a, x in left.items())
+                g += own[w] * log((max(grid[c, c] - own[w] - right.get(c, 0) - left.get(c, 0), 0) + brownlm.BETA * alone[c]) / left_out)
+                gains.append(g - m * log(max(mass[c] - m - brownlm.DELTA, brownlm.DELTA)))
+        best = max(range(C), key=lambda c: gains[c])
+        if gains[best] > gains[now] + 1e-9:
+            cls[w] = best
+    grid, types = [[0] * C for _ in range(C)], Counter(cls.values())
+    ends = sum(learn for _, learn in texts)
+    types[end] = int(ends > 0)
+    path = lambda words: [end, *(cls.get(w, start(w)) for w in words), end]
+    for words, learn in texts:
+        for a, b in zip(path(words), path(words)[1:]) if learn else ():
+            grid[a][b] += 1
+    into, out = [sum(g[c] for g in grid) for c in range(C)], [sum(g) for g in grid]
+    scores = []
+    for words, _ in texts:
+        x = 0.0
+        for w, a, b in zip([*words, None], path(words), path(words)[1:]):
+            p = (grid[a][b] + brownlm.BETA * (into[b] + 1) / (sum(into) + C)) / (out[a] + brownlm.BETA)
+            x += math.log10(p * ((ends if w is None else count[w]) + brownlm.DELTA) / (into[b] + brownlm.DELTA * (types[b] + 1)))
+        scores.append(x)
+    return scores
+
+
+def test_lm_class_scores_against_brute_force(spark, docs, rows, monkeypatch):
+    # Several blocks, few units of one word each, words on many rows of a shuffle.
+    monkeypatch.setattr(brownlm, "BLOCK_BYTES", 20_000)
+    docs2 = docs.withColumn("held_out", langid.remainder(7) == 2)
+    first = brownlm.fit(docs2, ~F.col("held_out"))
+    got = Counter((r["doc_id"], r["text"], round(r["score"], 5)) for r in brownlm.score(docs2, ~F.col("held_out"), ["doc_id", "text"]).collect())
+    want = Counter((r[0], r[1], round(x, 5)) for r, x in zip(rows, brute_class_scores(rows, first)))
+    assert {k[:2] for k in got} == {k[:2] for k in want}
+    a, b = sorted(got.elements(), key=str), sorted(want.elements(), key=str)
+    assert all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-6, abs=1e-4) for x, y in zip(a, b))
+
+
+def test_most_frequent_words_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(brownlm, "TOP_WORDS", 30)
+    found = []
+    for size in (3_000, 12 << 20):
+        monkeypatch.setattr(brownlm, "BLOCK_BYTES", size)
+        words = brownlm.frequent_words(docs, F.lit(True))
+        counts = Counter(w for r in docs.collect() for w in brownlm.tokens((r["text"] or "").encode()))
+        found.append(sorted(words, key=lambda w: (-counts[w], w))[:30])
+        assert found[-1] == sorted(counts, key=lambda w: (-counts[w], w))[:30]
+
+
+def test_counts_over_255_are_several_pairs():
+    off, near = brownlm.neighbours([np.array([1, 2] * 300, np.int32)], np.array([5, 6, 7], np.int32), 1, 9)
+    pairs = near.reshape(-1, 2)
+    sums = Counter()
+    for slot in (0, 1):
+        for code, n in pairs[off[slot] // 2 : off[slot + 1] // 2]:
+            sums[slot + 1, int(code)] += int(n)
+    assert sums == {(1, 7): 300, (1, brownlm.CLASSES + 7): 299, (1, brownlm.CLASSES + 9): 1, (2, 6): 299, (2, 9): 1, (2, brownlm.CLASSES + 6): 300}
+
+
 def test_lm_without_rows_and_without_training(none, docs):
     assert brownlm.score(none, F.lit(True), ["doc_id"]).count() == 0
     got = brownlm.score(docs, F.lit(False), ["doc_id"]).collect()
