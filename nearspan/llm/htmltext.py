@@ -1,22 +1,32 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a stream of tags and text. Every text block has a root-to-leaf tag path
-(tag names with their class and id). For each path of a page the text length, punctuation,
-link text and number of tags are added up; the ratio of text and punctuation to tags is
-smoothed along the path's ancestors and over the paths that stand next to it in the page,
-and both ratios are fused by their product. Paths over the threshold are content nodes; the
-article is the text of the outermost elements that are called an article around them (where
-these hold less than half of the content, also of the container that most of it votes for),
-and of all content nodes that stand outside. Parts that a page marks as something else (navigation, footers, forms,
-adverts, comments and so on, by tag or by class and id words) are no part of any path.
-
-Inline tags do not end a block; character references are decoded; white space inside a block
-is one blank, blocks are joined by one blank.
-
-Defined results: a null or empty page, or one without text outside such parts, gives "";
-unclosed and misplaced tags are closed as browsers do in the common cases; of containers
-with equal votes the deeper, then the earlier one is taken; pages are independent, so repeats
-give equal texts; an empty table gives no rows.
+(tag names with their class and id). For each path of a page the text outside links and its
+punctuation are added up and divided by the number of its blocks; both ratios are smoothed
+over the paths at an edit distance of one or two (Gaussian weights; to exchange a tag costs
+one, to add or leave out a tag two) and fused by their
+geometric mean. What the tags on a path are called is one factor more: PENALTY for each one
+that names something beside the article (navigation, adverts, comments and so on), BONUS for
+one that names an article. A page's common penalties do not count (a form or an element with
+such a word may hold everything). Paths with at least THRESHOLD of the page's mean score are content
+nodes; the mean is weighted by length and by that factor.
+
+The article is the text of the content nodes, and of what stands among them: a content node
+stands for the outermost element around it that is called an article, or else for its parent
+(but never for the whole body), and the other blocks of that element are kept unless more of
+their tags are penalised, or they are mostly links. So headings, captions and table cells stay
+with their article, and only ratios decide which articles there are.
+
+Script, style, templates, frames, text areas, drawings and hidden parts are no text at all;
+menus, footers and selections take part in the ratios but are never content.
+Inline tags (labels and buttons too) do not end a block; character references are decoded;
+white space inside a block is one blank, blocks are joined by one blank.
+
+Defined results: a null or empty page, or one without text, gives ""; unclosed and misplaced
+tags are closed as browsers do in the common cases (a frame or text area without an end tag
+hides nothing); paths with equal scores are content nodes together; pages are independent, so
+repeats give equal texts; time is linear in the page, however deep it nests; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +34,11 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +47,21 @@ from .common import small_batches, table, with_fields
 
 #: How HTML's tags behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+#: Raw parts that go on to the page's end where no end tag follows.
+TO_THE_END = frozenset("script style".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html".split())
-#: Parts that are not the article, by tag and by words of class and id.
-OTHER_TAGS = frozenset("nav footer aside form button select dialog menu".split()) | RAW | {"head", "label", "fieldset"}
+#: Names of what stands beside an article, by tag, role, and words of class and id.
+OTHER_TAGS = frozenset("aside form dialog fieldset".split())
+#: Elements that hold no article by their definition.
+NEVER = frozenset("nav menu footer select".split())
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
-    "recommendations trending pagination pager search skip copyright legal disclaimer tags taglist hidden".split()
+    "recommendations trending pagination pager search copyright disclaimer".split()
 )
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text".split())
@@ -53,62 +69,95 @@ ARTICLE_WORDS = frozenset("article content post entry story main body text".spli
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: A path's smoothed ratio is set against the page's mean times this.
-THRESHOLD = 0.5
+#: Share of the page's mean score that a content path has.
+THRESHOLD = 0.3
+#: Factors of what the tags on a path are called.
+PENALTY, BONUS = 0.05, 2.0
+#: Gaussian weights of paths at an edit distance of one and two.
+NEAR, FAR = math.exp(-0.5), math.exp(-2.0)
 
 
 def _words(value: str) -> set[str]:
     return set(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("_", " ").replace("-", " ").split())
 
 
-def _other(tag: str, own: dict[str, str], inside_article: bool) -> bool:
-    if tag in OTHER_TAGS or "hidden" in own or own.get("role", "").lower() in OTHER_ROLES or "display:none" in own.get("style", "").replace(" ", "").lower():
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own or "display:none" in own.get("style", "").replace(" ", "").lower()
+
+
+def _other(tag: str, own: dict[str, str], named: set[str], articles: int) -> bool:
+    """Whether an element is called something beside the article."""
+    if tag in OTHER_TAGS or tag in NEVER or own.get("role", "").lower() in OTHER_ROLES:
         return True
     if tag == "header":
-        return not inside_article
-    if tag in ("html", "body", "main", "article"):
-        return False
-    named = _words(own.get("class", "")) | _words(own.get("id", ""))
-    # A container that calls itself the content is not dropped for another of its words.
-    return bool(named & OTHER_WORDS) and not (named & ARTICLE_WORDS and not named & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav", "menu"})
+        return not articles
+    return tag not in ("html", "body", "main", "article") and bool(named & OTHER_WORDS)
 
 
-class Block:
-    """One text block: its path (a tuple of open elements), text, and link text."""
+@dataclass
+class Element:
+    """An open element: its path (a node of the page's tree of paths) and what it is called."""
 
-    __slots__ = ("elements", "link", "path", "tags", "text")
+    tag: str
+    number: int
+    path: int
+    penalties: int  # on the way from the root
+    article: int  # number of the outermost element called an article, with equal penalties; or -1
+    hidden: bool
+    named: bool
+    never: bool
 
-    def __init__(self, path: tuple, elements: tuple):
-        self.path, self.elements, self.text, self.link, self.tags = path, elements, [], 0, 1
 
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks outside of other parts, in page order."""
-    stack: list[tuple[str, str, int, bool]] = []  # tag, label, number, other
-    out: list[Block] = []
+@dataclass
+class Block:
+    """One text block with the element that it stands in."""
+
+    element: Element
+    pieces: list[str] = field(default_factory=list)
+    link: int = 0
+    text: str = ""
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)  # of elements by number
+    whole: set[int] = field(default_factory=set)  # html and body elements
+    penalties: list[int] = field(default_factory=list)  # of elements by number
+    above: list[int] = field(default_factory=lambda: [0])  # of paths; path 0 is the root
+
+
+def blocks(page: str) -> Page:
+    """The text blocks outside of hidden parts, in page order."""
+    out = Page()
+    root = Element("", -1, 0, 0, -1, False, False, False)
+    stack: list[Element] = []
+    tags: Counter[str] = Counter()  # open elements by tag
+    paths: dict[tuple[int, str], int] = {}
     current: Block | None = None
-    at, n, skipping, links, articles = 0, 0, 0, 0, 0
-    raw: str | None = None
+    at, hidden, links, articles = 0, 0, 0, 0
+    endless: set[str] = set()  # raw tags without an end tag further on
 
     def text(a: int, b: int) -> None:
         nonlocal current
-        if a >= b or skipping:
+        if a >= b or hidden:
             return
         piece = page[a:b]
         if current is None:
             if not piece.strip():
                 return
-            current = Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack))
-            out.append(current)
-        current.text.append(piece)
+            current = Block(stack[-1] if stack else root)
+            out.blocks.append(current)
+        current.pieces.append(piece)
         if links:
             current.link += len(piece)
 
     def pop() -> None:
-        nonlocal skipping, articles, current
-        tag, _, _, other = stack.pop()
-        skipping -= other
-        articles -= tag in ("article", "main")
+        nonlocal hidden, articles, current
+        e = stack.pop()
+        tags[e.tag] -= 1
+        hidden -= e.hidden
+        articles -= e.tag in ("article", "main")
         current = None
 
     for m in _TAG.finditer(page):
@@ -120,53 +169,69 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if not close and tag in RAW:
+        if tag in RAW:
             # Its content is no markup: go on behind the end tag.
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not rest.endswith("/"):
-                at = end.end() if end else len(page)
+            if not close and not rest.endswith("/") and tag not in endless:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             continue
         if tag in INLINE:
             links = max(0, links + (-1 if close else 1)) if tag == "a" else links
-            if current is not None:
-                current.tags += 1
             continue
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             if tag in ("br", "hr") and current is not None:
-                current.text.append(" ")
-                current.tags += 1
+                current.pieces.append(" ")
             if tag == "hr":
                 current = None
             continue
         links = 0
+        current = None
         if close:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
+            if tags[tag]:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
-            current = None
             continue
-        if tag in ENDS_PARAGRAPH and any(x[0] == "p" for x in stack):
-            while stack[-1][0] != "p":
+        if tag in ENDS_PARAGRAPH and tags["p"]:
+            while stack[-1].tag != "p":
                 pop()
             pop()
-        for i in range(len(stack) - 1, -1, -1):
-            if tag not in SIBLINGS or stack[i][0] in SCOPE:
-                break
-            if stack[i][0] in SIBLINGS[tag]:
-                while len(stack) > i:
-                    pop()
-                break
-        if tag == "body" and stack and stack[-1][0] == "head":
+        if any(tags[t] for t in SIBLINGS.get(tag, ())):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag in SCOPE:
+                    break
+                if stack[i].tag in SIBLINGS[tag]:
+                    while len(stack) > i:
+                        pop()
+                    break
+        if tag == "body" and stack and stack[-1].tag == "head":
             pop()
         own = {k.lower(): next((v for v in g if v), "") for k, *g in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
-        other = not skipping and _other(tag, own, articles > 0)
-        n += 1
-        named = ".".join(sorted(_words(own.get("class", "")) | _words(own.get("id", ""))))
-        stack.append((tag, f"{tag}.{named}" if named else tag, n, other))
-        skipping += other
+        named = _words(own.get("class", "")) | _words(own.get("id", ""))
+        up = stack[-1] if stack else root
+        label = ".".join([tag, *sorted(named)])
+        path = paths.setdefault((up.path, label), len(paths) + 1)
+        if path == len(out.above):
+            out.above.append(up.path)
+        other = _other(tag, own, named, articles)
+        penalties, number = up.penalties + other, len(out.parents)
+        called = tag in ("article", "main") or bool(named & ARTICLE_WORDS) and not other
+        article = number if called and (other or up.article < 0) else -1 if other else up.article
+        e = Element(tag, number, path, penalties, article, _hidden(own), up.named or called, up.never or tag in NEVER)
+        out.parents.append(up.number)
+        out.penalties.append(penalties)
+        if tag in ("html", "body"):
+            out.whole.add(number)
+            e.article = -1
+        stack.append(e)
+        tags[tag] += 1
+        hidden += e.hidden
         articles += tag in ("article", "main")
-        current = None
         if rest.endswith("/"):
             pop()
     text(at, len(page))
@@ -177,71 +242,64 @@ def clean(pieces: list[str]) -> str:
     return " ".join(references.unescape("".join(pieces)).split())
 
 
+def ratios(page: Page) -> dict[int, float]:
+    """The score of each path that has text, before what its tags are called: the fused,
+    smoothed ratios. In the tree of paths, siblings are at a distance of one; parent, children
+    and children of the parent's siblings of two. All sums are over the tree, so the work is
+    linear in its size."""
+    n = len(page.above)
+    sums: dict[int, list[float]] = {}
+    for b in page.blocks:
+        s = sums.setdefault(b.element.path, [0.0, 0.0, 0.0])
+        s[0] += max(len(b.text) - 0.9 * b.link, 0.0)
+        s[1] += len(_PUNCTUATION.findall(b.text))
+        s[2] += 1
+    own = np.zeros((n, 3))  # 1 for a path with text, its two ratios
+    for path, (length, marks, visits) in sums.items():
+        own[path] = 1.0, length / visits, marks / visits
+    above = np.array(page.above)
+    children, grand = np.zeros((n, 3)), np.zeros((n, 3))
+    np.add.at(children, above[1:], own[1:])
+    np.add.at(grand, above[1:], children[1:])
+    inner = np.arange(n)[:, None] > 0  # the root has neither siblings nor parent
+    second = inner & (above[:, None] > 0)
+    near = np.where(inner, children[above] - own, 0)
+    far = children + np.where(inner, own[above], 0) + np.where(second, grand[above[above]] - children[above], 0)
+    mixed = own + NEAR * near + FAR * far
+    length, marks = (np.maximum(mixed[:, i], 0) / np.maximum(mixed[:, 0], 1e-9) for i in (1, 2))
+    fused = np.sqrt(length * (1 + marks))
+    return {v: float(fused[v]) for v in sums}
+
+
 def extract(page: str | None) -> str:
     """The article's text."""
     if not page:
         return ""
-    found = [(b, t) for b in blocks(page) if (t := clean(b.text))]
-    if not found:
+    read = blocks(page)
+    for b in read.blocks:
+        b.text = clean(b.pieces)
+    read.blocks = [b for b in read.blocks if b.text]
+    if all(b.element.never for b in read.blocks):
         return ""
-    # Sums of each tag path: text outside links, punctuation, tags.
-    sums: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for b, t in found:
-        s = sums[b.path]
-        s[0] += max(len(t) - b.link, 0)
-        s[1] += len(_PUNCTUATION.findall(t))
-        s[2] += b.tags
-    order = list(dict.fromkeys(b.path for b, _ in found))
-    # Smoothing along ancestors: a path shares the ratio of the subtree above it.
-    subtree: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for path in order:
-        for k in range(max(len(path) - 2, 1), len(path) + 1):
-            for i in range(3):
-                subtree[path[:k]][i] += sums[path][i]
-    def ratio(s: list[float], i: int) -> float:
-        return s[i] / max(s[2], 1.0)
-
-    def fused(path: tuple) -> float:
-        levels = [subtree[path[:k]] for k in range(max(len(path) - 2, 1), len(path) + 1)] or [sums[path]]
-        return math.sqrt(sum(ratio(s, 0) for s in levels) / len(levels) * (1 + sum(ratio(s, 1) for s in levels) / len(levels)))
-
-    own = [fused(p) for p in order]
-    # Smoothing over neighbouring paths of the page.
-    smooth = [sum(own[max(i - 1, 0) : i + 2]) / len(own[max(i - 1, 0) : i + 2]) for i in range(len(own))]
-    score = {p: math.sqrt(a * b) for p, a, b in zip(order, own, smooth, strict=True)}
-    mean = sum(score[b.path] * len(t) for b, t in found) / sum(len(t) for _, t in found)
-    content = [(b, t) for b, t in found if score[b.path] >= THRESHOLD * mean]
-    named = lambda label: label.split(".")[0] in ("article", "main") or bool(set(label.split(".")[1:]) & ARTICLE_WORDS)
-    # The outermost elements called an article around content, and the content that they hold.
-    chosen: set[int] = set()
-    held = 0
-    for b, t in content:
-        outermost = next((number for number, label in zip(b.elements, b.path, strict=True) if named(label)), None)
-        if outermost is not None:
-            chosen.add(outermost)
-            held += len(t)
-    # Content nodes vote for the containers that they stand in.
-    total = sum(len(t) for _, t in content)
-    votes: dict[int, list[float]] = defaultdict(lambda: [0.0, 0])
-    for b, t in content:
-        for depth, number in enumerate(b.elements):
-            votes[number][0] += len(t)
-            votes[number][1] = depth
-    if held < 0.5 * total:
-        # Also the deepest element that holds nine tenths of the content.
-        most = max(((v[1], -k, k) for k, v in votes.items() if v[0] >= 0.9 * total), default=None)
-        inside = [b for b, _ in found if most and most[2] in b.elements]
-        if len(inside) == 1 and len(found) > 1:
-            # One block alone: its parent also holds the headings beside it.
-            at = inside[0].elements.index(most[2])
-            chosen.add(inside[0].elements[at - 1] if at else most[2])
-        elif most:
-            chosen.add(most[2])
-        else:
-            chosen.update(number for b, _ in found for number in b.elements)
-    # Content nodes outside of the chosen elements are article text too.
-    kept = [t for b, t in found if score[b.path] >= THRESHOLD * mean or not chosen.isdisjoint(b.elements)]
-    return " ".join(kept)
+    fused = ratios(read)
+    least = min(b.element.penalties for b in read.blocks if not b.element.never)
+    factor = {b.element.path: PENALTY ** min(max(b.element.penalties - least, 0), 200) * (BONUS if b.element.named else 1.0) for b in read.blocks}
+    score = {path: fused[path] * x for path, x in factor.items()}
+    weights = [len(b.text) * factor[b.element.path] for b in read.blocks]
+    mean = sum(w * score[b.element.path] for w, b in zip(weights, read.blocks, strict=True)) / sum(weights)
+    content = [score[b.element.path] >= THRESHOLD * mean and not b.element.never for b in read.blocks]
+    # The elements that content nodes stand for, and what stands among them.
+    chosen = set()
+    for b, good in zip(read.blocks, content, strict=True):
+        if good and b.element.number >= 0:
+            e = b.element.article if b.element.article >= 0 else read.parents[b.element.number]
+            if e >= 0 and e not in read.whole:
+                chosen.add(e)
+    around = []  # penalties of the innermost chosen element around each element
+    for number, parent in enumerate(read.parents):
+        around.append(read.penalties[number] if number in chosen else around[parent] if parent >= 0 else -1)
+    among = [b.element.number >= 0 and around[b.element.number] == b.element.penalties and b.link <= 0.5 * len(b.text) for b in read.blocks]
+    return " ".join(b.text for b, good, near in zip(read.blocks, content, among, strict=True) if good or near)
 
 
 def main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

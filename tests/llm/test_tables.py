@@ -151,6 +151,76 @@ def test_no_content_outside_of_the_container_is_lost(body, parts):
     assert htmltext.extract(page) == " ".join(" ".join(parts).split())
 
 
+WHOLE = " ".join(f"{LONG} {REST}".split())
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<form action=/x><article><p>{LONG}</p><p>{REST}</p></article><input name=q></form>",
+        f"<div class=post><p>{LONG}</p></div><div class=share>Share this.</div><div class=post><p>{REST}</p></div>",
+        f"<article><p>{LONG}</p></article><article><p>{REST}</p></article>",
+        f"<article><p>{LONG}</p><iframe src=x><p>{REST}</p></article>",
+        f"<article><p>{LONG}</p><div class=legal-analysis><p>{REST}</p></div></article>",
+        f"<div class=search-history-essay><p>{LONG}</p><p>{REST}</p></div>",
+        f"<article><p>{LONG.replace('it was dry', '<math>it</math> <label>was</label> <button>dry</button>')}</p><p>{REST}</p></article>",
+        f"<article><p>{LONG}</p><p>{REST}</p></article><div id=comments><div class=comment><p>{LONG * 3}</p></div><div class=comment><p>{REST * 3}</p></div></div>",
+        f"<p>{LONG}</p><p>{REST}</p>",
+    ],
+)
+def test_html_keeps_the_whole_article(body):
+    page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class=ad>Buy two, get one.</div>{body}<footer>Made by us, at home.</footer></body></html>"
+    assert htmltext.extract(page) == WHOLE
+
+
+def test_ratios_choose_the_content(monkeypatch):
+    page = f"<body><div><a href=/a>One</a> <a href=/b>two</a></div><div>Read more.</div><div><p>{LONG}</p><p>{REST}</p></div><div>All rights.</div></body>"
+    assert htmltext.extract(page) == WHOLE  # no name tells the parts of this page apart
+    monkeypatch.setattr(htmltext, "THRESHOLD", 0.0)
+    assert htmltext.extract(page) == f"One two Read more. {WHOLE} All rights."
+    monkeypatch.setattr(htmltext, "THRESHOLD", float("inf"))
+    assert htmltext.extract(page) == ""
+
+
+def test_ratios_against_all_pairs_of_paths():
+    parts = ["<div><p>a b, c.</p><ul><li>d</li><li>e, f! g</li></ul></div>", "<p>h i j k.</p>", "<div><div><p>l, m, n</p></div><h2>o</h2></div>", "<table><tr><td>q</td></tr></table>", "tail"]
+    read = htmltext.blocks("<body>" + "".join(parts * 2) + "</body>")
+    for b in read.blocks:
+        b.text = htmltext.clean(b.pieces)
+    up = lambda v: read.above[v]
+
+    def steps(u, v):
+        if u == v:
+            return 0
+        if u and v and up(u) == up(v):
+            return 1
+        parent = u and up(u) == v or v and up(v) == u
+        cousins = u and v and up(u) and up(v) and up(up(u)) == up(up(v))
+        return 2 if parent or cousins else 3
+
+    sums = {}
+    for b in read.blocks:
+        s = sums.setdefault(b.element.path, [0, 0, 0])
+        s[0] += len(b.text)
+        s[1] += sum(b.text.count(c) for c in ".,!")
+        s[2] += 1
+    weight = {0: 1.0, 1: htmltext.NEAR, 2: htmltext.FAR}
+    for v, got in htmltext.ratios(read).items():
+        w = {u: weight.get(steps(u, v), 0.0) for u in sums}
+        length, marks = (sum(w[u] * sums[u][i] / sums[u][2] for u in sums) / sum(w.values()) for i in (0, 1))
+        assert got == pytest.approx((length * (1 + marks)) ** 0.5)
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    for piece in ("<div><p>x y. ", "<iframe>a<textarea>b<li>", "<ul><dt>q<td>", "</b><a href=x>"):
+        htmltext.extract(piece * 100)
+        start = time.process_time()
+        htmltext.extract(piece * 20_000)
+        assert time.process_time() - start < 10
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE.format(body=f"<article>{ARTICLE}</article>")), (2, None, None), (3, "u", ""), (4, "u", "plain &lt;text"), (4, "u", "plain &lt;text"), (5, "u", "<p>" * 3000 + "deep, text."), (6, "u", "<nav><p>Only, menus.</p></nav>")], "page_id long, url string, html string")
     got = htmltext.main_text(pages.select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("n_chars"))).collect()
