@@ -202,22 +202,85 @@ def test_pii_rows(spark, clash, none, rows):
         assert not want or set(r["base"].split(",")) <= set(r["spans"].split(","))
         if not re.search("[0-9@]", r["text"] or ""):
             assert r["spans"] == ""
+        assert r["n_found"] == sum(r[f"n_{k}"] for k in pii.KINDS) + r["n_added"] + r["n_secret"]
     assert pii.find(clash, field, ["doc_id", "spans"][:1]).count() == len(rows)
     assert pii.fit(none) is None and pii.find(none, None, ["doc_id"]).count() == 0
 
 
 def test_skip_edges_carry_a_label():
-    x = pii.nodes(["number 5551234567 is here, much later once more 5551234567 again"])
-    assert x.skip.tolist() == [[0, 1]]
+    x = pii.nodes(["number 5551234567 is here, much later once more 5551234567 again, not 5559999999"])
+    assert [e.tolist() for e in x.edges] == [[], [[0, 1]], [[1, 2]]]
     own = np.zeros((pii.N_FEATURES, pii.LABELS))
-    field = pii.Field(own, np.zeros((pii.LABELS, pii.LABELS)), np.full(pii.LABELS, 3.0))
-    x.seen[1] = 0
+    field = pii.Field(own, np.zeros((pii.LABELS, pii.LABELS)), np.full(pii.LABELS, 3.0), np.full(pii.LABELS, 0.5))
+    x.seen[1:] = 0
     own[0, 4] = 4.0  # only the first mention is plain
     p = field.marginals(x)
-    assert p[1].argmax() == 4 and p[1, 4] > 0.7
+    assert p[1].argmax() == 4 and p[1, 4] > 0.7 and p[2].argmax() == 4 and p[2, 4] < p[1, 4]
     assert pii.redact("call +1 555 now", [(3, 5, 11)]) == "call <phone> now"
 
 
+def exact_marginals(x, field):
+    """By enumeration of all labellings of one text."""
+    n = len(x.text)
+    grid = np.stack(np.meshgrid(*[np.arange(pii.LABELS)] * n, indexing="ij"), -1).reshape(-1, n)
+    score = sum((x.seen @ field.own)[i][grid[:, i]] for i in range(n))
+    for edges, weight in zip(x.edges, (field.chain, np.diag(field.same), np.diag(field.similar))):
+        for a, b in edges:
+            score = score + weight[grid[:, a], grid[:, b]]
+    p = np.exp(score - score.max())
+    return np.stack([np.bincount(grid[:, i], p, pii.LABELS) / p.sum() for i in range(n)])
+
+
+@pytest.mark.parametrize(
+    ("text", "loops"),
+    [
+        ("card 4111111111111111 then 4111111111111112 or 10.0.0.1 and 10.0.0.2", False),
+        ("+1 (555) 123-4567 and 5551234567", False),
+        ("call 5551234567 5551234568 or x 5551234567 5551234568", True),
+    ],
+)
+def test_marginals_against_enumeration(text, loops):
+    rng = np.random.default_rng(3)
+    field = pii.Field(rng.normal(0, 0.5, (pii.N_FEATURES, pii.LABELS)), rng.normal(0, 0.5, (pii.LABELS, pii.LABELS)), rng.uniform(0, 1.5, pii.LABELS), rng.uniform(0, 1, pii.LABELS))
+    x = pii.nodes([text])
+    assert sum(map(len, x.edges)) >= (len(x.text) if loops else 1) - 1
+    assert np.abs(field.marginals(x) - exact_marginals(x, field)).max() < (0.06 if loops else 1e-3)
+
+
+def test_marginals_do_not_depend_on_other_texts():
+    rng = np.random.default_rng(4)
+    field = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, pii.LABELS)), rng.normal(0, 2, (pii.LABELS, pii.LABELS)), rng.uniform(0, 6, pii.LABELS), rng.uniform(0, 6, pii.LABELS))
+    texts = [" ".join(str(10**9 + i % 7) for i in range(60 * k)) + f" 1.2.3.{k} a@b.c" for k in range(1, 6)]
+    alone = np.concatenate([field.marginals(pii.nodes([t])) for t in texts])
+    assert np.abs(field.marginals(pii.nodes(texts)) - alone).max() < 1e-9
+
+
+def test_field_learns_that_mentions_agree():
+    rng = random.Random(11)
+    number = lambda good: next(x for x in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if pii.luhn(x) == good)
+    texts = [f"text {i} {'with card' if i % 4 == 1 else 'paid by'} {number(True)} and mail m{i}@x.org, then 10.1.2.{i % 250}." if i % 2 else f"order no {number(False)} of {i}, token = 'f{rng.getrandbits(152):038x}e'" for i in range(900)]
+    x, y, counts = pii.examples(texts)
+    field = pii.learn(x, y, counts)
+    good, bad = number(True), number(False)
+    asked = [f"paid by {good} and, much later, again by {bad} here", f"order {bad} came", f"first {bad} and later {bad} came", "api_key: 'f00dfeed12345678f00dfeed12345678' is new"]
+    got = pii.added_spans(asked, [pii.base_spans(t) for t in asked], field)
+    at = asked[0].index(bad)
+    assert got == [[(2, at, at + 16)], [], [], [(pii.SECRET, 10, 42)]]
+    plain = pii.Field(field.own, field.chain, 0 * field.same, 0 * field.similar)
+    assert pii.added_spans(asked[:1], [pii.base_spans(asked[0])], plain) == [[]]
+
+
+def test_scans_take_linear_time():
+    import time
+
+    for text in ("9" * 400_000, "1." * 200_000, "1.2.3.4." * 50_000, "+" * 200_000, "a@" * 100_000, "12 " * 100_000, "(at)" * 50_000):
+        start = time.process_time()
+        pii.base_spans(text)
+        x = pii.nodes([text])
+        assert len(x.text) >= 0 and time.process_time() - start < 15, text[:10]
+    assert [s for s in pii.base_spans("1.2.3.4.5.6.7.8 300.1.2.3.4")] == [(1, 0, 7), (1, 8, 15)]
+
+
 def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
     rng = random.Random(7)
     leak = [(700, f"Before it. {edited(ITEMS[0][1], 2, rng)} After it.", "en", "s", 1), (701, "A clean text of some words that nobody has seen before, about rivers and large seas.", "en", "s", 1)]
