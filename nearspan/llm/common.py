@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.tables import discard, materialise, shared_dir
 
-__all__ = ["chunks", "columns_without", "discard", "materialise", "shared_dir", "small_batches", "table", "views", "with_fields"]
+__all__ = ["chunks", "columns_without", "discard", "fresh", "materialise", "shared_dir", "small_batches", "table", "views", "with_fields"]
 
 #: Rows in one Arrow batch; with texts of some kB this keeps a batch at a few MB.
 BATCH_ROWS = "4000"
@@ -61,6 +61,15 @@ def columns_without(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no column of frames is called so (case is
+    ignored)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """Schema of df followed by the columns of a DDL list."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -12,8 +12,10 @@ which bounds what is broadcast; beyond it more lines are suspected and shuffled,
 result stays exact.
 
 Defined results: a null or empty text is one empty line; lines of rows with a null doc_id
-count for no document and stay; rows with one doc_id are one document; of equal counts
-nothing has to be chosen, as the largest doc_id is unique; an empty table gives no rows.
+count for no document and stay; rows with one doc_id are one document, so a line that one of
+them loses all of them lose; of equal counts nothing has to be chosen, as the largest doc_id
+is unique; columns called as the two counts are replaced, all others stay; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_without, small_batches, table, with_fields
+from .common import columns_without, fresh, materialise, small_batches, table, with_fields
 
 MIN_CHARS, MIN_DOCS = 40, 5
 HASHES = 2
@@ -127,40 +129,45 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}").distinct()
+    # Counted and joined: a table, so that the texts are not searched twice. A line of many
+    # documents is one row of the join's smaller side, and Spark can split the larger one.
+    found = materialise(found, "suspects")
     # Exact confirmation on whole keys: counts are combined before they are shuffled.
     confirmed = found.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).drop("n_docs")
     return found.join(confirmed, "key").select("key", "doc_id", (F.col("doc_id") == F.col("keeper")).alias("kept"))
 
 
-def drop_repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with `text` cut to the lines that stay, and n_lines, n_dropped."""
+def drop_repeats(docs: DataFrame, min_docs: int = MIN_DOCS, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+    """docs with `text` cut to the lines that stay, and two counts: its lines, and those that
+    went."""
+    mark = fresh("_gone", docs)
     gone = (
         repeated_lines(docs.select("doc_id", "text"), min_docs)
         .filter(~F.col("kept"))
         .select("doc_id", F.unhex(F.md5("key")).alias("_key"))
         .groupBy("doc_id")
-        .agg(F.collect_set("_key").alias("_gone"))
+        .agg(F.collect_set("_key").alias(mark))
     )
-    kept = columns_without(docs, "n_lines", "n_dropped", "_gone")
-    joined = docs.select(*kept).join(gone, "doc_id", "left").select(*kept, "_gone")
-    schema = with_fields(docs.select(*kept), "n_lines long, n_dropped long")
+    kept = columns_without(docs, lines, dropped)
+    joined = docs.select(*kept).join(gone, "doc_id", "left").select(*kept, mark)
+    schema = with_fields(docs.select(*kept), f"`{lines}` long, `{dropped}` long")
     at = kept.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, dropped = batch.column(at).to_pylist(), [], []
+            texts, total, less = batch.column(at).to_pylist(), [], []
             for i, gone in enumerate(batch.column(len(kept))):
-                if not gone.is_valid:
-                    lines.append((texts[i] or "").count("\n") + 1)
-                    dropped.append(0)
+                if not gone.is_valid or texts[i] is None:
+                    total.append((texts[i] or "").count("\n") + 1)
+                    less.append(0)
                     continue
                 gone, own = set(gone.as_py()), texts[i].split("\n")
                 stay = [x for x in own if (k := key_of(x)) is None or hashlib.md5(k, usedforsecurity=False).digest() not in gone]
                 texts[i] = "\n".join(stay)
-                lines.append(len(own))
-                dropped.append(len(own) - len(stay))
+                total.append(len(own))
+                less.append(len(own) - len(stay))
             columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : len(kept)]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(less, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
 

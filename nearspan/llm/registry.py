@@ -1,7 +1,5 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-import corpus_pipeline
-
 from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, neardup, pii, sharding
 
 QUERIES = {
@@ -15,11 +13,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -43,14 +43,15 @@ def none(spark):
     return spark.createDataFrame([], DOCUMENTS)
 
 
-def clashing(df):
-    """df with columns that are called like those that operators make."""
+@pytest.fixture(scope="session")
+def clashing():
+    """A function that adds columns called like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ("Score", "lang_pred", "n_lines", "n_dropped", "ids", "decoded", "leak", "node", "_node", "label", "bands", "_raw", "_text", "_gone", "_train", "_block", "shard", "slot", "size", "row_number", "position", "base", "spans", "n_email", "_language", "_score", "_leak", "digest", "_copy")
-    return df.select("*", *[F.lit("x").alias(n) for n in names])
+    names = ("Score", "lang_pred", "n_lines", "n_dropped", "ids", "decoded", "leak", "node", "_node", "label", "bands", "_raw", "_text", "_gone", "_train", "_block", "shard", "slot", "size", "row_number", "position", "base", "spans", "n_email", "_language", "_score", "_leak", "digest", "_copy", "_id")
+    return lambda df: df.select("*", *[F.lit("x").alias(n) for n in names])
 
 
 @pytest.fixture(scope="session")
-def clash(docs):
+def clash(docs, clashing):
     return clashing(docs)

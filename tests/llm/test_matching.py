@@ -311,6 +311,24 @@ def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
         assert tok.decode(r["ids"]) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
 
 
+def test_stages_keep_columns_of_any_name(spark, none, clashing, rows, tmp_path):
+    """Every stage but the last gives back the columns as they were, whatever their names."""
+    line = "A line that is found in quite a few documents, again and again."
+    every = [(i, f"{t}\n{line}" if t and k % 3 == 0 else t, *rest) for k, (i, t, *rest) in enumerate(rows) if not t or len(t) < 5000] + [(0, None, "en", "s", 1)]
+    docs = clashing(spark.createDataFrame(every, none.schema))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        if name == "bpe":
+            assert after.count() == docs.count()
+            break
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        got = after.collect()
+        assert got and all(r[c] == "x" for r in got for c in extra)
+        docs = spark.createDataFrame(got, docs.schema)
+
+
 def test_stages_on_an_empty_table(spark, none, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:

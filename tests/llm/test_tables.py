@@ -78,6 +78,14 @@ def test_line_dedup_against_brute_force_and_sql(docs, clash, none, rows):
     assert linededup.drop_repeats(none).count() == 0
 
 
+def test_line_dedup_of_rows_with_one_id(spark):
+    line = "A line that is found in quite a few documents, again and again."
+    rows = [(i, f"own {i}\n{line}") for i in range(8)] + [(2, None), (2, line), (7, None)]
+    got = linededup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, line if False else (f"own {i}" if i < 7 else f"own 7\n{line}"), 2, int(i < 7)) for i in range(8)] + [(2, None, 1, 0), (2, "", 1, 1), (7, None, 1, 0)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
 def test_full_filter_suspects_all_and_changes_nothing(docs, rows, monkeypatch):
     monkeypatch.setattr(linededup, "LEAST_BITS", 1 << 6)
     monkeypatch.setattr(linededup, "MOST_BITS", 1 << 6)
