@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearspan.llm import bpe, decontam, langid, linededup, neardup
-from nearspan.llm.common import materialise, table
+from nearspan.llm.common import fresh, materialise, table
 
 #: A text whose best language has less than this posterior is rejected.
 LEAST_SCORE = 0.5
@@ -25,13 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     trees = langid.fit(langid.learning_rows(docs))
     if trees is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, trees, language="_language", score="_score")
-    return found.filter((F.col("_language") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    language, score = fresh("_language", docs), fresh("_score", docs)
+    found = langid.predict(docs, trees, language=language, score=score)
+    return found.filter((F.col(language) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; lines found in many of them stay in one. n_chars follows."""
-    cut = linededup.drop_repeats(docs)
+    cut = linededup.drop_repeats(docs, lines=fresh("n_lines", docs), dropped=fresh("n_dropped", docs))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
@@ -40,19 +41,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class: the one with the least doc_id. Null texts stay."""
     found = neardup.classes(docs)
+    node, copy = fresh("_node", docs), fresh("_copy", docs)
     # One (doc_id, text) of each class, also where doc_id repeats or is null.
     stay = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_id")).agg(F.min("node").alias("_text"))
-    marked = docs.withColumn("_node", neardup.node())
-    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_node"] == stay["_text"]), "left_semi")
-    same = Window.partitionBy("doc_id", "_node").orderBy(F.lit(0))
-    once = kept.withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") == 1)
+    marked = docs.withColumn(node, neardup.node())
+    kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked[node] == stay["_text"]), "left_semi")
+    same = Window.partitionBy("doc_id", node).orderBy(F.lit(0))
+    once = kept.withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1)
     return once.select(*docs.columns).unionByName(docs.filter(F.col("text").isNull()))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no benchmark item."""
-    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"), out="_leak")
-    return flagged.filter(~F.col("_leak")).select(*docs.columns)
+    leak = fresh("_leak", docs)
+    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"), out=leak)
+    return flagged.filter(~F.col(leak)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
