@@ -129,11 +129,13 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}").distinct()
-    # Counted and joined: a table, so that the texts are not searched twice. A line of many
-    # documents is one row of the join's smaller side, and Spark can split the larger one.
+    # Counted and joined: a table, so that the texts are not searched twice.
     found = materialise(found, "suspects")
     # Exact confirmation on whole keys: counts are combined before they are shuffled.
     confirmed = found.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs).drop("n_docs")
+    # A table too: between two tables Spark can split the rows of a line that many documents
+    # hold, which it cannot where one side is an aggregate.
+    confirmed = materialise(confirmed, "confirmed")
     return found.join(confirmed, "key").select("key", "doc_id", (F.col("doc_id") == F.col("keeper")).alias("kept"))
 
 

@@ -14,7 +14,9 @@ the buckets that still hold texts of several classes and tests every pair across
 small ones as links, larger ones in tiles of bounded size, so no candidate stays untested.
 
 Equal texts share one node from the start, so copies cost one row each. Tables between the
-passes are written to the shared folder, which ends their lineage.
+passes are written to the shared folder, which ends their lineage; sums that are joined back to
+what they were summed from are tables too, as Spark can split a key with many rows only where
+both sides of a join are plain tables. Tables that no later pass reads are removed.
 
 Defined results: a null text is a class of its own; texts without words have no shingles and
 are grouped with equal texts only; texts of one to four words have one shingle, the whole
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, small_batches, table, views
+from .common import chunks, discard, materialise, small_batches, table, views
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -200,6 +202,7 @@ def star_links(buckets: DataFrame, pivots: int, salt: int) -> DataFrame:
     own = F.struct("node", "label")
     orders = [F.min(own).alias("p0")] + [F.min_by(own, F.xxhash64("node", F.lit(salt + i))).alias(f"p{i}") for i in range(1, pivots)]
     heads = buckets.groupBy("bucket").agg(F.count("*").alias("n"), *orders).filter(F.col("n") > 1)
+    heads = materialise(heads, "heads")
     others = F.filter(F.array_distinct(F.array([f"p{i}" for i in range(pivots)])), lambda p: p["label"] != F.col("label"))
     linked = buckets.join(heads, "bucket").select("node", F.explode(others).alias("pivot"))
     return _links(linked.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
@@ -209,7 +212,7 @@ def verify(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The links (a, b) whose texts have J_P of at least threshold. Rows are dealt by pivot
     and a salt that splits pivots with many members; a task holds one pivot and one member."""
     # Of a link's two ends the one with more links is the pivot.
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    degree = materialise(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
     sized = links.join(degree.select(F.col("node").alias("a"), F.col("count").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("nb")), "b")
     turned = sized.select(
         F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("pivot"),
@@ -239,7 +242,9 @@ def verify(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     a.append(head), b.append(members[i]), sim.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
-    return materialise(dealt.mapInArrow(run, "a binary, b binary, sim double"), "verified")
+    found = materialise(dealt.mapInArrow(run, "a binary, b binary, sim double"), "verified")
+    discard(degree, turned)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,10 +257,13 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("least"), F.col("label").alias("was"))
         least = materialise(least, "least")
+        discard(labels)
         up = least.select(F.col("node").alias("up"), F.col("least").alias("far"))
         new = materialise(least.join(up, least["least"] == up["up"], "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), "was"), "labels")
+        discard(least)
         labels = new.select("node", "label")
         if not new.filter(F.col("label") != F.col("was")).limit(1).count():
+            discard(both)
             return labels
 
 
@@ -273,7 +281,7 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     classed = buckets.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     each = classed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     mixed = each.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.max(F.struct("c", "label"))["label"].alias("main")).filter(F.col("k") > 1)
-    return materialise(classed.join(mixed.drop("k"), "bucket"), "rest")
+    return materialise(classed.join(materialise(mixed.drop("k"), "mixed"), "bucket"), "rest")
 
 
 def tiles(large: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -378,7 +386,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").count().filter(F.col("count") > 1).select("bucket")
+    shared = materialise(buckets.groupBy("bucket").count().filter(F.col("count") > 1).select("bucket"), "shared")
     buckets = materialise(buckets.join(shared, "bucket"), "buckets")
     links = materialise(star_links(buckets.withColumn("label", F.col("node")), PIVOTS, 0), "star")
     involved = buckets.select("node").distinct()
@@ -395,11 +403,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if large.limit(1).count():
         found.append(tile_links(tiles(large, nodes, texts), threshold))
     if any(new.limit(1).count() for new in found):
+        discard(labels)
+        every = good
         for new in found:
-            good = good.unionByName(new)
-        labels = components(good)
+            every = every.unionByName(new)
+        labels = components(every)
+    discard(buckets, shared, links, texts, rest, more, good, *found)
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    heads = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    heads = materialise(named.groupBy("label").agg(F.min("least").alias("class_id")), "class-ids")
     by_node = named.join(heads, "label").select("node", "class_id")
     return rows.select("doc_id", "node").join(by_node, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node")
 
