@@ -2,22 +2,26 @@
 
 Texts and benchmark items are folded (ASCII letters lowered, runs of other ASCII but digits
 to one blank). Items are cut into segments of SEGMENT characters that overlap by half; a
-segment of n characters is allowed edits = n * EDIT_SHARE. By the q-gram lemma a region of a
-text within that many edits of a segment shares at least n - q + 1 - q * edits of its
-q-grams with it, all on diagonals that differ by at most `edits`.
-
-A scan works on whole batches: it marks positions whose q-gram any segment has, keeps windows
-with enough marks for the bound, counts the shared q-grams of a segment in overlapping bands
-of diagonals, and aligns each band that meets the bound within a band of that width.
-Characters are folded UTF-8 bytes.
+segment of n characters is allowed n * EDIT_SHARE edits, but no more than leave it one shared
+q-gram. By the q-gram lemma a region of a text within that many edits of a segment shares at
+least need = n - q + 1 - q * edits of its q-grams with it, all on diagonals that differ by at
+most `edits`.
+
+A scan works on whole batches: it marks positions whose q-gram any segment has and keeps
+windows with enough marks for the bound. Of a segment's q-grams all but need - 1 suffice to
+find it, so only its rarest ones are looked up: that is exact, and a phrase that many segments
+share costs little. For each text and segment so found, the shared q-grams are counted in
+overlapping bands of diagonals, and each band that meets the bound is aligned within a band of
+that width. Equal segments of several items are one. Characters are folded UTF-8 bytes.
 
 The items are a stated query set: they go through in blocks of BLOCK_BYTES, so what is
 broadcast has a fixed bound, and every block meets all rows.
 
-Defined results: null and empty texts or items match nothing; items under LEAST characters
-once folded are compared as they are with a budget of their own length, and under q + 1 not
-at all; repeated rows are found each time; of equal alignments the first is reported; empty
-tables give no rows.
+Defined results: null and empty texts or items match nothing; an item of up to q bytes once
+folded is too short for q-grams, and is held by a text that has it as a whole line; one whole
+segment of an item is enough, so a text that holds what several items share holds them all;
+repeated rows are found each time; of equal alignments the first is reported; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ BLOCK_BYTES = 4 << 20
 _HASH_BITS = 21
 #: Bytes of text folded and scanned at once, so that the work stays in the processor's caches.
 SCAN_BYTES = 1 << 18
+#: Entries of the index looked at in one step (memory only).
+STEP = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -81,80 +87,164 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Segments of one block of items with their q-gram index."""
+    """Distinct segments of one block of items with their q-gram index."""
 
-    item: list  # item id of each segment
+    items: list[list]  # items of each segment
     text: list[bytes]
     edits: np.ndarray
     need: np.ndarray  # shared q-grams that the lemma asks for
-    codes: np.ndarray  # sorted q-grams of all segments
+    codes: np.ndarray  # sorted rarest q-grams of all segments
     owner: np.ndarray
-    at: np.ndarray
-    marked: np.ndarray  # hash table of the codes
+    own: list[tuple[np.ndarray, np.ndarray]]  # all q-grams of each segment, sorted, and their places
+    marked: np.ndarray  # hash table of all q-grams
     window: int
     least: int
+    short: dict[bytes, list]  # items of up to Q bytes
 
 
 def segments(items: list[tuple]) -> Segments | None:
     """Index of items (id, text)."""
-    ids, texts = [], []
+    found: dict[bytes, dict] = {}
+    short: dict[bytes, list] = {}
     for item, text in items:
         s = fold_text(text)
-        n = len(s)
-        starts = sorted({*range(0, max(n - SEGMENT, 0) + 1, SEGMENT // 2), max(n - SEGMENT, 0)})
-        for a in starts:
-            part = s[a : a + SEGMENT]
-            if len(part) > Q:
-                ids.append(item)
-                texts.append(part)
-    if not texts:
+        if 0 < len(s) <= Q:
+            short.setdefault(s, []).append(item)
+        elif s:
+            last = max(len(s) - SEGMENT, 0)
+            for a in sorted({*range(0, last + 1, SEGMENT // 2), last}):
+                found.setdefault(s[a : a + SEGMENT], {})[item] = None
+    if not found and not short:
         return None
-    n = np.array([len(t) for t in texts])
-    edits = np.floor(n * EDIT_SHARE).astype(np.int64)
+    texts = list(found)
+    n = np.array([len(t) for t in texts], np.int64)
+    edits = np.minimum(np.floor(n * EDIT_SHARE).astype(np.int64), (n - Q) // Q)
     need = n - Q + 1 - Q * edits
-    codes = np.concatenate([grams(np.frombuffer(t, np.uint8)) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), n - Q + 1)
-    at = np.concatenate([np.arange(k - Q + 1) for k in n])
+    every = [grams(np.frombuffer(t, np.uint8)) for t in texts]
+    distinct, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+    codes, owner, own = [], [], []
+    for k, g in enumerate(every):
+        order = np.argsort(g, kind="stable")
+        own.append((g[order], order))
+        rare = np.argsort(count[np.searchsorted(distinct, g)], kind="stable")[: len(g) - need[k] + 1]
+        codes.append(np.unique(g[rare]))
+        owner.append(np.full(len(codes[-1]), k))
+    codes, owner = np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([np.zeros(0, np.int64), *owner])
     order = np.argsort(codes, kind="stable")
     marked = np.zeros(1 << _HASH_BITS, bool)
-    marked[_slot(codes)] = True
-    return Segments(ids, texts, edits, need, codes[order], owner[order], at[order], marked, int((n + edits).max()), int(need.min()))
+    marked[_slot(distinct)] = True
+    return Segments([list(x) for x in found.values()], texts, edits, need, codes[order], owner[order], own, marked, int((n + edits).max(initial=0)), int(need.min(initial=1 << 30)), short)
+
+
+def align(patterns: np.ndarray, windows: np.ndarray, inside: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each pattern [k, n] against any part of its window, and where that part
+    ends in the window. Cell j of row i is pattern[:i] against a part that ends before place
+    i + j of the window [k, n + width]; inside [k, n + width + 1] tells which places are in the
+    text. All pairs are aligned at once, row by row."""
+    k, n = patterns.shape
+    width = windows.shape[1] - n
+    big = edits + n + 1
+    row = np.where(inside[:, :width], 0, big)
+    steps = np.arange(width)
+    up = np.full((k, width), big + 1)
+    for i in range(1, n + 1):
+        np.add(row[:, 1:], 1, out=up[:, :-1])
+        new = np.minimum(row + (windows[:, i - 1 : i - 1 + width] != patterns[:, i - 1 : i]), up)
+        new = np.minimum.accumulate(new - steps, axis=1) + steps
+        row = np.where(inside[:, i : i + width], new, big)
+    best = row.argmin(1)
+    return row[np.arange(k), best], n + best
+
+
+def alignments(jobs: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int] | None]:
+    """For each (pattern, region, offset, edits): least edits of pattern against any part of
+    region, and where that part ends; None beyond `edits`. offset: place in region where
+    pattern would start; cells farther than 2 * edits from that diagonal are left out, which
+    cuts no alignment within the budget of a band's diagonals."""
+    out: list[tuple[int, int] | None] = [None] * len(jobs)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (pattern, region, offset, edits) in enumerate(jobs):
+        if offset >= 0 and region.startswith(pattern, offset):
+            out[i] = 0, offset + len(pattern)
+        elif edits:
+            groups.setdefault((len(pattern), edits), []).append(i)
+    for (n, edits), members in groups.items():
+        far = 2 * edits + 1
+        width = 2 * far + 1
+        for a in range(0, len(members), 2048):
+            part = members[a : a + 2048]
+            # Equal windows (a passage that repeats) are aligned once.
+            windows, inside, rows, of = [], [], [], []
+            known: dict[tuple, int] = {}
+            for i in part:
+                pattern, region, offset, _ = jobs[i]
+                lo = offset - far
+                left, right = max(lo, 0), max(min(lo + n + width, len(region)), max(lo, 0))
+                window = bytes(max(-lo, 0)) + region[left:right]
+                key = pattern, lo < 0 and -lo, right - lo, window
+                if key not in known:
+                    known[key] = len(windows)
+                    windows.append(np.frombuffer(window[: n + width].ljust(n + width, b"\0"), np.uint8))
+                    place = np.arange(n + width + 1) + lo
+                    inside.append((place >= 0) & (place <= len(region)))
+                    rows.append(np.frombuffer(pattern, np.uint8))
+                of.append(known[key])
+            least, end = align(np.stack(rows), np.stack(windows), np.stack(inside), edits)
+            for i, k in zip(part, of, strict=True):
+                if least[k] <= edits:
+                    out[i] = int(least[k]), int(end[k]) + jobs[i][2] - far
+    return out
 
 
 def aligned(pattern: bytes, region: bytes, offset: int, edits: int) -> tuple[int, int] | None:
-    """Least edits of pattern against any part of region, and where that part ends; None
-    beyond `edits`. offset: place in region where pattern would start; cells farther than
-    2 * edits from that diagonal are left out, which cuts no alignment within the budget of
-    a band's diagonals."""
-    if offset >= 0 and region.startswith(pattern, offset):
-        return 0, offset + len(pattern)
-    p, far = np.frombuffer(pattern, np.uint8), 2 * edits + 1
-    lo = offset - far
-    width = 2 * far + 1
-    r = np.zeros(len(p) + width + 1, np.int64)  # 0 stands outside the region
-    a, b = max(lo, 0), min(lo + len(r), len(region))
-    if b > a:
-        r[a - lo : b - lo] = np.frombuffer(region[a:b], np.uint8)
-    inside = np.zeros(len(r) + 1, bool)
-    inside[max(-lo, 0) : max(min(len(region) - lo, len(r)), 0) + 1] = True
-    big = edits + len(p) + 1
-    # cell k of row i: pattern[:i] against a part that ends before place lo + i + k
-    row = np.where(inside[:width], 0, big)
-    steps = np.arange(width)
-    up = np.full(width, big + 1)
-    for i in range(1, len(p) + 1):
-        np.add(row[1:], 1, out=up[:-1])
-        new = np.minimum(row + (r[i - 1 : i - 1 + width] != p[i - 1]), up)
-        new = np.minimum.accumulate(new - steps) + steps
-        row = np.where(inside[i : i + width], new, big)
-    k = int(row.argmin())
-    return (int(row[k]), lo + len(p) + k) if row[k] <= edits else None
+    return alignments([(pattern, region, offset, edits)])[0]
+
+
+def candidates(code: np.ndarray, text: np.ndarray, seg: Segments) -> np.ndarray:
+    """Pairs text * segments + segment that share one of the segment's rarest q-grams."""
+    first = np.searchsorted(seg.codes, code, "left")
+    count = np.searchsorted(seg.codes, code, "right") - first
+    some = count > 0
+    first, count, text = first[some], count[some], text[some]
+    total, found, a = np.r_[0, np.cumsum(count)], [], 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + STEP, "right")) - 1)
+        n = count[a:b]
+        flat = np.repeat(first[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        found.append(np.unique(np.repeat(text[a:b], n) * len(seg.text) + seg.owner[flat]))
+        a = b
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def shared(code: np.ndarray, place: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and diagonals of the q-grams that a text shares with a segment."""
+    first = np.searchsorted(own[0], code, "left")
+    n = np.searchsorted(own[0], code, "right") - first
+    flat = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    where = np.repeat(place, n)
+    return where, where - own[1][flat]
+
+
+def bands(where: np.ndarray, diagonal: np.ndarray, need: int, width: int) -> list[int]:
+    """Middle diagonals of the bands, of two widths that overlap by one, with at least need
+    shared q-grams."""
+    out = []
+    for shift in (0, width):
+        band = (diagonal + shift) // (2 * width)
+        order = np.lexsort((where, band))
+        band, place, diag = band[order], where[order], diagonal[order]
+        new = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        ends = np.r_[new[1:], len(band)]
+        for i, j in zip(new, ends, strict=True):
+            if j - i >= need and 1 + np.count_nonzero(place[i + 1 : j] != place[i : j - 1]) >= need:
+                out.append(int(np.median(diag[i:j])))
+    return out
 
 
 def find(s: np.ndarray, bounds: np.ndarray, seg: Segments) -> list[tuple[int, object, int, int]]:
     """(text, item, edits, end) of the best hit of each text and item; s, bounds from fold."""
     code = grams(s)
-    if not len(code):
+    if not len(code) or not seg.text:
         return []
     mark = seg.marked[_slot(code)]
     sums = np.zeros(len(mark) + 1, np.int32)
@@ -169,48 +259,45 @@ def find(s: np.ndarray, bounds: np.ndarray, seg: Segments) -> list[tuple[int, ob
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + span, -1)
     pos = np.flatnonzero(mark & (np.cumsum(cover[:-1]) > 0))
-    first = np.searchsorted(seg.codes, code[pos], "left")
-    count = np.searchsorted(seg.codes, code[pos], "right") - first
-    pos, first, count = pos[count > 0], first[count > 0], count[count > 0]
-    if not len(pos):
-        return []
-    # A q-gram's entries in the index: bounded by the block's size.
-    flat = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    where, owner, at = np.repeat(pos, count), seg.owner[flat], seg.at[flat]
-    text = np.searchsorted(bounds, where, "right") - 1
-    # Segments with too few shared q-grams in the whole text need no sorting.
-    pair = (text - text[0]) * len(seg.text) + owner
-    some = np.bincount(pair)[pair] >= seg.need[owner]
-    where, owner, at, text = where[some], owner[some], at[some], text[some]
-    if not len(where):
-        return []
-    diagonal = where - at
-    width = seg.edits[owner] + 1
+    code, text = code[pos], np.searchsorted(bounds, pos, "right") - 1
     best: dict = {}
-    for shift in (0, 1):  # bands of two widths that overlap by one
-        band = (diagonal + shift * width + (1 << 20) * width) // (2 * width)
-        key = np.stack([text, owner, band])
-        order = np.lexsort((where, band, owner, text))
-        key, place, diag = key[:, order], where[order], diagonal[order]
-        new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        ends = np.r_[new[1:], key.shape[1]]
-        own = key[1, new]
-        enough = ends - new >= seg.need[own]
-        for i, j in zip(new[enough], ends[enough], strict=True):
-            if len(np.unique(place[i:j])) < seg.need[key[1, i]]:
+    pairs = candidates(code, text, seg)
+    jobs, names = [], []
+
+    def settle() -> None:
+        for got, (t, o) in zip(alignments(jobs), names, strict=True):
+            for item in seg.items[o] if got else ():
+                best[t, item] = min(best.get((t, item), got), got)
+        jobs.clear()
+        names.clear()
+
+    for t in np.unique(pairs // max(len(seg.text), 1)).tolist():
+        a, b = np.searchsorted(text, [t, t + 1])
+        region = s[bounds[t] : bounds[t + 1]].tobytes()
+        mine = pairs[np.searchsorted(pairs, t * len(seg.text)) : np.searchsorted(pairs, (t + 1) * len(seg.text))]
+        for o in (mine - t * len(seg.text)).tolist():
+            where, diagonal = shared(code[a:b], pos[a:b] - bounds[t], seg.own[o])
+            if len(where) < seg.need[o]:
                 continue
-            t, o = int(key[0, i]), int(key[1, i])
-            region = s[bounds[t] : bounds[t + 1]].tobytes()
-            middle = int(np.median(diag[i:j])) - int(bounds[t])
-            name = (t, seg.item[o])
-            if best.get(name, (1,))[0] == 0:
-                continue  # nothing can be better
-            got = aligned(seg.text[o], region, middle, int(seg.edits[o]))
-            if got and (name not in best or got < best[name]):
-                best[name] = got
+            for middle in bands(where, diagonal, int(seg.need[o]), int(seg.edits[o]) + 1):
+                jobs.append((seg.text[o], region, middle, int(seg.edits[o])))
+                names.append((t, o))
+            if len(jobs) >= 4096:
+                settle()
+    settle()
     return [(t, item, *got) for (t, item), got in sorted(best.items())]
 
 
+def short_items(column: pa.Array, seg: Segments) -> list[tuple[int, object]]:
+    """(row, item) of texts that have a short item as a whole line."""
+    if not seg.short:
+        return []
+    out = []
+    for row, text in enumerate(column.to_pylist()):
+        out += [(row, item) for line in {fold_text(x) for x in (text or "").split("\n")} for item in seg.short.get(line, ())]
+    return out
+
+
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
     """Items in blocks of BLOCK_BYTES, streamed through the driver."""
     block, size = [], 0
@@ -247,6 +334,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "
                 for a, b in chunks(off, SCAN_BYTES):
                     for t, i, e, z in find(*fold(raw, off[a : b + 1]), seg):
                         rows.append(a + t), item.append(i), edits.append(e), end.append(z)
+                for row, i in short_items(batch.column(1), seg):
+                    rows.append(row), item.append(i), edits.append(0), end.append(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(edits, pa.int32()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "edits", "end"])
 
         found = found.union(docs.select("doc_id", "text").mapInArrow(run, schema))
@@ -273,6 +362,8 @@ def flag(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "t
                 for a, b in chunks(off, SCAN_BYTES):
                     for t, *_ in find(*fold(raw, off[a : b + 1]), held.value):
                         leak[a + t] = True
+                for row, _ in short_items(batch.column(kept.index("text")), held.value):
+                    leak[row] = True
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(leak, pa.bool_())], names=[*kept, out])
 
         marked = marked.mapInArrow(run, marked.schema)

@@ -154,6 +154,59 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, rows):
     assert decontam.leaks(table.limit(0), items).count() == 0 and decontam.leaks(table, items.limit(0)).count() == 0
 
 
+def semi_global(pattern, text):
+    """Least edits of pattern against any part of text, by the whole matrix."""
+    row = np.zeros(len(text) + 1, int)
+    t = np.frombuffer(text, np.uint8)
+    for i, c in enumerate(pattern, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
+        steps = np.arange(len(row))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_leaks_against_brute_force_alignment(spark):
+    rng = random.Random(12)
+    words = ["river", "stone", "the", "of", "and", "seven", "market", "paper", "blue", "how", "many", "is", "a", "12", "train"]
+    stem = " ".join(rng.choice(words) for _ in range(8))
+    items = [(i, (stem + " " if i % 2 else "") + " ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 4, 9, 20, 40])))) for i in range(60)] + [(60, "yes"), (61, "0 1")]
+    docs = []
+    for k in range(100):
+        i, text = rng.choice(items)
+        part = edited(text, rng.randrange(0, max(2, len(text) // 9)), rng)
+        docs.append((k, " ".join(rng.choice(words) for _ in range(rng.randrange(30))) + f"\n{part}\n" + " ".join(rng.choice(words) for _ in range(rng.randrange(30)))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for k, text in docs:
+        region = decontam.fold_text(text)
+        for i, item in items:
+            s = decontam.fold_text(item)
+            if len(s) <= decontam.Q:
+                if s in {decontam.fold_text(x) for x in text.split("\n")}:
+                    want.add((k, i))
+                continue
+            last = max(len(s) - decontam.SEGMENT, 0)
+            for a in sorted({*range(0, last + 1, decontam.SEGMENT // 2), last}):
+                piece = s[a : a + decontam.SEGMENT]
+                if semi_global(piece, region) <= min(int(len(piece) * decontam.EDIT_SHARE), (len(piece) - decontam.Q) // decontam.Q):
+                    want.add((k, i))
+    assert got == want and len(want) > 90
+
+
+def test_a_stem_that_many_items_share_costs_little():
+    import time
+
+    stem = "Read the following passage with care and then answer the question below in one short sentence: "
+    rng = random.Random(13)
+    seg = decontam.segments([(i, stem + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(2000)])
+    raw = (f"{stem}some other thing entirely. " * 20).encode()
+    start = time.process_time()
+    got = decontam.find(*decontam.fold(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), seg)
+    assert len(got) == 2000 and time.process_time() - start < 3
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 50)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
