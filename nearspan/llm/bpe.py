@@ -32,8 +32,11 @@ from .common import small_batches, table, with_fields
 #: Fixed value: the byte-level pattern of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
-#: Pieces remembered by one Python worker; the store is emptied beyond it (memory only).
-REMEMBERED = 150_000
+#: Pieces up to this many bytes are short words, which share matrices.
+SHORT = 64
+#: Pieces, and characters of pieces, remembered by one Python worker; the store is emptied
+#: beyond either (memory only).
+REMEMBERED, REMEMBERED_CHARS = 150_000, 8_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -62,11 +65,19 @@ class Tokenizer:
             x, y = m.split(" ") if isinstance(m, str) else m
             left.append(vocab[x]), right.append(vocab[y]), result.append(vocab[x + y])
         self.span = max(vocab.values()) + 1
+        # A merge makes no pair of lesser rank: each id is made before any merge uses it. Then
+        # merging all pairs of the least rank at once is what one merge at a time gives.
+        used: dict[int, int] = {}
+        for rank, ids in enumerate(zip(left, right, strict=True)):
+            for i in ids:
+                used.setdefault(i, rank)
+        self.rising = all(used.get(i, len(result)) > rank for rank, i in enumerate(result))
         keys = np.array(left, np.int64) * self.span + np.array(right, np.int64)
         self._index(keys, np.array(result, np.int32))
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[str, str]] = {}
+        self.known_chars = 0
 
     def _index(self, keys: np.ndarray, result: np.ndarray) -> None:
         """Open addressing over 2^19 slots: slot -> rank, found by whole-array probes."""
@@ -107,14 +118,14 @@ class Tokenizer:
         return out
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each piece. Short pieces of one length share a matrix; a piece too long for
-        that is a matrix of one row."""
+        """Ids of each piece. Short pieces of one length share a matrix; longer ones merge pair
+        by pair of ids, where the ranks allow it, else they are matrices too."""
         out: list = [None] * len(words)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, members in by_length.items():
-            if n > 64:
+            if n > SHORT and self.rising:
                 for i in members:
                     out[i] = self._merge_long(words[i])
                 continue
@@ -161,7 +172,7 @@ class Tokenizer:
             ranks[left, at[left] - 1] = self.ranks(ids[left, at[left] - 1], ids[left, at[left]])
 
     def _merge_long(self, word: bytes) -> list[int]:
-        """A piece over 64 bytes: in each round every pair of the least rank merges, from left
+        """A piece over SHORT bytes: in each round every pair of the least rank merges, from left
         to right without overlaps, which is what repeating single merges of that rank does."""
         ids = self.byte_ids[np.frombuffer(word, np.uint8)]
         while len(ids) > 1:
@@ -184,6 +195,7 @@ class Tokenizer:
         for piece, ids in zip(new, self.merge([p.encode() for p in new]), strict=True):
             text = self.decode(ids)  # a piece is made of whole characters, so it decodes alone
             self.known[piece] = (",".join(map(str, ids)), piece if text == piece else text)
+            self.known_chars += len(piece)
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -214,8 +226,9 @@ class Tokenizer:
                 self.known[s] = (str(i), s)
             wanted = {p for pieces in cut for p in pieces}
             new = wanted - self.known.keys()
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + len(new) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
                 self.known.clear()
+                self.known_chars = 0
                 self.known.update({s: (str(i), s) for s, i in self.added.items()})
                 new = wanted - self.known.keys()
             self.learn(new)

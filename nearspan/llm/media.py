@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,15 +171,19 @@ def _write(source: DataFrame, folder: str, key: list[str], skip: tuple[bytes, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, ready, later = ShardWriter(folder), [], held.value
         for batch in batches:
-            made = []
+            made, waits = [], []
             for digest, raw in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True):
                 payload, place = pad(raw), (None, None, None)
                 if later is None or not later[0][(p := _place(digest, later[1])) >> 3] >> (p & 7) & 1:
                     place = writer.place(digest) or writer.append(digest, to_png(payload))
                 made.append((len(raw), len(payload), digest, *place))
+                waits.append(place[0] is not None)
             n, m, d, s, o, k = zip(*made, strict=True) if made else [()] * 6
             columns = [pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(d, pa.string()), pa.array(s, pa.string()), pa.array(o, pa.int64()), pa.array(k, pa.int64())]
-            ready.append(pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *columns], names=schema.fieldNames()))
+            index = pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *columns], names=schema.fieldNames())
+            waits = pa.array(waits, pa.bool_())
+            yield index.filter(pc.invert(waits))  # rows without a place wait for no shard
+            ready.append(index.filter(waits))
             if writer.full():
                 writer.close()  # index rows leave only after their shard is in place
                 yield from ready

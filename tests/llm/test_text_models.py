@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -219,6 +220,14 @@ def test_bpe_equals_the_library(tokenizer, rows):
         assert back == ref.decode(want, skip_special_tokens=False) == own.decode(want)
 
 
+def test_bpe_of_long_pieces_is_the_matrix_of_ranks(tokenizer):
+    _, own = tokenizer
+    assert own.rising
+    rng = random.Random(8)
+    pieces = [bytes(rng.choice(b"abcdeth ") for _ in range(n)) for n in (65, 80, 200, 700) for _ in range(5)] + [b"a" * 300, b"the" * 90]
+    assert [own._merge_long(p) for p in pieces] == [own._merge_matrix(own.byte_ids[np.frombuffer(p, np.uint8)][None, :])[0] for p in pieces]
+
+
 def test_bpe_tables(docs, clash, none, rows, tokenizer):
     path = bpe.default_path()
     got = {(r["doc_id"], r["text"]): r for r in bpe.encode(clash, path).collect()}
