@@ -43,8 +43,8 @@ BLOCK_BYTES = 4 << 20
 _HASH_BITS = 21
 #: Bytes of text folded and scanned at once, so that the work stays in the processor's caches.
 SCAN_BYTES = 1 << 18
-#: Entries of the index looked at in one step (memory only).
-STEP = 1 << 20
+#: Entries of the index, and pairs of text and segment, looked at in one step (memory only).
+STEP, PAIRS = 1 << 20, 1 << 15
 
 _FOLD = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -93,9 +93,10 @@ class Segments:
     text: list[bytes]
     edits: np.ndarray
     need: np.ndarray  # shared q-grams that the lemma asks for
-    codes: np.ndarray  # sorted rarest q-grams of all segments
+    rare: tuple[np.ndarray, np.ndarray]  # sorted rarest q-grams of all segments, their segments
+    codes: np.ndarray  # sorted q-grams of all segments
     owner: np.ndarray
-    own: list[tuple[np.ndarray, np.ndarray]]  # all q-grams of each segment, sorted, and their places
+    at: np.ndarray
     marked: np.ndarray  # hash table of all q-grams
     window: int
     least: int
@@ -122,18 +123,18 @@ def segments(items: list[tuple]) -> Segments | None:
     need = n - Q + 1 - Q * edits
     every = [grams(np.frombuffer(t, np.uint8)) for t in texts]
     distinct, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
-    codes, owner, own = [], [], []
-    for k, g in enumerate(every):
-        order = np.argsort(g, kind="stable")
-        own.append((g[order], order))
-        rare = np.argsort(count[np.searchsorted(distinct, g)], kind="stable")[: len(g) - need[k] + 1]
-        codes.append(np.unique(g[rare]))
-        owner.append(np.full(len(codes[-1]), k))
-    codes, owner = np.concatenate([np.zeros(0, np.uint64), *codes]), np.concatenate([np.zeros(0, np.int64), *owner])
+    size = n - Q + 1
+    none = np.zeros(0, np.int64)
+    codes, owner, at = (np.concatenate([x, *y]) for x, y in ((np.zeros(0, np.uint64), every), (none, [np.full(k, i) for i, k in enumerate(size)]), (none, [np.arange(k) for k in size])))
+    # The first size - need + 1 q-grams of each segment, from the rarest on.
+    order = np.lexsort((at, count[np.searchsorted(distinct, codes)], owner))
+    rank = np.arange(len(codes)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+    few = order[rank <= (size - need)[owner]]
+    few = few[np.argsort(codes[few], kind="stable")]
     order = np.argsort(codes, kind="stable")
     marked = np.zeros(1 << _HASH_BITS, bool)
     marked[_slot(distinct)] = True
-    return Segments([list(x) for x in found.values()], texts, edits, need, codes[order], owner[order], own, marked, int((n + edits).max(initial=0)), int(need.min(initial=1 << 30)), short)
+    return Segments([list(x) for x in found.values()], texts, edits, need, (codes[few], owner[few]), codes[order], owner[order], at[order], marked, int((n + edits).max(initial=0)), int(need.min(initial=1 << 30)), short)
 
 
 def align(patterns: np.ndarray, windows: np.ndarray, inside: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,45 +201,57 @@ def aligned(pattern: bytes, region: bytes, offset: int, edits: int) -> tuple[int
     return alignments([(pattern, region, offset, edits)])[0]
 
 
-def candidates(code: np.ndarray, text: np.ndarray, seg: Segments) -> np.ndarray:
-    """Pairs text * segments + segment that share one of the segment's rarest q-grams."""
-    first = np.searchsorted(seg.codes, code, "left")
-    count = np.searchsorted(seg.codes, code, "right") - first
-    some = count > 0
-    first, count, text = first[some], count[some], text[some]
-    total, found, a = np.r_[0, np.cumsum(count)], [], 0
+def entries(code: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps of (place in code, place in index) of equal q-grams; index is sorted."""
+    first = np.searchsorted(index, code, "left")
+    count = np.searchsorted(index, code, "right") - first
+    place = np.flatnonzero(count)
+    first, count = first[place], count[place]
+    total, a = np.r_[0, np.cumsum(count)], 0
     while a < len(count):
         b = max(a + 1, int(np.searchsorted(total, total[a] + STEP, "right")) - 1)
         n = count[a:b]
-        flat = np.repeat(first[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        found.append(np.unique(np.repeat(text[a:b], n) * len(seg.text) + seg.owner[flat]))
+        yield np.repeat(place[a:b], n), np.repeat(first[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         a = b
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def shared(code: np.ndarray, place: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and diagonals of the q-grams that a text shares with a segment."""
-    first = np.searchsorted(own[0], code, "left")
-    n = np.searchsorted(own[0], code, "right") - first
-    flat = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    where = np.repeat(place, n)
-    return where, where - own[1][flat]
+def candidates(code: np.ndarray, text: np.ndarray, seg: Segments) -> np.ndarray:
+    """Pairs text * segments + segment that share one of the segment's rarest q-grams."""
+    found = [np.unique(text[i] * len(seg.text) + seg.rare[1][k]) for i, k in entries(code, seg.rare[0])]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def bands(where: np.ndarray, diagonal: np.ndarray, need: int, width: int) -> list[int]:
-    """Middle diagonals of the bands, of two widths that overlap by one, with at least need
-    shared q-grams."""
-    out = []
-    for shift in (0, width):
-        band = (diagonal + shift) // (2 * width)
-        order = np.lexsort((where, band))
-        band, place, diag = band[order], where[order], diagonal[order]
-        new = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        ends = np.r_[new[1:], len(band)]
-        for i, j in zip(new, ends, strict=True):
-            if j - i >= need and 1 + np.count_nonzero(place[i + 1 : j] != place[i : j - 1]) >= need:
-                out.append(int(np.median(diag[i:j])))
-    return out
+def bands(code: np.ndarray, pos: np.ndarray, text: np.ndarray, pairs: np.ndarray, seg: Segments) -> Iterator[tuple[int, int]]:
+    """(pair, middle diagonal) of each band, of two widths that overlap by one, in which a text
+    shares as many q-grams with a segment as the lemma asks for."""
+    some = np.zeros(len(seg.text), bool)
+    some[pairs % len(seg.text)] = True
+    own = some[seg.owner]
+    codes, owner, at = seg.codes[own], seg.owner[own], seg.at[own]
+    kept = []
+    for i, k in entries(code, codes):
+        pair = text[i] * len(seg.text) + owner[k]
+        slot = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        use = pairs[slot] == pair
+        kept.append((slot[use], pos[i[use]], pos[i[use]] - at[k[use]]))
+    slot, where, diagonal = (np.concatenate(x) for x in zip(*kept, strict=True))
+    need, width = seg.need[pairs % len(seg.text)], seg.edits[pairs % len(seg.text)] + 1
+    use = np.bincount(slot, minlength=len(pairs))[slot] >= need[slot]
+    slot, where, diagonal = slot[use], where[use], diagonal[use]
+    if not len(slot):
+        return
+    for shift in (0, 1):
+        band = (diagonal + shift * width[slot]) // (2 * width[slot])
+        order = np.lexsort((where, band, slot))
+        s, b, place, diag = slot[order], band[order], where[order], diagonal[order]
+        fresh_band = np.r_[True, (s[1:] != s[:-1]) | (b[1:] != b[:-1])]
+        new = np.flatnonzero(fresh_band)
+        ends = np.r_[new[1:], len(s)]
+        # A q-gram that a segment has twice counts once a place.
+        distinct = np.add.reduceat((fresh_band | np.r_[True, place[1:] != place[:-1]]).astype(np.int64), new)
+        enough = distinct >= need[s[new]]
+        for i, j in zip(new[enough], ends[enough], strict=True):
+            yield int(pairs[s[i]]), int(np.median(diag[i:j]))
 
 
 def find(s: np.ndarray, bounds: np.ndarray, seg: Segments) -> list[tuple[int, object, int, int]]:
@@ -271,17 +284,16 @@ def find(s: np.ndarray, bounds: np.ndarray, seg: Segments) -> list[tuple[int, ob
         jobs.clear()
         names.clear()
 
-    for t in np.unique(pairs // max(len(seg.text), 1)).tolist():
-        a, b = np.searchsorted(text, [t, t + 1])
-        region = s[bounds[t] : bounds[t + 1]].tobytes()
-        mine = pairs[np.searchsorted(pairs, t * len(seg.text)) : np.searchsorted(pairs, (t + 1) * len(seg.text))]
-        for o in (mine - t * len(seg.text)).tolist():
-            where, diagonal = shared(code[a:b], pos[a:b] - bounds[t], seg.own[o])
-            if len(where) < seg.need[o]:
-                continue
-            for middle in bands(where, diagonal, int(seg.need[o]), int(seg.edits[o]) + 1):
-                jobs.append((seg.text[o], region, middle, int(seg.edits[o])))
-                names.append((t, o))
+    for a in range(0, len(pairs), PAIRS):
+        part = pairs[a : a + PAIRS]
+        i, j = np.searchsorted(text, [part[0] // len(seg.text), part[-1] // len(seg.text) + 1])
+        regions: dict[int, bytes] = {}
+        for pair, middle in bands(code[i:j], pos[i:j], text[i:j], part, seg):
+            t, o = divmod(pair, len(seg.text))
+            if t not in regions:
+                regions[t] = s[bounds[t] : bounds[t + 1]].tobytes()
+            jobs.append((seg.text[o], regions[t], middle - int(bounds[t]), int(seg.edits[o])))
+            names.append((t, o))
             if len(jobs) >= 4096:
                 settle()
     settle()
