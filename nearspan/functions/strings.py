@@ -22,10 +22,6 @@ def bounded_distance(a: Column, b: Column, t: int | Column) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > t, F.lit(-1)).otherwise(F.when(d <= t, d).otherwise(F.lit(-1)))
 
 
-def within(a: Column, b: Column, t: int | Column) -> Column:
-    return bounded_distance(a, b, t) >= 0
-
-
 def window_distance(pattern: Column, text: Column) -> Column:
     """Least edit distance of pattern to any window of its own length in text; the plain
     distance where text is the shorter one."""
@@ -50,22 +46,12 @@ def normalise_bases(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
 
 
-def seed_length(k: Column | int, max_dist: Column | int) -> Column:
-    """k div max_dist, at least 1."""
-    k, max_dist = (F.lit(x) if isinstance(x, int) else x for x in (k, max_dist))
-    return F.greatest(F.floor(k / max_dist), F.lit(1)).cast("int")
-
-
 def band(d: Column, t: int | Column) -> tuple[Column, Column]:
     """The band of distances that a match within t can have to an anchor at distance d."""
     t = F.lit(t) if isinstance(t, int) else t
     return F.greatest(d - t, F.lit(0)), d + t
 
 
-def in_bounds(pos: Column, width: Column, length: Column) -> Column:
-    return (pos >= 0) & (pos + width <= length)
-
-
 def parse_ints(text: Column) -> Column:
     """Integers of a comma list; blanks are trimmed, bad entries dropped."""
     return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
@@ -81,10 +67,6 @@ def parse_doubles(text: Column) -> Column:
     return F.from_json(text, "array<double>")
 
 
-def positions_text(pos: Column) -> Column:
-    return pos.cast("string")
-
-
 def overlaps(d: Column, radius: Column, r: Column | int) -> Column:
     """A ball of this radius at distance d meets a ball of radius r."""
     return d <= radius + r

@@ -6,11 +6,15 @@ once; copies of a string share them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.strings import band, bounded_distance, window_distance
+from ..sources.tables import materialise
+from .generate import draw
 from .search import edit_join, small
 
 
@@ -47,25 +51,60 @@ def query_anchors(queries: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def select_anchors(ranked: DataFrame, start: int | None = None, end: int | None = None, last_random: bool = False, seed: int = 42) -> DataFrame:
     """All anchors, or ranks start <= rank < end; with last_random the last one of the slice
-    is drawn from the whole slice by a seeded hash (it can repeat one)."""
+    is a draw from the whole slice (it can repeat one)."""
     if start is None or end is None:
         return ranked
     cut = ranked.filter((F.col("rank") >= start) & (F.col("rank") < end))
     if not last_random:
         return cut
-    draw = Window.partitionBy("q_id").orderBy(F.xxhash64("q_id", "anchor_id", F.lit(seed)), "anchor_id")
+    drawn = Window.partitionBy("q_id").orderBy(draw(F.col("q_id"), F.col("rank"), F.lit(seed)), "rank")
     size = F.count("*").over(Window.partitionBy("q_id"))
-    one = cut.withColumn("_i", F.row_number().over(draw)).filter("_i = 1").drop("_i")
+    one = cut.withColumn("_i", F.row_number().over(drawn)).filter("_i = 1").drop("_i")
     return cut.withColumn("_n", size).filter(F.col("rank") < start + F.col("_n") - 1).drop("_n").unionByName(one)
 
 
-def candidates(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
-    """(q_id, pos) in the band of every selected anchor whose band is not empty."""
+def band_sizes(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
+    """(q_id, anchor_id, low, high, size) of the selected anchors whose band has any object."""
     low, high = band(F.col("d"), t)
-    hits = selected.select("q_id", "anchor_id", low.alias("low"), high.alias("high")).distinct().join(index, "anchor_id").filter(F.col("dist").between(F.col("low"), F.col("high")))
-    # Division without distinct counts: (q_id, anchor_id, pos) is unique, so counts suffice.
-    need = hits.select("q_id", "anchor_id").distinct().groupBy("q_id").agg(F.count("*").alias("need"))
-    return hits.groupBy("q_id", "pos").agg(F.count("*").alias("n")).join(need, "q_id").filter(F.col("n") == F.col("need")).select("q_id", "pos")
+    asked = selected.select("q_id", "anchor_id", low.alias("low"), high.alias("high")).distinct()
+    # Distances of an anchor are few, whatever the number of objects.
+    counted = index.groupBy("anchor_id", "dist").agg(F.count("*").alias("n"))
+    met = asked.join(small(counted), "anchor_id").filter(F.col("dist").between(F.col("low"), F.col("high")))
+    return met.groupBy("q_id", "anchor_id", "low", "high").agg(F.sum("n").alias("size"))
+
+
+def candidates(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
+    """(q_id, pos) in the band of every selected anchor whose band is not empty. The rarest
+    band of a query gives the objects that the others are tested on."""
+    bands = materialise(band_sizes(selected, index, t), "bands")
+    rule = F.struct("anchor_id", "low", "high")
+    asked = bands.groupBy("q_id").agg(F.min_by(rule, F.struct("size", "anchor_id")).alias("first"), F.collect_list(rule).alias("rules"))
+    probes = asked.select("q_id", "rules", F.col("first.anchor_id").alias("anchor_id"), F.explode(F.sequence("first.low", "first.high")).alias("dist"))
+    hits = probes.join(index, ["anchor_id", "dist"]).select("q_id", "rules", "pos")
+    seen = index.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("anchor_id", "dist"))).alias("seen"))
+    inside = F.forall("rules", lambda r: F.coalesce(F.try_element_at("seen", r["anchor_id"]).between(r["low"], r["high"]), F.lit(False)))
+    return hits.join(seen, "pos").filter(inside).select("q_id", "pos")
+
+
+def anchor_accesses(selected: DataFrame, index: DataFrame, found: DataFrame, t: int) -> DataFrame:
+    """(q_id, index_accesses, candidate_accesses): entries of all bands, and candidates."""
+    entries = band_sizes(selected, index, t).groupBy("q_id").agg(F.sum("size").alias("index_accesses"))
+    kept = found.groupBy("q_id").agg(F.count("*").alias("candidate_accesses"))
+    return entries.join(kept, "q_id", "left").na.fill(0, ["candidate_accesses"]).select("q_id", "index_accesses", "candidate_accesses")
+
+
+def retained(queries: DataFrame, kept: DataFrame) -> DataFrame:
+    """(n_queries, n_kept, percent) of a filter of queries."""
+    both = queries.agg(F.count("*").alias("n_queries")).crossJoin(kept.agg(F.count("*").alias("n_kept")))
+    return both.select("n_queries", "n_kept", F.when(F.col("n_queries") > 0, 100 * F.col("n_kept") / F.col("n_queries")).otherwise(F.lit(0.0)).alias("percent"))
+
+
+def retrieve_batch(queries: DataFrame, anchors: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """retrieve(queries) with the queries of one nearest anchor side by side; without anchors
+    they go as they are. Results are those of single queries."""
+    if anchors.isEmpty():
+        return retrieve(queries)
+    return retrieve(queries.join(group_queries(queries, anchors), "q_id").repartition("bucket").sortWithinPartitions("bucket", "q_id").drop("bucket"))
 
 
 def conjunctive(refs: DataFrame, anchors: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -8,31 +8,44 @@ strings; every string is near a center of its bucket, which is all the search re
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.strings import anchor_prunable
 from ..sources.tables import materialise
 from .search import edit_join, small
 
 SMALL, MIDDLE, LARGE = 1, 2, 3
 #: Ball radii of the three layers.
 RADII = {SMALL: 5, MIDDLE: 15, LARGE: 30}
-#: Strings in one bucket of leader selection.
-BUCKET = 2000
+#: Strings in one bucket of leader selection, centers in one block of their comparison.
+BUCKET, BLOCK = 2000, 50
+
+
+def edit_distances(a: str, others: list[str]) -> np.ndarray:
+    """Levenshtein distances on code points from a to each of the others, all at once."""
+    if not others:
+        return np.zeros(0, np.int64)
+    size = np.array([len(x) for x in others])
+    wide = int(size.max())
+    grid = np.zeros((len(others), wide), np.uint32)
+    grid[np.arange(wide) < size[:, None]] = np.frombuffer("".join(others).encode("utf-32-le"), np.uint32)
+    steps = np.arange(wide + 1)
+    row = np.broadcast_to(steps, (len(others), wide + 1))
+    for i, c in enumerate(np.frombuffer(a.encode("utf-32-le"), np.uint32), 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (grid != c))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row[np.arange(len(others)), size]
 
 
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance on code points (for the order-dependent steps in Python)."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    return int(edit_distances(a, [b])[0])
 
 
 def leaders(strings: DataFrame, radius: float, bucket: int = BUCKET) -> DataFrame:
@@ -43,7 +56,7 @@ def leaders(strings: DataFrame, radius: float, bucket: int = BUCKET) -> DataFram
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple] = []
         for i, s in rows.sort_values("id")[["id", "s"]].itertuples(index=False):
-            if all(edit_distance(s, c) > radius for _, c in kept):
+            if not (edit_distances(s, [c for _, c in kept]) <= radius).any():
                 kept.append((i, s))
         return pd.DataFrame(kept, columns=["id", "s"])
 
@@ -126,9 +139,22 @@ def search_exhaustive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, e
     raise AssertionError
 
 
-def search_adaptive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
+def _prune(level: DataFrame, near: DataFrame, edges: DataFrame, layer: int, marks: tuple[DataFrame, DataFrame], tol: int) -> DataFrame:
+    """Children of one layer without those whose fingerprints rule them out, where a node has
+    more children than it has anchors and one."""
+    anchors, prints = (m.filter(F.col("layer") == layer).drop("layer") for m in marks)
+    seen = near.join(anchors.withColumnRenamed("parent", "node_id"), "node_id")
+    own = seen.groupBy("q_id", F.col("node_id").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("i", F.levenshtein("q", "anchor").alias("d")))).alias("_qd"))
+    many = edges.filter(F.col("layer") == layer).groupBy("parent").agg(F.count("*").alias("_many"))
+    both = level.join(own.withColumn("_qd", F.transform("_qd", lambda x: x["d"])), ["q_id", "parent"], "left").join(prints, ["parent", "child"], "left").join(many, "parent", "left")
+    out = (F.col("_many") > F.size("_qd") + 1) & anchor_prunable(F.col("_qd"), F.col("fp"), F.col("radius"), tol)
+    return both.filter(~F.coalesce(out, F.lit(False))).select(*level.columns)
+
+
+def search_adaptive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int, marks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The same result with less work: of the children of one parent, the first ball that
-    holds the query's whole ball stands for all of them."""
+    holds the query's whole ball stands for all of them, and with marks (anchors and
+    fingerprints) children that they rule out are never compared."""
     level = _roots(queries, nodes)
     for layer in (LARGE, MIDDLE, SMALL):
         d = level.withColumn("d", F.levenshtein("q", "center")).filter(F.col("d") <= F.col("radius") + tol)
@@ -139,9 +165,35 @@ def search_adaptive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, edg
         if layer == SMALL:
             return _verified(near, leaves, edges, tol)
         level = _descend(near, edges, nodes, layer)
+        if marks is not None:
+            level = _prune(level, near, edges, layer, marks, tol)
     raise AssertionError
 
 
+def prototype_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Only the edges whose child's center lies in the parent's ball. A child's ball may then
+    stick out of its parent, so a search over these edges can miss results."""
+    own = lambda up, name: nodes.select((F.col("layer") + up).alias("layer"), F.col("node_id").alias(name), F.col("center").alias(f"_{name}"), F.col("radius").alias(f"_r_{name}"))
+    inner = edges.filter(F.col("layer") > SMALL).join(own(0, "parent"), ["layer", "parent"]).join(own(1, "child"), ["layer", "child"])
+    held = inner.filter(F.levenshtein("_parent", "_child") <= F.col("_r_parent")).select("layer", "parent", "child")
+    return edges.filter(F.col("layer") == SMALL).select("layer", "parent", "child").unionByName(held)
+
+
+def visits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
+    """(layer, visited, total): per layer the nodes that an exhaustive search opens, over all
+    queries, and what opening all would be."""
+    level, out = _roots(queries, nodes), None
+    for layer in (LARGE, MIDDLE, SMALL):
+        near = level.select("q_id", "q", F.col("child").alias("node_id"), "center", "radius").dropDuplicates(["q_id", "node_id"])
+        near = near.filter(F.levenshtein("q", "center") <= F.col("radius") + tol).select("q_id", "q", "node_id")
+        row = near.agg(F.lit(layer).alias("layer"), F.count("*").alias("visited"))
+        out = row if out is None else out.unionByName(row)
+        if layer > SMALL:
+            level = _descend(near, edges, nodes, layer)
+    every = nodes.groupBy("layer").agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("_q")))
+    return out.join(every, "layer").select("layer", "visited", (F.col("n") * F.col("_q")).alias("total"))
+
+
 def search_greedy(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
     """(q_id, id): the leaves, not verified, of the one small ball reached by always taking
     the nearest ball that meets the query's."""
@@ -164,6 +216,10 @@ def search(spark: SparkSession, mode: str, queries: DataFrame, leaves: DataFrame
         return search_exhaustive(queries, leaves, nodes, edges, tol)
     if mode == "adaptive":
         return search_adaptive(queries, leaves, nodes, edges, tol)
+    if mode == "pruned":
+        return search_adaptive(queries, leaves, nodes, edges, tol, fingerprints(nodes, edges))
+    if mode == "prototype":
+        return search_exhaustive(queries, leaves, nodes, prototype_edges(nodes, edges), tol)
     if mode == "greedy":
         return search_greedy(queries, nodes, edges, tol)
     raise ValueError(f"unknown mode {mode!r}")
@@ -187,6 +243,13 @@ def intra_class(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     return d.groupBy("parent").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))
 
 
-def prototype_links(leaves: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
-    """(parent, child) of every string within radius of a center: multiple parents."""
-    return _pairs(leaves, centers, radius).select(F.col("r_id").alias("parent"), F.col("l_id").alias("child"))
+def inter_class(nodes: DataFrame) -> DataFrame:
+    """(n, least, mean, most) of distances between centers of small balls: the other side of
+    intra_class. The centers are dealt by a hash into blocks of about BLOCK, and those of one
+    block are compared, so the work is linear in the number of balls."""
+    centers = nodes.filter(F.col("layer") == SMALL).select("node_id", "center")
+    n = max(1, centers.count() // BLOCK)
+    dealt = centers.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(n)))
+    a, b = dealt.select("b", F.col("node_id").alias("x"), F.col("center").alias("cx")), dealt.select("b", F.col("node_id").alias("y"), F.col("center").alias("cy"))
+    d = a.join(b, "b").filter("x < y").select(F.levenshtein("cx", "cy").alias("d"))
+    return d.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))

@@ -16,14 +16,15 @@ def draw(*key: Column) -> Column:
     """A number in 0..MODULUS-1 from integer columns by arithmetic that SQL engines share."""
     out = F.lit(7).cast("long")
     for k in key:
-        out = (out * 48271 + k.cast("long") * 69621 + 11) % MODULUS
+        out = (out * 48271 + F.pmod(k.cast("long"), F.lit(MODULUS)) * 69621 + 11) % MODULUS
     return out
 
 
-def simulate_queries(refs: DataFrame, n: int, k: int) -> DataFrame:
-    """n windows of length k at drawn places of n drawn references (q_id, q, ref_id, pos)."""
+def simulate_queries(refs: DataFrame, n: int | None, k: int) -> DataFrame:
+    """Windows of length k at drawn places of n drawn references, or of all (n None):
+    (q_id, q, ref_id, pos)."""
     fit = refs.filter(F.length("seq") >= k).withColumn("_d", draw(F.col("ref_id")))
-    some = fit.orderBy("_d", "ref_id").limit(n).withColumn("pos", (F.col("_d") % (F.length("seq") - k + 1)).cast("int"))
+    some = (fit if n is None else fit.orderBy("_d", "ref_id").limit(n)).withColumn("pos", (F.col("_d") % (F.length("seq") - k + 1)).cast("int"))
     return some.select(F.col("ref_id").alias("q_id"), F.expr(f"substring(seq, pos + 1, {k})").alias("q"), "ref_id", "pos")
 
 

@@ -7,36 +7,45 @@ as a function of two columns.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import materialise
+from .generate import draw
 from .search import nearest, small
 
 Metric = Callable[[Column, Column], Column]
 
 
-def choose_pivots(objects: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n objects by a seeded hash: (pivot_id, center)."""
-    some = objects.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+def pivot_count(n_objects: int, least: int = 16) -> int:
+    """Balls for a table of this size: the square root, so that balls and members of a ball
+    grow alike."""
+    return max(least, math.isqrt(max(n_objects - 1, 0)) + 1)
+
+
+def choose_pivots(objects: DataFrame, n: int) -> DataFrame:
+    """n objects by a draw of their ids (integers): (pivot_id, center)."""
+    some = objects.orderBy(draw(F.col("id")), "id").limit(n)
     return some.select(F.col("id").alias("pivot_id"), F.col("obj").alias("center"))
 
 
 def assign(objects: DataFrame, pivots: DataFrame, metric: Metric) -> DataFrame:
     """Each object at its nearest pivot; ties go to the least pivot_id."""
-    pairs = objects.crossJoin(small(pivots)).withColumn("d", metric(F.col("obj"), F.col("center")))
-    best = pairs.groupBy("id").agg(F.min(F.struct("d", "pivot_id")).alias("m"), F.first("obj").alias("obj"))
+    pairs = objects.crossJoin(small(pivots)).select("id", "obj", F.struct(metric(F.col("obj"), F.col("center")).alias("d"), "pivot_id").alias("m"))
+    best = pairs.groupBy("id").agg(F.min("m").alias("m"), F.first("obj").alias("obj"))
     return best.select("m.pivot_id", "id", "obj", "m.d")
 
 
-def build(objects: DataFrame, n: int, metric: Metric, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Pivots with their radii, and members."""
-    centers = choose_pivots(objects, n, seed)
-    members = assign(objects, centers, metric)
+def build(objects: DataFrame, n: int, metric: Metric) -> tuple[DataFrame, DataFrame]:
+    """Pivots with their radii, and members, as tables."""
+    centers = materialise(choose_pivots(objects, n), "centers")
+    members = materialise(assign(objects, centers, metric), "members")
     radii = members.groupBy("pivot_id").agg(F.max("d").alias("radius"), F.count("*").alias("n"))
-    return centers.join(radii, "pivot_id"), members
+    return materialise(centers.join(radii, "pivot_id"), "pivots"), members
 
 
 def remove(members: DataFrame, gone: DataFrame) -> DataFrame:
@@ -68,12 +77,42 @@ def compact(objects: DataFrame, pivots: DataFrame, members: DataFrame, metric: M
     return centers.join(radii, "pivot_id"), again
 
 
-def range_search(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, r: float) -> DataFrame:
-    """(q_id, id, dist) within r. A ball is left out if d(q, center) - radius > r, a member if
-    |d(q, center) - d(member, center)| > r; the metric is computed for the rest."""
-    near = queries.crossJoin(small(pivots)).withColumn("dq", metric(F.col("q"), F.col("center"))).filter(F.col("dq") - F.col("radius") <= r)
-    left = near.select("q_id", "q", "pivot_id", "dq").join(members, "pivot_id").filter(F.abs(F.col("dq") - F.col("d")) <= r)
-    return left.select("q_id", "id", metric(F.col("q"), F.col("obj")).alias("dist")).filter(F.col("dist") <= r)
+def visits(queries: DataFrame, pivots: DataFrame, metric: Metric, r: float) -> DataFrame:
+    """(q_id, q, pivot_id, radius, dq): the balls that a search within r has to open, as
+    d(q, center) - radius <= r."""
+    near = queries.crossJoin(small(pivots)).withColumn("dq", metric(F.col("q"), F.col("center")))
+    return near.filter(F.col("dq") - F.col("radius") <= r).select("q_id", "q", "pivot_id", "radius", "dq")
+
+
+def compared(opened: DataFrame, members: DataFrame, r: float) -> DataFrame:
+    """(q_id, q, pivot_id, id, obj): members of opened balls that may be within r, as
+    |d(q, center) - d(member, center)| <= r."""
+    return opened.join(members, "pivot_id").filter(F.abs(F.col("dq") - F.col("d")) <= r).select("q_id", "q", "pivot_id", "id", "obj")
+
+
+def range_search(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, r: float, bounded: Metric | None = None) -> DataFrame:
+    """(q_id, id, dist) within r. The metric is computed for the members that both rules leave;
+    bounded, if given, is a cheaper form of it that is negative beyond r."""
+    left = compared(visits(queries, pivots, metric, r), members, r)
+    dist = (bounded or metric)(F.col("q"), F.col("obj"))
+    return left.select("q_id", "id", dist.alias("dist")).filter(F.col("dist").between(0, r))
+
+
+def range_limit(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, r: float, k: int | None) -> DataFrame:
+    """(q_id, id, dist, rank) within r from the nearest one on, ties by id: at most the first k,
+    or all (None). Ranks from 1 on are the order of an incremental search, so any prefix of its
+    results is a filter on rank."""
+    return nearest(range_search(queries, pivots, members, metric, r), k, "q_id", "id")
+
+
+def accesses(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, r: float) -> DataFrame:
+    """(q_id, node_accesses, entry_accesses, least_radius, mean_radius, most_radius) of a range
+    search: opened balls, members compared, and the radii of the opened balls."""
+    opened = visits(queries, pivots, metric, r)
+    balls = opened.groupBy("q_id").agg(F.count("*").alias("node_accesses"), F.min("radius").alias("least_radius"), F.avg("radius").alias("mean_radius"), F.max("radius").alias("most_radius"))
+    entries = compared(opened, members, r).groupBy("q_id").agg(F.count("*").alias("entry_accesses"))
+    out = queries.select("q_id").join(balls, "q_id", "left").join(entries, "q_id", "left").na.fill(0, ["node_accesses", "entry_accesses"])
+    return out.select("q_id", "node_accesses", "entry_accesses", "least_radius", "mean_radius", "most_radius")
 
 
 def knn(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metric, k: int) -> DataFrame:
@@ -91,9 +130,25 @@ def knn(queries: DataFrame, pivots: DataFrame, members: DataFrame, metric: Metri
     return nearest(rest.select("q_id", "id", metric(F.col("q"), F.col("obj")).alias("dist")), k, "q_id", "id")
 
 
-def routing_anchors(pivots: DataFrame, most: int = 100) -> DataFrame:
-    """Centers of the largest balls, at most `most`: (anchor_id, seq)."""
-    return pivots.orderBy(F.desc("n"), "pivot_id").limit(most).select(F.col("pivot_id").alias("anchor_id"), F.col("center").alias("seq"))
+def routing_anchors(pivots: DataFrame, most: int = 100, least: int = 1) -> DataFrame:
+    """Centers of the largest balls with at least `least` members, at most `most`:
+    (anchor_id, seq)."""
+    return pivots.filter(F.col("n") >= least).orderBy(F.desc("n"), "pivot_id").limit(most).select(F.col("pivot_id").alias("anchor_id"), F.col("center").alias("seq"))
+
+
+def violations(pivots: DataFrame, members: DataFrame, objects: DataFrame, metric: Metric) -> DataFrame:
+    """(rule, n) of what an index must not have: members beyond their ball's radius, with a
+    wrong distance, without a ball, objects in no ball or in several."""
+    both = members.join(pivots.select("pivot_id", "center", "radius"), "pivot_id", "left")
+    own = both.agg(
+        F.count_if(F.col("center").isNull()).alias("no_ball"),
+        F.count_if(F.col("d") > F.col("radius")).alias("beyond_radius"),
+        F.count_if(F.abs(metric(F.col("obj"), F.col("center")) - F.col("d")) > 1e-9).alias("wrong_distance"),
+    )
+    seen = objects.select("id").join(members.groupBy("id").agg(F.count("*").alias("k")), "id", "full")
+    rows = own.crossJoin(seen.agg(F.count_if(F.col("k").isNull()).alias("left_out"), F.count_if(F.col("k") > 1).alias("repeated")))
+    rules = ("no_ball", "beyond_radius", "wrong_distance", "left_out", "repeated")
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(x).alias("rule"), F.col(x).alias("n")) for x in rules])).alias("x")).select("x.rule", "x.n")
 
 
 def structure(pivots: DataFrame, members: DataFrame) -> DataFrame:

@@ -6,12 +6,16 @@ set is the small side: it is broadcast only up to BROADCAST_ROWS rows, else join
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.strings import bounded_distance
-from ..sources.tables import spread
+from ..sources.tables import materialise, spread
 
 BROADCAST_ROWS = 100_000
 #: Positions in one page of a reference.
@@ -107,14 +111,15 @@ def truth(queries: DataFrame, refs: DataFrame, k: int, max_dist: int) -> DataFra
     return range_search(queries, refs, k, max_dist // 2).select("q_id", "ref_id", "pos")
 
 
-def sae_candidates(queries: DataFrame, refs: DataFrame, k: int, max_dist: int, verify: bool = True) -> DataFrame:
+def sae_candidates(queries: DataFrame, refs: DataFrame, k: int, max_dist: int, verify: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Seed and extend: non-overlapping seeds of length k div max_dist, their exact hits, and
-    the window on each hit's diagonal; verified within max_dist unless told otherwise."""
+    the window on each hit's diagonal; verified within max_dist unless told otherwise. keep
+    names further columns of the result (q, window)."""
     length = max(k // max_dist, 1) if max_dist > 0 else k
     hits = seed_hits(queries, refs, k, length, k // length)
     found = diagonal_candidates(hits, k, 0).dropDuplicates(["q_id", "ref_id", "pos"])
     scored = found.withColumn("dist", bounded_distance(F.col("q"), F.col("window"), max_dist) if verify else F.levenshtein("q", "window"))
-    return (scored.filter("dist >= 0") if verify else scored).select("q_id", "ref_id", "pos", "dist")
+    return (scored.filter("dist >= 0") if verify else scored).select("q_id", "ref_id", "pos", "dist", *keep)
 
 
 def edit_join(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
@@ -151,20 +156,81 @@ def _with_ids(scored: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return scored.join(left.select(F.col("id").alias("l_id"), F.col("s").alias("ls")), "ls").join(right.select(F.col("id").alias("r_id"), F.col("s").alias("rs")), "rs").select("l_id", "r_id", "dist")
 
 
-def nearest(pairs: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
-    """The k rows of least dist for each `by`; ties by the columns named."""
+def nearest(pairs: DataFrame, k: int | None, by: str, *ties: str) -> DataFrame:
+    """The k rows (None: all) of least dist for each `by`, with their rank; ties by the columns
+    named."""
     order = Window.partitionBy(by).orderBy("dist", *ties)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def knn_edit(queries: DataFrame, objects: DataFrame, k: int, most: int) -> DataFrame:
-    """k nearest strings of each query: edit joins of growing radius until every query has k
-    neighbours or the radius reaches `most`."""
-    t = 1
+def knn_edit(queries: DataFrame, objects: DataFrame, k: int) -> DataFrame:
+    """k nearest strings of each query (fewer only where there are fewer): edit joins of
+    growing radius, each for the queries that have no k neighbours yet, until none is left or
+    the radius is the longest string's length, within which all strings are."""
+    longest = max(queries.agg(F.max(F.length("s"))).first()[0] or 0, objects.agg(F.max(F.length("s"))).first()[0] or 0)
+    t, left, done = 1, queries, None
     while True:
-        found = edit_join(queries, objects, t)
+        found = materialise(edit_join(left, objects, t), "neighbours")
         full = found.groupBy("l_id").count().filter(F.col("count") >= k).select(F.col("l_id").alias("id"))
-        if t >= most or not queries.join(full, "id", "left_anti").limit(1).count():
+        last = t >= longest
+        part = found if last else found.join(full.withColumnRenamed("id", "l_id"), "l_id", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            break
+        left = materialise(left.join(full, "id", "left_anti"), "unanswered")
+        if left.isEmpty():
             break
-        t = min(2 * t, most)
-    return nearest(found, k, "l_id", "r_id")
+        t = min(2 * t, longest)
+    return nearest(done, k, "l_id", "r_id")
+
+
+def x_drop(queries: list[str], parts: list[str], q_at: np.ndarray, r_at: np.ndarray, length: int, drop: np.ndarray) -> np.ndarray:
+    """Where the gapped extension of each seed (length characters at q_at of its query and at
+    r_at of its part) begins on the part. The extension to the left of a seed is the best one
+    of +1 for a match and -1 for a mismatch or gap over all prefixes; a cell that is more than
+    `drop` below the best so far ends there. Among equal ones the shortest is taken. All seeds
+    are extended at once, row by row."""
+    n = len(queries)
+    rows = int(q_at.max(initial=0))
+    wide = rows + int(drop.max(initial=0)) + 1
+    q, r = np.zeros((n, rows), np.uint32), np.full((n, wide), 1, np.uint32)  # 0 and 1 are no characters
+    for i, (a, b, x, y) in enumerate(zip(queries, parts, q_at.tolist(), r_at.tolist(), strict=True)):
+        left, right = a[:x][::-1], b[max(0, y - wide) : y][::-1]
+        q[i, : len(left)] = np.frombuffer(left.encode("utf-32-le"), np.uint32)
+        r[i, : len(right)] = np.frombuffer(right.encode("utf-32-le"), np.uint32)
+    low, steps = -(1 << 20), np.arange(wide + 1)
+    inside = (steps <= r_at[:, None]) & (steps <= wide)
+    row = np.where(inside & (steps <= drop[:, None]), -steps, low)
+    best, at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(1, rows + 1):
+        new = row - 1
+        new[:, 1:] = np.maximum(new[:, 1:], row[:, :-1] + np.where(r == q[:, i - 1 : i], 1, -1))
+        new = np.maximum.accumulate(new + steps, axis=1) - steps  # gaps along the part
+        new = np.where(inside & (i <= q_at)[:, None] & (new >= best[:, None] - drop[:, None]), new, low)
+        top = new.argmax(1)
+        value = new[np.arange(n), top]
+        better = value > best
+        best, at = np.where(better, value, best), np.where(better, top, at)
+        row = new
+    return r_at - at
+
+
+def extended_candidates(queries: DataFrame, refs: DataFrame, k: int, max_dist: int) -> DataFrame:
+    """(q_id, ref_id, pos): where the gapped X-drop extensions of the seeds' exact hits begin,
+    X being 4 * max_dist; candidates are not verified."""
+    length = max(k // max_dist, 1) if max_dist > 0 else k
+    drop = 4 * max_dist
+    hits = seed_hits(queries, refs, k, length, k // length, drop)
+    kinds = dict(hits.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, left = batch.column("at").to_numpy(), batch.column("left").to_numpy()
+            begin = x_drop(batch.column("q").to_pylist(), batch.column("part").to_pylist(), batch.column("offset").to_numpy().astype(np.int64), (at - left).astype(np.int64), length, np.full(batch.num_rows, drop))
+            yield pa.RecordBatch.from_arrays([batch.column("q_id"), batch.column("ref_id"), pa.array((left + begin).astype(np.int32))], names=["q_id", "ref_id", "pos"])
+
+    found = hits.select("q_id", "ref_id", "q", "offset", "at", "left", "part").mapInArrow(run, f"q_id {kinds['q_id']}, ref_id {kinds['ref_id']}, pos int")
+    return found.distinct()

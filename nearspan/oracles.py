@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .functions.strings import BASES, LETTERS
-from .registry import EUCLID_R, K, NUM_ANCHORS, NUM_PIVOTS, NUM_QUERIES, TOLERANCE, T
+from .registry import EUCLID_R, K, NUM_ANCHORS, TOLERANCE, T
 
 _DRAW = "((7 * 48271 + {0} * 69621 + 11) % 2147483647)"
 _DNA = f"""dna as (select doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') as s from documents where text is not null),
 kmers as (select doc_id, i - 1 as pos, substr(s, i, {K}) as seq from dna, unnest(generate_series(1, length(s) - {K - 1})) t(i)),
-drawn as (select doc_id as q_id, substr(s, ({_DRAW.format('doc_id')} % (length(s) - {K - 1})) + 1, {K}) as q from dna where length(s) >= {K} order by {_DRAW.format('doc_id')}, doc_id limit {NUM_QUERIES}),
-queries as (select q_id, case when q_id % 2 = 1 then substr(q, 1, (q_id * 31) % {K}) || translate(substr(q, (q_id * 31) % {K} + 1, 1), 'ACGT', 'CGTA') || substr(q, (q_id * 31) % {K} + 2) else q end as q from drawn)"""
+drawn as (select doc_id as q_id, substr(s, ({_DRAW.format('doc_id')} % (length(s) - {K - 1})) + 1, {K}) as q from dna where length(s) >= {K} and doc_id % 20 = 0),
+queries as (select q_id, case when (q_id // 20) % 2 = 1 then substr(q, 1, (q_id // 20 * 31) % {K}) || translate(substr(q, (q_id // 20 * 31) % {K} + 1, 1), 'ACGT', 'CGTA') || substr(q, (q_id // 20 * 31) % {K} + 2) else q end as q from drawn)"""
 _NAMES = """names as (select c_custkey as pos, c_name as seq from customer),
 queries as (select pos as q_id, translate(seq, '#', '@') as q from names where pos % 20 = 0)"""
 _ANCHORS = f"""{_NAMES},
@@ -17,6 +17,13 @@ anchors as (select row_number() over (order by {_DRAW.format('pos')}, pos) - 1 a
 idx as (select anchor_id, pos, levenshtein(a, seq)::bigint as dist from anchors, names),
 ranked as (select q_id, anchor_id, d, row_number() over (partition by q_id order by d, anchor_id) - 1 as rank from (select q_id, anchor_id, levenshtein(q, a)::bigint as d from queries, anchors))"""
 _SEED = K // T
+_PIVOTS = f"""{_NAMES},
+heads as (select pos as pivot_id, seq as center from names order by {_DRAW.format('pos')}, pos limit (select greatest(16, floor(sqrt(count(*) - 1))::bigint + 1) from names)),
+placed as (select pos as id, seq as obj, min(struct_pack(d := levenshtein(seq, center)::bigint, p := pivot_id)) as m from names, heads group by 1, 2),
+members as (select id, obj, m.p as pivot_id, m.d as d from placed),
+balls as (select pivot_id, center, max(d) as radius, count(*) as n from heads join members using (pivot_id) group by 1, 2),
+opened as (select q_id, q, b.pivot_id, radius, levenshtein(q, center)::bigint as dq from queries, balls b where levenshtein(q, center) - radius <= {TOLERANCE}),
+compared as (select q_id, count(*) as n from opened join members using (pivot_id) where abs(dq - d) <= {TOLERANCE} group by 1)"""
 
 
 def _candidates(where: str) -> str:
@@ -43,6 +50,7 @@ metrics as (select a.q_id, a.max_dist, (select count(*) from hit h where h.q_id
  (select count(*) from good g where g.q_id = a.q_id and g.max_dist = a.max_dist and not ok) as fp, (select count(*) from hit h where h.q_id = a.q_id and h.max_dist = a.max_dist and not ok) as fn from asked a)"""
 _VECTORS = """v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null),
 pairs as (select a.vec_id as q_id, b.vec_id, list_distance(a.e, b.e) as d from v a, v b where a.vec_id % 20 = 0)"""
+_RANKED = f"select q_id, pos, levenshtein(q, seq)::bigint as dist, row_number() over (partition by q_id order by levenshtein(q, seq), pos) as rank from queries, names where levenshtein(q, seq) <= {TOLERANCE}"
 _RANGE = f"select q_id, pos, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= {TOLERANCE}"
 _ONE = "select q_id, pos as id, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= 1"
 
@@ -79,7 +87,31 @@ select item_id from scored group by 1 having bool_and(dist <= most)""",
     "knn_edit": f"with {_NAMES} select * from (select q_id, pos, levenshtein(q, seq)::bigint as dist, row_number() over (partition by q_id order by levenshtein(q, seq), pos) as rank from queries, names) where rank <= 3",
     "range_search_pivot": f"with {_NAMES} {_RANGE}",
     "range_search_removed": f"with {_NAMES} {_RANGE} and pos % 3 <> 0",
-    "structure": f"select 'pivot' as layer, {NUM_PIVOTS}::bigint as n union all select 'member', count(*) from customer",
+    "range_search_appended": f"with {_NAMES} {_RANGE}",
+    "batch_retrieval": f"with {_NAMES} {_RANGE}",
+    "range_limit": f"with {_NAMES} select * from ({_RANKED}) where rank <= 3",
+    "range_ranked": f"with {_NAMES} {_RANKED}",
+    "pivot_accesses": f"""with {_PIVOTS}, nodes as (select q_id, count(*) as n, min(radius) as least_radius, avg(radius) as mean_radius, max(radius) as most_radius from opened group by 1)
+select q_id, coalesce(nodes.n, 0) as node_accesses, coalesce(compared.n, 0) as entry_accesses, least_radius, mean_radius, most_radius from queries left join nodes using (q_id) left join compared using (q_id)""",
+    "routing_anchors": f"with {_PIVOTS} select pivot_id as anchor_id, center as seq from balls where n >= 5 order by n desc, pivot_id limit 10",
+    "structure": f"with {_PIVOTS} select 'pivot' as layer, count(*) as n from balls union all select 'member', count(*) from members",
+    "index_violations": "select unnest(['no_ball', 'beyond_radius', 'wrong_distance', 'left_out', 'repeated']) as rule, 0::bigint as n",
+    "overlap_stats": f"with {_PIVOTS}, inside as (select id, count(*) as n from members, balls where levenshtein(obj, center) <= radius group by 1) select count(*) as n_members, count(*) filter (n > 1) as shared, sum(n - 1)::bigint as extra from inside",
+    "outlier_members": f"with {_PIVOTS}, usual as (select pivot_id, avg(d) as usual, count(*) as k from members group by 1) select id, pivot_id, d from members join usual using (pivot_id) where k >= 25 and d > usual * 1.1::double",
+    "near_anchors": f"with {_ANCHORS} select q_id, anchor_id, d as dist from ranked where d <= 5",
+    "last_random_anchor": f"""with {_ANCHORS}, cut as (select * from ranked where rank < 5)
+select * from cut where rank < (select count(*) from cut c where c.q_id = cut.q_id) - 1 union all
+select q_id, anchor_id, d, rank from (select *, row_number() over (partition by q_id order by (((7 * 48271 + q_id * 69621 + 11) % 2147483647 * 48271 + rank * 69621 + 11) % 2147483647 * 48271 + 42 * 69621 + 11) % 2147483647, rank) as i from cut) where i = 1""",
+    "retained_queries": f"with {_ANCHORS}, kept as (select count(distinct q_id) as k from ranked where d < 4) select count(*) as n_queries, any_value(k) as n_kept, 100.0::double * any_value(k) / count(*) as percent from queries, kept",
+    "anchor_accesses": f"""with {_ANCHORS}, hits as (select q_id, r.anchor_id, pos from ranked r join idx using (anchor_id) where dist between greatest(d - {TOLERANCE}, 0) and d + {TOLERANCE}),
+need as (select q_id, count(distinct anchor_id) as k, count(*) as index_accesses from hits group by 1), held as (select q_id, pos, count(*) as c from hits group by 1, 2)
+select q_id, index_accesses, (select count(*) from held h where h.q_id = need.q_id and h.c = need.k) as candidate_accesses from need""",
+    "fasta_records": f"with {_DNA} select doc_id::varchar as id, s as seq from dna",
+    "reference_prefix": f"with {_DNA} select doc_id::varchar as id, substr(s, 1, 10000) as seq from dna order by dna.doc_id limit 1",
+    "fastq_queries": f"with {_DNA} select row_number() over (order by doc_id desc) - 1 as q_id, substr(s, 1, {K}) as q from dna where length(s) >= 50 order by doc_id desc limit 100",
+    "result_csv": "select n_nationkey::bigint as n_nationkey, (n_nationkey + 0.5 + 2.25)::double as total from nation",
+    "report_scrape": "select n_nationkey::bigint as max_dist, n_nationkey::double + 0.5 as avg_tp, n_nationkey::double / 4 as avg_fp, 0::double as avg_fn, 1 / (n_nationkey::double + 1) as recall, 1::double as precision, n_nationkey::double * 1000 as fp_per_tp, n_nationkey::double + 2.25 as distances from nation",
+    "method_results": f"with {_NAMES}, found as ({_RANGE}) select 'all' as method, q_id, count(*) as n from found group by 2 union all select 'removed', q_id, count(*) from found where pos % 3 <> 0 group by 2",
     "range_euclidean": f"with {_VECTORS} select q_id, vec_id, round(d, 6) as dist from pairs where d <= {EUCLID_R}",
     "knn_euclidean": f"with {_VECTORS} select * from (select q_id, vec_id, round(d, 6) as dist, row_number() over (partition by q_id order by d, vec_id) as rank from pairs) where rank <= 5",
     "substring_extract": f"""with {_DNA}, coords as (select o_orderkey, o_orderkey % 1200 as chrom, o_custkey as pos, o_orderkey % 50 as len from orders)
@@ -91,4 +123,5 @@ select o_orderkey, chrom, pos, len, coalesce(substr(s, pos + 1, len), '') as seq
     "dag_recall": "select 0::bigint as missing, 0::bigint as extra",
     "dag_exhaustive": f"with {_NAMES} {_ONE}",
     "dag_adaptive": f"with {_NAMES} {_ONE}",
+    "dag_pruned": f"with {_NAMES} {_ONE}",
 }

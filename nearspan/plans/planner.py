@@ -88,7 +88,7 @@ class PivotRetriever:
         spots = search.kmers(refs, self.config.k).groupBy("seq").agg(F.collect_list(F.struct("ref_id", "pos")).alias("places"))
         objects = spots.select(F.xxhash64("seq").alias("id"), F.col("seq").alias("obj"), "places")
         self.places = objects.select("id", "places")
-        self.pivots, self.members = pivots.build(objects.select("id", "obj"), self.config.num_anchors, F.levenshtein, self.config.seed)
+        self.pivots, self.members = pivots.build(objects.select("id", "obj"), self.config.num_anchors, F.levenshtein)
 
     def retrieve(self, queries: DataFrame, t: int) -> DataFrame:
         found = pivots.range_search(queries, self.pivots, self.members, F.levenshtein, t)

@@ -2,23 +2,25 @@
 
 Fixtures over whole tables: the letters of every document stand for a genome (one reference
 a document), and customer names are short strings for metric search. Query sets are part of
-each query: NUM_QUERIES simulated reads, or every customer or vector whose id is divisible
-by 20 against all rows.
+each query: one read of every document, or every customer or vector, whose id is divisible by
+20, against all rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.strings import parse_doubles, parse_ints, parse_thresholds, to_bases, window_distance
+from .functions.strings import bounded_distance, parse_doubles, parse_ints, parse_thresholds, to_bases, window_distance
 from .functions.vectors import euclidean
 from .operators import anchors, cluster, dag, evaluate, generate, pivots, search
-from .sources import files
-from .sources.tables import spread
+from .sources import files, reports
+from .sources.tables import materialise, shared_dir, spread
 
-K, NUM_QUERIES, T = 20, 10, 3
-NUM_ANCHORS, NUM_PIVOTS = 10, 16
+K, T = 20, 3
+NUM_ANCHORS = 100
 EUCLID_R = 1.25
 DAG_RADII = {dag.SMALL: 2, dag.MIDDLE: 4, dag.LARGE: 8}
 TOLERANCE = 2
@@ -38,12 +40,13 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """NUM_QUERIES simulated reads with base (id * 31) % K substituted in every second one."""
-    drawn = generate.simulate_queries(references(spark, sf_dir), NUM_QUERIES, K)
-    at = (F.col("q_id") * 31 % K).cast("int")
-    swapped = F.concat(F.expr(f"substring(q, 1, cast(q_id * 31 % {K} as int))"), F.translate(F.expr(f"substring(q, cast(q_id * 31 % {K} as int) + 1, 1)"), "ACGT", "CGTA"), F.col("q").substr(at + 2, F.lit(K)))
-    chosen = drawn.select("q_id", F.when(F.col("q_id") % 2 == 1, swapped).otherwise(F.col("q")).alias("q"))
-    return spark.createDataFrame(chosen.collect(), chosen.schema)  # NUM_QUERIES rows
+    """A simulated read of every document whose id is divisible by 20; every second one has
+    one base substituted. A table, as each plan reads it several times."""
+    refs = references(spark, sf_dir).filter(F.col("ref_id") % 20 == 0)
+    drawn = generate.simulate_queries(refs, None, K)
+    at = (F.floor(F.col("q_id") / 20) * 31 % K).cast("int")
+    swapped = F.concat(F.col("q").substr(F.lit(1), at), F.translate(F.col("q").substr(at + 1, F.lit(1)), "ACGT", "CGTA"), F.col("q").substr(at + 2, F.lit(K)))
+    return materialise(drawn.select("q_id", F.when(F.floor(F.col("q_id") / 20) % 2 == 1, swapped).otherwise(F.col("q")).alias("q")), "reads")
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +113,18 @@ def sae_candidates(spark, d):
 
 
 def _evaluated(spark, d):
+    """Truth and candidates for max_dist 2 and 4, each from one search: what is within fewer
+    edits, or agrees with longer seeds, is a part of what the wider search finds."""
     q, r = reads(spark, d), references(spark, d)
-    truth = cands = asked = None
-    for t in (2, 4):
-        parts = [p.withColumn("max_dist", F.lit(t)) for p in (search.truth(q, r, K, t), search.sae_candidates(q, r, K, t).drop("dist"), q.select("q_id"))]
-        truth, cands, asked = (p if old is None else old.unionByName(p) for old, p in zip((truth, cands, asked), parts, strict=True))
+    by = F.array(F.lit(2), F.lit(4))
+    near = search.range_search(q, r, K, 2).withColumn("max_dist", F.explode(by))
+    truth = materialise(near.filter(F.col("dist") <= F.floor(F.col("max_dist") / 2)).select("q_id", "max_dist", "ref_id", "pos"), "truth")
+    found = search.sae_candidates(q, r, K, 4, keep=("q", "window")).withColumn("max_dist", F.explode(by))
+    agrees = F.lit(False)
+    for offset in (0, K // 2):
+        agrees = agrees | (F.col("q").substr(offset + 1, K // 2) == F.col("window").substr(offset + 1, K // 2))
+    cands = found.filter((F.col("max_dist") == 4) | ((F.col("dist") <= 2) & agrees)).select("q_id", "max_dist", "ref_id", "pos")
+    asked = q.select("q_id", F.explode(by).alias("max_dist"))
     return evaluate.position_metrics(truth, cands, evaluate.with_truth(asked, truth))
 
 
@@ -180,31 +190,96 @@ def edit_join(spark, d):
     return longs(search.edit_join(strings, strings, T))
 
 
+def extended_candidates(spark, d):
+    return longs(search.extended_candidates(reads(spark, d), references(spark, d), K, T))
+
+
 def knn_edit(spark, d):
-    found = search.knn_edit(_ids(name_queries(spark, d), "q_id", "q"), _ids(names(spark, d), "pos", "seq"), 3, 18)
+    found = search.knn_edit(_ids(name_queries(spark, d), "q_id", "q"), _ids(names(spark, d), "pos", "seq"), 3)
     return longs(found.select(F.col("l_id").alias("q_id"), F.col("r_id").alias("pos"), "dist", "rank"))
 
 
+def near_anchors(spark, d):
+    return longs(anchors.near_anchors(name_queries(spark, d), name_anchors(spark, d), 5))
+
+
+def last_random_anchor(spark, d):
+    ranked = anchors.query_anchors(name_queries(spark, d), name_anchors(spark, d))
+    return longs(anchors.select_anchors(ranked, 0, 5, last_random=True))
+
+
+def retained_queries(spark, d):
+    q = name_queries(spark, d)
+    return anchors.retained(q, anchors.has_near_anchor(q, name_anchors(spark, d), 4))
+
+
+def anchor_accesses(spark, d):
+    index = materialise(anchors.build_index(name_anchors(spark, d), names(spark, d)), "anchor-index")
+    ranked = anchors.query_anchors(name_queries(spark, d), name_anchors(spark, d))
+    return longs(anchors.anchor_accesses(ranked, index, anchors.candidates(ranked, index, TOLERANCE), TOLERANCE))
+
+
+def _objects(spark, d):
+    return names(spark, d).select(F.col("pos").alias("id"), F.col("seq").alias("obj"))
+
+
+def _within(t):
+    return lambda a, b: bounded_distance(a, b, t)
+
+
 def _name_index(spark, d):
-    objects = names(spark, d).select(F.col("pos").alias("id"), F.col("seq").alias("obj"))
-    return pivots.build(objects, NUM_PIVOTS, F.levenshtein)
+    objects = _objects(spark, d)
+    return pivots.build(objects, pivots.pivot_count(objects.count()), F.levenshtein)
 
 
 def range_search_pivot(spark, d):
     heads, members = _name_index(spark, d)
-    return longs(pivots.range_search(name_queries(spark, d), heads, members, F.levenshtein, TOLERANCE).withColumnRenamed("id", "pos"))
+    return longs(pivots.range_search(name_queries(spark, d), heads, members, F.levenshtein, TOLERANCE, _within(TOLERANCE)).withColumnRenamed("id", "pos"))
 
 
 def range_search_removed(spark, d):
     heads, members = _name_index(spark, d)
     left = pivots.remove(members, names(spark, d).filter(F.col("pos") % 3 == 0).select(F.col("pos").alias("id")))
-    return longs(pivots.range_search(name_queries(spark, d), heads, left, F.levenshtein, TOLERANCE).withColumnRenamed("id", "pos"))
+    return longs(pivots.range_search(name_queries(spark, d), heads, left, F.levenshtein, TOLERANCE, _within(TOLERANCE)).withColumnRenamed("id", "pos"))
+
+
+def range_search_appended(spark, d):
+    objects = _objects(spark, d)
+    old, new = objects.filter(F.col("id") % 2 == 0), objects.filter(F.col("id") % 2 == 1)
+    index = pivots.append(*pivots.build(old, pivots.pivot_count(old.count()), F.levenshtein), new, F.levenshtein)
+    return longs(pivots.range_search(name_queries(spark, d), *index, F.levenshtein, TOLERANCE, _within(TOLERANCE)).withColumnRenamed("id", "pos"))
+
+
+def range_limit(spark, d):
+    return longs(pivots.range_limit(name_queries(spark, d), *_name_index(spark, d), F.levenshtein, TOLERANCE, 3).withColumnRenamed("id", "pos"))
+
+
+def range_ranked(spark, d):
+    return longs(pivots.range_limit(name_queries(spark, d), *_name_index(spark, d), F.levenshtein, TOLERANCE, None).withColumnRenamed("id", "pos"))
+
+
+def batch_retrieval(spark, d):
+    heads, members = _name_index(spark, d)
+    search_one = lambda q: pivots.range_search(q, heads, members, F.levenshtein, TOLERANCE, _within(TOLERANCE))
+    return longs(anchors.retrieve_batch(name_queries(spark, d), pivots.routing_anchors(heads, 10), search_one).withColumnRenamed("id", "pos"))
+
+
+def pivot_accesses(spark, d):
+    return longs(pivots.accesses(name_queries(spark, d), *_name_index(spark, d), F.levenshtein, TOLERANCE))
+
+
+def routing_anchors(spark, d):
+    return longs(pivots.routing_anchors(_name_index(spark, d)[0], 10, 5))
 
 
 def structure(spark, d):
     return pivots.structure(*_name_index(spark, d))
 
 
+def index_violations(spark, d):
+    return pivots.violations(*_name_index(spark, d), _objects(spark, d), F.levenshtein)
+
+
 def overlap_stats(spark, d):
     return pivots.overlap(*_name_index(spark, d), F.levenshtein)
 
@@ -222,13 +297,13 @@ def _vectors(spark, d):
 
 def range_euclidean(spark, d):
     objects, queries = _vectors(spark, d)
-    found = pivots.range_search(queries, *pivots.build(objects, NUM_PIVOTS, euclidean), euclidean, EUCLID_R)
+    found = pivots.range_search(queries, *pivots.build(objects, pivots.pivot_count(objects.count()), euclidean), euclidean, EUCLID_R)
     return found.select("q_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"))
 
 
 def knn_euclidean(spark, d):
     objects, queries = _vectors(spark, d)
-    found = pivots.knn(queries, *pivots.build(objects, NUM_PIVOTS, euclidean), euclidean, 5)
+    found = pivots.knn(queries, *pivots.build(objects, pivots.pivot_count(objects.count()), euclidean), euclidean, 5)
     return longs(found.select("q_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"), "rank"))
 
 
@@ -259,11 +334,68 @@ def literal_arrays(spark, d):
     return longs(table(spark, d, "nation").select("n_nationkey", F.aggregate(parse_doubles(js), F.lit(0.0), lambda s, x: s + x).alias("total")))
 
 
+def _scratch(spark, name):
+    return f"{shared_dir(spark)}/nearspan-{name}-{uuid.uuid4().hex}"
+
+
+def _in_order(spark, d):
+    """References in the order of ids over several files."""
+    return references(spark, d).select(F.col("ref_id").alias("id"), "seq").repartitionByRange(4, "id").sortWithinPartitions("id")
+
+
+def fasta_records(spark, d):
+    path = _scratch(spark, "fasta")
+    files.write_fasta(_in_order(spark, d).withColumn("id", F.col("id").cast("string")), path)
+    return files.read_fasta(spark, path)
+
+
+def reference_prefix(spark, d):
+    path = _scratch(spark, "fasta")
+    files.write_fasta(_in_order(spark, d).withColumn("id", F.col("id").cast("string")), path)
+    return files.first_sequence(spark, path, 10_000)
+
+
+def fastq_queries(spark, d):
+    path = _scratch(spark, "fastq")
+    long = _in_order(spark, d).filter(F.length("seq") >= 50)
+    files.write_fastq(long.select("id", F.substring("seq", 1, 50).alias("seq"), F.lit("I" * 50).alias("qual")), path)
+    return longs(files.fastq_queries(files.read_fastq(spark, files.data_files(spark, path)), 100, K))
+
+
+def result_csv(spark, d):
+    path = _scratch(spark, "results")
+    files.write_results(table(spark, d, "nation").select("n_nationkey", F.array(F.col("n_nationkey") + 0.5, F.lit(2.25)).alias("distances")), path)
+    found = files.read_results(spark, path, "n_nationkey long, distances string")
+    return found.select("n_nationkey", F.aggregate(parse_doubles(F.col("distances")), F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+def report_scrape(spark, d):
+    key = F.col("n_nationkey").cast("double")
+    made = table(spark, d, "nation").select(F.col("n_nationkey").alias("max_dist"), (key + 0.5).alias("avg_tp"), (key / 4).alias("avg_fp"), F.lit(0.0).alias("avg_fn"), (1 / (key + 1)).alias("recall"), F.lit(1.0).alias("precision"), (key * 1000).alias("fp_per_tp"), F.array(key, F.lit(2.25)).alias("distances"))
+    logs = reports.report(made).agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    return longs(reports.scrape(logs).withColumn("distances", F.aggregate("distances", F.lit(0.0), lambda s, x: s + x)))
+
+
+def method_results(spark, d):
+    counts = lambda f: longs(f(spark, d)).groupBy("q_id").agg(F.count("*").alias("n"))
+    return evaluate.concat_methods({"all": counts(range_search_loop), "removed": counts(range_search_removed)})
+
+
 def _dag(spark, d):
     leaves = _ids(names(spark, d), "pos", "seq")
     return leaves, *dag.build(leaves, DAG_RADII)
 
 
+def dag_visits(spark, d):
+    leaves, nodes, edges = _dag(spark, d)
+    return longs(evaluate.saving(dag.visits(name_queries(spark, d), nodes, edges, 1)))
+
+
+def inter_class_distance(spark, d):
+    leaves, nodes, edges = _dag(spark, d)
+    return longs(dag.inter_class(nodes))
+
+
 def _dag_search(mode):
     def run(spark, d):
         leaves, nodes, edges = _dag(spark, d)
@@ -305,8 +437,10 @@ def mutated_reads(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, position_metrics, metrics_summary, distance_stats, window_min_distance,
-        anchor_index, anchor_rank, anchor_candidates, anchor_candidates_topk, anchor_conjunctive, nearby_anchor_filter, query_buckets, edit_join, knn_edit, range_search_pivot, range_search_removed, structure, overlap_stats,
-        outlier_members, range_euclidean, knn_euclidean, substring_extract, parse_int_list, json_thresholds, distance_lists, literal_arrays, dag_recall, dag_statistics, intra_class_distance, leader_pivots, split_clusters, mutated_reads,
+        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, extended_candidates, position_metrics, metrics_summary, distance_stats,
+        window_min_distance, anchor_index, anchor_rank, anchor_candidates, anchor_candidates_topk, anchor_accesses, anchor_conjunctive, nearby_anchor_filter, retained_queries, near_anchors, last_random_anchor, query_buckets,
+        edit_join, knn_edit, range_search_pivot, range_search_removed, range_search_appended, range_limit, range_ranked, batch_retrieval, pivot_accesses, routing_anchors, structure, index_violations, overlap_stats, outlier_members,
+        range_euclidean, knn_euclidean, substring_extract, parse_int_list, json_thresholds, distance_lists, literal_arrays, fasta_records, reference_prefix, fastq_queries, result_csv, report_scrape, method_results,
+        dag_recall, dag_statistics, dag_visits, intra_class_distance, inter_class_distance, leader_pivots, split_clusters, mutated_reads,
     )
-} | {f"dag_{mode}": _dag_search(mode) for mode in ("exhaustive", "adaptive", "greedy")}
+} | {f"dag_{mode}": _dag_search(mode) for mode in ("exhaustive", "adaptive", "pruned", "greedy", "prototype")}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
+import io
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,23 +17,27 @@ from ..functions.strings import normalise_bases
 def read_fasta(spark: SparkSession, path: str, normalise: bool = True) -> DataFrame:
     """(id, seq) of a FASTA file or folder. Records are split at '>' by the text reader, so a
     file of many records is read in parallel; an id is the whole header line."""
-    raw = spark.read.option("lineSep", "\n>").text(path)
+    return _records(spark.read.option("lineSep", "\n>").text(path), normalise)
+
+
+def _records(raw: DataFrame, normalise: bool) -> DataFrame:
     record = F.regexp_replace(F.col("value"), "^>", "")
     lines = F.split(record, "\r?\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), r"\s", "")
-    out = raw.filter(F.trim("value") != "").select(F.trim(lines[0]).alias("id"), (normalise_bases(seq) if normalise else seq).alias("seq"))
-    return out
+    return raw.filter(F.trim("value") != "").select(F.trim(lines[0]).alias("id"), (normalise_bases(seq) if normalise else seq).alias("seq"))
 
 
 class FastqSource(DataSource):
-    """Four-line FASTQ records with their number in the file: (n, id, seq, plus, qual)."""
+    """Four-line FASTQ records with the number of their file, in the order of names, and their
+    number in it: (file, n, id, seq, plus, qual). A file is read through the file system that
+    its URI names."""
 
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
     def schema(self) -> str:
-        return "n long, id string, seq string, plus string, qual string"
+        return "file int, n long, id string, seq string, plus string, qual string"
 
     def reader(self, schema) -> DataSourceReader:
         return _FastqReader(self.options)
@@ -43,11 +48,12 @@ class _FastqReader(DataSourceReader):
         self.paths = sorted(options["path"].split(","))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition((i, p)) for i, p in enumerate(self.paths)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value.removeprefix("file://")
-        with (gzip.open if path.endswith(".gz") else open)(path, "rt") as f:
+        number, path = partition.value
+        store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with store.open_input_stream(place, compression="detect") as raw, io.TextIOWrapper(raw, encoding="utf-8") as f:
             lines = (line.rstrip("\r\n") for line in f)
             for n, head in enumerate(lines):
                 if not head:
@@ -58,7 +64,7 @@ class _FastqReader(DataSourceReader):
                     raise ValueError(f"{path}: record {n} is cut off") from None
                 if not head.startswith("@") or len(seq) != len(qual):
                     raise ValueError(f"{path}: record {n} is no FASTQ record")
-                yield n, head[1:], seq, "+", qual
+                yield number, n, head[1:], seq, "+", qual
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -68,24 +74,44 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq_queries(reads: DataFrame, n: int, k: int) -> DataFrame:
     """The last n reads, from the last one backwards, cut to k bases: (q_id, q)."""
-    last = reads.orderBy(F.desc("n")).limit(n)
-    return last.select((F.max("n").over(_all()) - F.col("n")).cast("int").alias("q_id"), F.substring("seq", 1, k).alias("q"))
+    last = reads.orderBy(F.desc("file"), F.desc("n")).limit(n)
+    rows = last.agg(F.collect_list(F.struct("file", "n", "seq")).alias("a"))  # n entries
+    ordered = rows.select(F.posexplode(F.reverse(F.array_sort("a"))).alias("q_id", "x"))
+    return ordered.select("q_id", F.substring("x.seq", 1, k).alias("q"))
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    """(id, seq, qual) as four-line records."""
+    df.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("id").cast("string")), "seq", F.lit("+"), "qual").alias("value")).write.text(path)
+
+
+def data_files(spark: SparkSession, path: str) -> str:
+    """The files of a folder that Spark wrote, in order, as read_fastq takes them."""
+    return ",".join(sorted(spark.read.text(path).inputFiles()))
+
 
+def write_results(df: DataFrame, path: str) -> None:
+    """A result table as CSV with a header; arrays are written as literals."""
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
+    df.select([text(c).alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes]).write.option("header", True).csv(path)
 
-def _all():
-    from pyspark.sql.window import Window
 
-    return Window.partitionBy(F.lit(1))
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def write_fasta(df: DataFrame, path: str, seq: str = "seq", record: str = "id") -> None:
     df.select(F.concat(F.lit(">"), F.col(record), F.lit("\n"), F.col(seq)).alias("value")).write.text(path)
 
 
-def first_sequence(fasta: DataFrame, length: int | None = None) -> DataFrame:
-    """The file's first record, cut to a length."""
-    one = fasta.limit(1)
-    return one.withColumn("seq", F.substring("seq", 1, length)) if length else one
+def first_sequence(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """The first record of a file (of a folder, of its first file), cut to a length. Records
+    are numbered as they are read, so the least number is the file's first."""
+    parts = spark.read.option("lineSep", "\n>").text(path).filter(F.trim("value") != "")
+    first = parts.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    one = first.agg(F.min(F.struct("file", "n", "value")).alias("x")).filter(F.col("x").isNotNull()).select("x.value")
+    out = _records(one, True)
+    return out.withColumn("seq", F.substring("seq", 1, length)) if length else out
 
 
 def index_path(folder: str, kind: str, **settings) -> str:

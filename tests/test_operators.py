@@ -35,7 +35,6 @@ def test_small_functions(spark):
     assert one(spark, strings.windows(lit("ACG"), 5)) == []
     assert [w["kmer"] for w in one(spark, strings.windows(lit("ACGT"), 3))] == ["ACG", "CGT"]
     assert one(spark, strings.normalise_bases(lit("acgx"))) == "ACGN"
-    assert one(spark, strings.seed_length(20, 3)) == 6 and one(spark, strings.seed_length(2, 5)) == 1
     assert one(spark, strings.band(lit(1), 3)[0]) == 0
     fp = lambda *v: F.array(*map(F.lit, v))
     assert one(spark, strings.anchor_prunable(fp(1, 9), fp(1, 2), lit(2), 3))
