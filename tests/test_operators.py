@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from nearspan.config import Config
 from nearspan.functions import strings, vectors
 from nearspan.operators import anchors, cluster, dag, evaluate, generate, pivots, search
 from nearspan.plans import planner
-from nearspan.sources import files
+from nearspan.sources import files, reports
 from nearspan.streaming.queries import search_stream
 
 
@@ -241,3 +242,95 @@ def test_streamed_queries(spark, tmp_path):
     run = search_stream(stream, lambda q: search.range_search(q, refs, 8, 1), str(tmp_path / "out"), str(tmp_path / "check"))
     run.awaitTermination(60)
     assert {(r["q_id"], r["pos"]) for r in spark.read.parquet(str(tmp_path / "out")).filter("dist = 0").collect()} == {(0, 0), (1, 7)}
+
+
+def brute_extension(q, part, q_at, r_at, drop):
+    """Begin of the best gapped extension to the left, cell by cell."""
+    low = -(10**6)
+    rows, best, at = [[-j if j <= drop else low for j in range(r_at + 1)]], 0, 0
+    for i in range(1, q_at + 1):
+        row, top = [], (low, 0)
+        for j in range(r_at + 1):
+            x = rows[-1][j] - 1
+            if j:
+                x = max(x, rows[-1][j - 1] + (1 if q[q_at - i] == part[r_at - j] else -1), row[-1] - 1)
+            row.append(x)
+        row = [x if x >= best - drop else low for x in row]
+        for j, x in enumerate(row):
+            if x > top[0]:
+                top = (x, j)
+        if top[0] > best:
+            best, at = top
+        rows.append(row)
+    return r_at - at
+
+
+def test_gapped_extension_against_cells():
+    rng = random.Random(5)
+    cases = []
+    for _ in range(300):
+        q = "".join(rng.choice("ACGT") for _ in range(16))
+        part = "".join(rng.choice("ACGT") for _ in range(rng.randrange(8))) + generate.mutate(q, 0.15, rng) + "AC"
+        cases.append((q, part, rng.randrange(0, 13), rng.randrange(0, len(part) - 3)))
+    q, parts, at, spot = zip(*cases)
+    for drop in (2, 12):
+        got = search.x_drop(list(q), list(parts), np.array(at), np.array(spot), 4, np.full(len(q), drop))
+        # Past the drop a row may hold cells that stand only on cells that ended: none is best.
+        assert got.tolist() == [brute_extension(*c, drop) for c in cases]
+
+
+def test_extension_finds_the_start_behind_a_gap(spark):
+    ref = "TTGACCATGCAAGTCCGTAGGATCTTAC"
+    refs = spark.createDataFrame([(0, ref), (1, ""), (2, "ACG")], "ref_id long, seq string")
+    query = ref[4:12] + ref[13:25]  # one base left out
+    queries = spark.createDataFrame([(0, query)], "q_id long, q string")
+    got = {(r["ref_id"], r["pos"]) for r in search.extended_candidates(queries, refs, 20, 2).collect()}
+    assert (0, 4) in got
+
+
+def test_reports_and_results(spark, tmp_path):
+    rows = [(2, 1.5, 0.25, 0.0, 1.0, 0.5, 0.1, [1.0, 2.5]), (4, 1e-05, 0.0, 3.0, 0.0, 0.0, 0.0, [])]
+    made = spark.createDataFrame(rows, "max_dist int, avg_tp double, avg_fp double, avg_fn double, recall double, precision double, fp_per_tp double, distances array<double>")
+    logs = reports.report(made).agg(F.concat_ws("\n", F.lit("loading"), F.collect_list("text"), F.lit(reports.START + "\nno distance here")).alias("text"))
+    assert sorted(map(tuple, reports.scrape(logs).collect())) == [tuple(r) for r in rows]
+    files.write_results(made.select("max_dist", "distances"), str(tmp_path / "csv"))
+    back = files.read_results(spark, str(tmp_path / "csv"), "max_dist int, distances string")
+    assert sorted(map(tuple, evaluate.explode_distances(back).collect())) == [(2, 1.0), (2, 2.5)]
+
+
+def test_index_rules_and_batches(spark):
+    objects, query = points(spark)
+    heads, members = pivots.build(objects, 2, vectors.euclidean)
+    assert all(r["n"] == 0 for r in pivots.violations(heads, members, objects, vectors.euclidean).collect())
+    broken = members.filter("id != 1").withColumn("d", F.col("d") + 1)
+    found = {r["rule"]: r["n"] for r in pivots.violations(heads, broken, objects, vectors.euclidean).collect()}
+    assert found["wrong_distance"] == 4 and found["left_out"] == 1 and found["repeated"] == 0
+    ranked = [(r["id"], r["rank"]) for r in pivots.range_limit(query, heads, members, vectors.euclidean, 3.0, 2).orderBy("rank").collect()]
+    assert ranked == [(1, 1), (2, 2)]
+    strings_ = spark.createDataFrame([(0, "abc"), (1, "xyz")], "q_id long, q string")
+    none = spark.createDataFrame([], "anchor_id long, seq string")
+    for heads in (none, spark.createDataFrame([(0, "abd"), (1, "xyz")], "anchor_id long, seq string")):
+        assert {r["q_id"] for r in anchors.retrieve_batch(strings_, heads, lambda q: q).collect()} == {0, 1}
+
+
+def test_pruning_by_fingerprints_loses_nothing(spark):
+    rows, leaves = strings_frame(spark)
+    queries = spark.createDataFrame([(i, s[1:] + "A") for i, s in rows[:25]], "q_id long, q string")
+    nodes, edges = dag.build(leaves, {1: 2, 2: 4, 3: 8})
+    want = {tuple(r) for r in dag.search_brute_force(queries, leaves, 1).collect()}
+    assert {tuple(r) for r in dag.search(spark, "pruned", queries, leaves, nodes, edges, 1).collect()} == want
+    assert {tuple(r) for r in dag.search(spark, "prototype", queries, leaves, nodes, edges, 1).collect()} <= want
+    seen = {r["layer"]: (r["visited"], r["total"]) for r in dag.visits(queries, nodes, edges, 1).collect()}
+    assert set(seen) == {1, 2, 3} and all(0 < v <= t for v, t in seen.values())
+
+
+def test_neighbours_without_a_radius(spark):
+    rows = [(0, "a"), (1, "ab"), (2, "zzzzzzzzzz"), (3, "")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = {(r["l_id"], r["r_id"], r["dist"], r["rank"]) for r in search.knn_edit(df, df, 3).collect()}
+    want = set()
+    for i, a in rows:
+        for k, (d, j) in enumerate(sorted((dag.edit_distance(a, b), j) for j, b in rows)[:3]):
+            want.add((i, j, d, k + 1))
+    assert got == want
+    assert search.knn_edit(df, df.limit(0), 3).count() == 0
