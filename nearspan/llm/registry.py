@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, neardup, pii, sharding
+from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, neardup, pii, sharding, tokenfile
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
+    "op11_token_files": tokenfile.op11_token_files,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
