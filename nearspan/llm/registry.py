@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, neardup, pii, sharding, tokenfile
+from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, merkle, neardup, pii, sharding, tokenfile
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,8 +14,10 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_near_dedup": neardup.op10_near_dedup,
     "op11_token_files": tokenfile.op11_token_files,
+    "op12_manifest": merkle.op12_manifest,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op12_manifest": merkle.ORACLE,
 }

@@ -138,11 +138,17 @@ def _sql_rounds(value: str) -> str:
 
 
 #: CRC-32 (polynomial edb88320) in SQL: DuckDB has no function for it.
-_CRC_TABLE = """table_crc as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i)))"""
-_CRC = """case when text is null or text = '' then 0 else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(text)) * 2, 2), lambda k: ('0x' || substr(hex(encode(text)), k, 2))::bigint)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) end"""
+CRC_TABLE = """table_crc as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(i)))"""
 
-ORACLE = f"""with recursive {_CRC_TABLE},
-slim as (select doc_id, (coalesce(octet_length(encode(text)), 0) + 8)::bigint as size, ({_CRC})::bigint as text_crc32 from documents, table_crc),
+
+def crc_sql(s: str) -> str:
+    """CRC-32 of a text in SQL, beside the relation of CRC_TABLE; 0 for null."""
+    return f"""case when {s} is null or {s} = '' then 0 else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode({s})) * 2, 2), lambda k: ('0x' || substr(hex(encode({s})), k, 2))::bigint)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) end"""
+
+
+
+ORACLE = f"""with recursive {CRC_TABLE},
+slim as (select doc_id, (coalesce(octet_length(encode(text)), 0) + 8)::bigint as size, ({crc_sql("text")})::bigint as text_crc32 from documents, table_crc),
 dims as (select count(*)::bigint as n, greatest(1, ceil(sqrt(count(*)))::bigint) as a from documents),
 numbered as (select slim.*, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as row_number, n, a, greatest(1, (n + a - 1) // a) as b from slim, dims),
 walk as ({_sql_rounds("row_number").format(src="numbered")} union all {_sql_rounds("v").replace("select *, v // b", "select * exclude (v), v // b").format(src="(select * from walk where v >= n)")})
