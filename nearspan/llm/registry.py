@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL for those that SQL can express."""
 
-from . import bpe, brownlm, decontam, htmltext, langid, linededup, media, merkle, neardup, pii, sharding, tokenfile
+from . import align, bpe, brownlm, decontam, htmltext, langid, linededup, media, merkle, neardup, pii, sharding, tokenfile
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_near_dedup": neardup.op10_near_dedup,
     "op11_token_files": tokenfile.op11_token_files,
     "op12_manifest": merkle.op12_manifest,
+    "op13_alignment": align.op13_alignment,
 }
 ORACLES = {
     "op5_line_dedup": linededup.ORACLE,
