@@ -16,7 +16,7 @@ of the range writes files of its own in order, so the place of a document among
 start in the file plus the ids of all files before. Files are written under names of their own
 and renamed when they are whole.
 
-Bounds that are parameters: SAMPLE documents of up to SAMPLE_BYTES bytes, chosen by hash, train
+Bounds that are parameters: some SAMPLE random documents, those of up to SAMPLE_BYTES bytes, train
 the dictionary (results do not depend on it); FILE_BYTES closes a file.
 
 Defined results: a null or empty text is the end id alone; a null doc_id sorts first; repeated
@@ -119,10 +119,12 @@ def deserialise(raw: bytes, width: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, path: str, rows: int = SAMPLE, text: str = "text") -> bytes:
-    """A dictionary from serialised ids of a bounded sample; empty where too few texts are
-    short enough to learn from."""
-    size = F.octet_length(text)
-    sample = docs.filter(size.between(1, SAMPLE_BYTES)).select("doc_id", F.col(text).alias("t")).orderBy(F.xxhash64("doc_id")).limit(rows).collect()
+    """A dictionary from serialised ids of about `rows` documents; empty where too few of them
+    are short enough to learn from. Documents are drawn in their tasks, so that only the drawn
+    ones reach the driver."""
+    n = docs.count()
+    drawn = docs.select(F.col(text).alias("t")).sample(min(1.0, rows / n) if n else 1.0, seed=11)
+    sample = drawn.filter(F.octet_length("t").between(1, SAMPLE_BYTES)).collect()
     enc = encoder(path)
     parts = [serialise(enc.ids(r["t"]), enc.width) for r in sample]
     try:
