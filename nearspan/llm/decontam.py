@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, small_batches, table, views
 
@@ -118,6 +119,9 @@ def segments(items: list[tuple]) -> Segments | None:
     if not found and not short:
         return None
     texts = list(found)
+    if not texts:  # only short ones
+        no, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return Segments([], [], none, none, (no, none), no, none, none, np.zeros(1 << _HASH_BITS, bool), 0, 1 << 30, short)
     n = np.array([len(t) for t in texts], np.int64)
     edits = np.minimum(np.floor(n * EDIT_SHARE).astype(np.int64), (n - Q) // Q)
     need = n - Q + 1 - Q * edits
@@ -242,16 +246,20 @@ def bands(code: np.ndarray, pos: np.ndarray, text: np.ndarray, pairs: np.ndarray
         return
     for shift in (0, 1):
         band = (diagonal + shift * width[slot]) // (2 * width[slot])
-        order = np.lexsort((where, band, slot))
-        s, b, place, diag = slot[order], band[order], where[order], diagonal[order]
+        # Places ascend already, so one stable sort by slot and band is enough.
+        key = slot * (band.max() - band.min() + 1) + band - band.min()
+        order = np.argsort(key, kind="stable")
+        s, b, place = slot[order], band[order], where[order]
         fresh_band = np.r_[True, (s[1:] != s[:-1]) | (b[1:] != b[:-1])]
         new = np.flatnonzero(fresh_band)
         ends = np.r_[new[1:], len(s)]
         # A q-gram that a segment has twice counts once a place.
         distinct = np.add.reduceat((fresh_band | np.r_[True, place[1:] != place[:-1]]).astype(np.int64), new)
         enough = distinct >= need[s[new]]
-        for i, j in zip(new[enough], ends[enough], strict=True):
-            yield int(pairs[s[i]]), int(np.median(diag[i:j]))
+        first, last = new[enough], ends[enough]
+        diag = diagonal[np.lexsort((diagonal, key))]  # each band's diagonals in order
+        middle = (diag[(first + last - 1) // 2] + diag[(first + last) // 2]) // 2
+        yield from zip(pairs[s[first]].tolist(), middle.tolist(), strict=True)
 
 
 def find(s: np.ndarray, bounds: np.ndarray, seg: Segments) -> list[tuple[int, object, int, int]]:
@@ -330,7 +338,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "
     small_batches(spark)
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema[key].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, end long"
-    item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
+    item_type = to_arrow_type(items.schema[key].dataType)
     found = spark.createDataFrame([], schema)
     for block in item_blocks(items, key, text):
         index = segments(block)

@@ -386,3 +386,10 @@ def test_stages_on_an_empty_table(spark, none, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_items_that_are_all_short(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "x\nAB-c\ny"), (3, "abcdefgh and more"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "abcdefgh"), (8, "ab c"), (9, None), (10, "")], "item_id short, text string")
+    assert sorted(tuple(r) for r in decontam.leaks(docs, items).select("doc_id", "item_id").collect()) == [(1, 7), (2, 8)]
+    assert {r["doc_id"] for r in decontam.flag(docs, items).filter("leak").collect()} == {1, 2}
