@@ -2,7 +2,8 @@
 
 A page is read as a stream of tags and text. Every text block has a root-to-leaf tag path
 (tag names with their class and id). For each path of a page the text outside links and its
-punctuation are added up and divided by the number of its blocks; both ratios are smoothed
+punctuation are added up and divided by the number of its blocks; both ratios count up to that
+of prose, so that no text is dropped because another one is longer, and are smoothed
 over the paths at an edit distance of one or two (Gaussian weights; to exchange a tag costs
 one, to add or leave out a tag two) and fused by their
 geometric mean. What the tags on a path are called is one factor more: PENALTY for each one
@@ -71,6 +72,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the page's mean score that a content path has.
 THRESHOLD = 0.3
+#: Text and punctuation a block from which a path counts as prose whatever its length.
+PROSE, MARKS = 160.0, 4.0
 #: Factors of what the tags on a path are called.
 PENALTY, BONUS = 0.05, 2.0
 #: Gaussian weights of paths at an edit distance of one and two.
@@ -256,7 +259,8 @@ def ratios(page: Page) -> dict[int, float]:
         s[2] += 1
     own = np.zeros((n, 3))  # 1 for a path with text, its two ratios
     for path, (length, marks, visits) in sums.items():
-        own[path] = 1.0, length / visits, marks / visits
+        # Prose is prose from some length on: a longer block must not outweigh it.
+        own[path] = 1.0, min(length / visits, PROSE), min(marks / visits, MARKS)
     above = np.array(page.above)
     children, grand = np.zeros((n, 3)), np.zeros((n, 3))
     np.add.at(children, above[1:], own[1:])
