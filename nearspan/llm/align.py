@@ -170,7 +170,7 @@ def links(tokens: DataFrame) -> DataFrame:
 
     def ends(side: str) -> DataFrame:
         rows = dealt.select("word", F.posexplode(side).alias("pos", "t")).select("word", "pos", F.col("t.id").alias(f"{side}_id"), "t.size")
-        return rows.select("word", f"{side}_id", F.sum("size").over(by_place).alias("end"))
+        return rows.select("word", f"{side}_id", F.sum("size").over(by_place).cast("int").alias("end"))
 
     met = ends("a").join(ends("b"), ["word", "end"], "full_outer")
     back = Window.partitionBy("word").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -198,7 +198,16 @@ def align(tokens: DataFrame) -> DataFrame:
     )
     all_words = tokens.select("word", "part", "same").join(words, "word", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups")]
-    return materialise(all_words.select("part", "same", *zero, F.coalesce(F.size("pairs"), F.lit(0)).cast("long").alias("n_links"), "groups", "pairs"), "parts")
+    whole = all_words.select("part", "same", *zero, F.coalesce(F.size("pairs"), F.lit(0)).cast("long").alias("n_links"), "groups", "pairs")
+    # Both sides of the join of ends are dealt by part already; the dealing by part and end that
+    # Spark would ask for ships every token once more.
+    conf, name = tokens.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return materialise(whole, "parts")
+    finally:
+        conf.set(name, before)
 
 
 def _codes(blocks: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
@@ -298,16 +307,25 @@ def link_sums(blocks: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFra
     return blocks.drop("parts").groupBy("block").cogroup(placed.groupBy("of")).applyInArrow(run, "block long, row int, n_best long, count_sum long")
 
 
+def _clear(*tables: DataFrame) -> None:
+    """Removes tables that no later step reads, and the shuffle files of the steps that are
+    done: Spark deletes those when the driver's collector finds their plans unused."""
+    discard(*tables)
+    SparkSession.getActiveSession()._jvm.System.gc()
+
+
 def alignment(docs: DataFrame, bytes_path: str, pieces_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     blocks = pack(docs, block_bytes)
     tokens = tokenise(blocks.select(F.explode("parts").alias("part")).distinct(), bytes_path, pieces_path)
+    _clear()
     parts = align(tokens)
-    discard(tokens)
+    _clear(tokens)
     rows = documents(blocks, parts)
+    _clear()
     counts = pair_counts(rows)
     sums = materialise(link_sums(blocks, parts, counts), "link-sums")
-    discard(blocks, parts, counts)
+    _clear(blocks, parts, counts)
     made = rows.filter(F.col("row").isNotNull()).join(sums, ["block", "row"])
     seen = lambda c: F.when(F.col("n_groups") > 0, F.col(c)).otherwise(F.lit(0)).alias(c)
     return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", seen("n_best"), seen("count_sum"), "groups_sha256")
