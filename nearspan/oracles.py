@@ -65,6 +65,9 @@ ORACLES = {
     "distinct_kmers": f"with {_DNA} select n, count(*) as n_kmers from (select count(*) as n from kmers group by seq) group by 1",
     "simulated_queries": f"with {_DNA} select q_id, q from queries",
     "exact_occurrences": f"with {_DNA} select q_id, doc_id as ref_id, pos from queries join kmers on q = seq",
+    "fm_occurrences": f"""with {_DNA}, asked_parts as (select q_id, substr(q, 1, 8 + (q_id // 20 % {K - 7})::int) as pattern from queries),
+spots as (select doc_id, i - 1 as pos, substr(s, i, 8) as head, substr(s, i, {K}) as seq from dna, unnest(generate_series(1, length(s) - 7)) t(i))
+select q_id, pattern, doc_id as ref_id, pos from asked_parts join spots on head = substr(pattern, 1, 8) and starts_with(seq, pattern)""",
     "range_search": f"with {_DNA} select q_id, doc_id as ref_id, pos, levenshtein(q, seq)::bigint as dist from queries, kmers where {_MAY} and levenshtein(q, seq) <= {T}",
     "range_search_loop": f"with {_NAMES} {_RANGE}",
     "truth_positions": f"with {_DNA} select q_id, doc_id as ref_id, pos, t.max_dist from queries, kmers, (values (2::bigint), (4::bigint)) t(max_dist) where {_MAY} and levenshtein(q, seq) <= t.max_dist // 2",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.strings import bounded_distance, parse_doubles, parse_ints, parse_thresholds, to_bases, window_distance
 from .functions.vectors import euclidean
-from .operators import anchors, cluster, dag, evaluate, generate, pivots, search
+from .operators import anchors, cluster, dag, evaluate, fmindex, generate, pivots, search
 from .sources import files, reports
 from .sources.tables import materialise, shared_dir, spread
 
@@ -86,6 +86,13 @@ def exact_occurrences(spark, d):
     return longs(search.exact_occurrences(reads(spark, d), references(spark, d), K))
 
 
+def fm_occurrences(spark, d):
+    """Places of the first 8 to 20 letters of each read, by an index over all documents."""
+    index = fmindex.build(references(spark, d))
+    asked = reads(spark, d).select("q_id", F.expr(f"substring(q, 1, cast(8 + q_id div 20 % {K - 7} as int))").alias("pattern"))
+    return longs(fmindex.occurrences(index, asked).join(asked, "pattern").select("q_id", "pattern", "ref_id", "pos"))
+
+
 def range_search(spark, d):
     return longs(search.range_search(reads(spark, d), references(spark, d), K, T))
 
@@ -437,7 +444,7 @@ def mutated_reads(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, extended_candidates, position_metrics, metrics_summary, distance_stats,
+        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, fm_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, extended_candidates, position_metrics, metrics_summary, distance_stats,
         window_min_distance, anchor_index, anchor_rank, anchor_candidates, anchor_candidates_topk, anchor_accesses, anchor_conjunctive, nearby_anchor_filter, retained_queries, near_anchors, last_random_anchor, query_buckets,
         edit_join, knn_edit, range_search_pivot, range_search_removed, range_search_appended, range_limit, range_ranked, batch_retrieval, pivot_accesses, routing_anchors, structure, index_violations, overlap_stats, outlier_members,
         range_euclidean, knn_euclidean, substring_extract, parse_int_list, json_thresholds, distance_lists, literal_arrays, fasta_records, reference_prefix, fastq_queries, result_csv, report_scrape, method_results,

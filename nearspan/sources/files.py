@@ -120,12 +120,13 @@ def index_path(folder: str, kind: str, **settings) -> str:
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """The index table at path; built and written first where there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    """The index table at path; built and written first where there is none, or where a write
+    was cut off: only a whole table has its mark."""
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def extract(coords: DataFrame, chromosomes: DataFrame, fragments: DataFrame | None = None) -> DataFrame:

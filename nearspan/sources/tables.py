@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +55,18 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a small file is one partition."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def number_rows(df: DataFrame, order: list[str], number: str) -> DataFrame:
+    """df with dense row numbers in a total order, without a window over all rows: a
+    range-partitioned sort, written once, then places in each part plus the rows of the parts
+    before it (one number a part on the driver)."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = materialise(placed, "numbers")
+    parts = parts.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    starts, n = [], 0
+    for row in parts.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        starts.append((row["_part"], n))
+        n += row["n"]
+    base = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return parts.join(F.broadcast(base), "_part").withColumn(number, F.col("_start") + F.col("_at")).drop("_id", "_part", "_at", "_start")
