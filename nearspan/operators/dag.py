@@ -1,9 +1,9 @@
 """Three layers of balls: leaves in small balls, small in middle, middle in large ones, with
 many parents each. Nodes (layer, node_id, center, radius), edges (layer, parent, child).
 
-Centers are leaders: within a bucket of strings, dealt by hash, a string becomes a center if
-no earlier center of the bucket is near. Buckets have a bounded size, so no task sees all
-strings; every string is near a center of its bucket, which is all the search relies on.
+Centers are leaders: in order of id, a string becomes a center if no earlier center is near.
+They are found in rounds over the near pairs, so no task sees all strings, and are those of the
+sequential loop whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.strings import anchor_prunable
-from ..sources.tables import materialise
+from ..sources.tables import discard, materialise, number_rows
 from .search import edit_join, small
 
 SMALL, MIDDLE, LARGE = 1, 2, 3
 #: Ball radii of the three layers.
 RADII = {SMALL: 5, MIDDLE: 15, LARGE: 30}
-#: Strings in one bucket of leader selection, centers in one block of their comparison.
-BUCKET, BLOCK = 2000, 50
+#: Strings of the first batch of leader selection.
+START = 1000
+#: Strings of a group on one side of a tile, when all its pairs are compared.
+TILE = 500
 
 
 def edit_distances(a: str, others: list[str]) -> np.ndarray:
@@ -48,20 +50,55 @@ def edit_distance(a: str, b: str) -> int:
     return int(edit_distances(a, [b])[0])
 
 
-def leaders(strings: DataFrame, radius: float, bucket: int = BUCKET) -> DataFrame:
-    """(id, s) of the leaders: in order of id, a string farther than radius from every leader
-    before it in its bucket."""
-    n = max(1, -(-strings.count() // bucket))
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for i, s in rows.sort_values("id")[["id", "s"]].itertuples(index=False):
-            if not (edit_distances(s, [c for _, c in kept]) <= radius).any():
-                kept.append((i, s))
-        return pd.DataFrame(kept, columns=["id", "s"])
-
-    dealt = strings.select("id", "s", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    return dealt.groupBy("b").applyInPandas(pick, strings.select("id", "s").schema)
+def leaders(strings: DataFrame, radius: float, start: int = START) -> DataFrame:
+    """(id, s) of the leaders: in order of id, each string farther than radius from every leader
+    before it. Of equal strings only the first can be one.
+
+    Strings go through in batches by order of id, each as long as all before it. The leaders of
+    a batch are found in rounds over its near pairs; then all later strings near one of them are
+    decided and leave. So where strings lie close together few are left to be compared, and
+    where they do not, few pairs are near."""
+    left = number_rows(strings.groupBy("s").agg(F.min("id").alias("id")), ["id"], "_n").select("id", "s", "_n")
+    n, end, chosen = left.count(), start, left.select("id", "s").limit(0)
+    while True:
+        new = _independent(left.filter(F.col("_n") < end).select("id", "s"), radius, start)
+        chosen = chosen.unionByName(new)
+        if end >= n:
+            return chosen
+        rest = left.filter(F.col("_n") >= end)
+        near = edit_join(rest.select("id", "s"), new, int(radius)).select(F.col("l_id").alias("id")).distinct()
+        left, end = materialise(rest.join(near, "id", "left_anti"), "undecided"), 2 * end
+
+
+def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
+    """The leaders of distinct strings (id, s): up to `most` of them are looked at by one task,
+    more in rounds, with the same result. A round: a string that no undecided earlier one is
+    near becomes a leader, and its later neighbours are decided with it. The first undecided
+    string always is one, so the rounds end; each is a table."""
+    if strings.limit(most + 1).count() <= most:
+
+        def pick(rows: pd.DataFrame) -> pd.DataFrame:
+            kept: list[tuple] = []
+            for i, s in rows.sort_values("id")[["id", "s"]].itertuples(index=False):
+                if not (edit_distances(s, [c for _, c in kept]) <= radius).any():
+                    kept.append((i, s))
+            return pd.DataFrame(kept, columns=["id", "s"])
+
+        return materialise(strings.groupBy().applyInPandas(pick, strings.select("id", "s").schema), "leaders")
+    near = edit_join(strings, strings, int(radius)).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    pairs = materialise(near, "near")
+    left, chosen = strings.select("id"), None
+    while True:
+        new = materialise(left.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        gone = pairs.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        left = materialise(left.join(new, "id", "left_anti").join(gone, "id", "left_anti"), "undecided")
+        if left.isEmpty():
+            return materialise(strings.join(chosen, "id").select("id", "s"), "leaders")
+        rest = pairs.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi")
+        rest = materialise(rest.select("a", "b"), "near")
+        discard(pairs)
+        pairs = rest
 
 
 def _pairs(a: DataFrame, b: DataFrame, t: int) -> DataFrame:
@@ -234,22 +271,41 @@ def statistics(nodes: DataFrame, edges: DataFrame, leaves: DataFrame) -> DataFra
     return out.select("*", share(F.col("n_leaves"), F.col("n_small")).alias("compression"), F.when(F.col("n_leaves") > 0, (F.col("leaf_links") / F.col("n_leaves") - 1) * 100).otherwise(F.lit(0.0)).alias("redundancy"))
 
 
+def pair_stats(rows: DataFrame) -> DataFrame:
+    """(grp, n, least, mean, most) of the distances between any two strings of a group; rows:
+    (grp, id, s). The strings of a group are dealt into parts of about TILE, and each two parts
+    meet in one task, which gives four numbers: no pair leaves it."""
+    parts = rows.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
+    dealt = rows.join(parts, "grp").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda v: F.struct(F.least(v, F.col("_own")).alias("u"), F.greatest(v, F.col("_own")).alias("v")))
+    placed = dealt.select("grp", "_own", "id", "s", F.explode(meets).alias("t")).select("grp", "t.u", "t.v", "_own", "id", "s")
+    kind = rows.schema["grp"].dataType.simpleString()
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        u, v = part["u"].iloc[0], part["v"].iloc[0]
+        held = part.loc[part["_own"] == u, "s"].tolist()
+        other = held if u == v else part.loc[part["_own"] == v, "s"].tolist()
+        n, total, least, most = 0, 0, None, None
+        for i, s in enumerate(held):
+            d = edit_distances(s, other[i + 1 :] if u == v else other)
+            if len(d):
+                n, total = n + len(d), total + int(d.sum())
+                least, most = min(int(d.min()), d.max() if least is None else least), max(int(d.max()), -1 if most is None else most)
+        return pd.DataFrame({"grp": [part["grp"].iloc[0]], "n": [n], "total": [total], "least": pd.array([least], "Int64"), "most": pd.array([most], "Int64")})
+
+    tiles = placed.groupBy("grp", "u", "v").applyInPandas(tile, f"grp {kind}, n long, total long, least long, most long")
+    sums = tiles.groupBy("grp").agg(F.sum("n").alias("n"), F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"))
+    return sums.filter("n > 0")
+
+
 def intra_class(edges: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(parent, n, least, mean, most) of the distances between any two leaves of a small ball:
-    a report on an index that compares what lies within one ball, and nothing across balls."""
-    own = edges.filter(F.col("layer") == SMALL).select("parent", F.col("child").alias("id")).join(leaves, "id")
-    a, b = own.select("parent", F.col("id").alias("a"), F.col("s").alias("sa")), own.select("parent", F.col("id").alias("b"), F.col("s").alias("sb"))
-    d = a.join(b, "parent").filter("a < b").withColumn("d", F.levenshtein("sa", "sb"))
-    return d.groupBy("parent").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))
+    """(parent, n, least, mean, most) of the distances between any two leaves of a small ball."""
+    own = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("grp"), F.col("child").alias("id")).join(leaves, "id")
+    return pair_stats(own).withColumnRenamed("grp", "parent")
 
 
 def inter_class(nodes: DataFrame) -> DataFrame:
-    """(n, least, mean, most) of distances between centers of small balls: the other side of
-    intra_class. The centers are dealt by a hash into blocks of about BLOCK, and those of one
-    block are compared, so the work is linear in the number of balls."""
-    centers = nodes.filter(F.col("layer") == SMALL).select("node_id", "center")
-    n = max(1, centers.count() // BLOCK)
-    dealt = centers.withColumn("b", F.pmod(F.xxhash64("node_id"), F.lit(n)))
-    a, b = dealt.select("b", F.col("node_id").alias("x"), F.col("center").alias("cx")), dealt.select("b", F.col("node_id").alias("y"), F.col("center").alias("cy"))
-    d = a.join(b, "b").filter("x < y").select(F.levenshtein("cx", "cy").alias("d"))
-    return d.agg(F.count("*").alias("n"), F.min("d").alias("least"), F.avg("d").alias("mean"), F.max("d").alias("most"))
+    """(n, least, mean, most) of the distances between any two centers of small balls: the other
+    side of intra_class. No row where there are fewer than two."""
+    centers = nodes.filter(F.col("layer") == SMALL).select(F.lit(0).alias("grp"), F.col("node_id").alias("id"), F.col("center").alias("s"))
+    return pair_stats(centers).drop("grp")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .functions.strings import BASES, LETTERS
-from .registry import EUCLID_R, K, NUM_ANCHORS, TOLERANCE, T
+from .operators.chain import DRIFT, LENGTH, STRIDE
+from .registry import EUCLID_R, LONG, NUM_ANCHORS, TOLERANCE, K, T
 
 #: Length of a quarter of a query.
 _PIECE = K // 4
@@ -60,7 +61,17 @@ _RANKED = f"select q_id, pos, levenshtein(q, seq)::bigint as dist, row_number()
 _RANGE = f"select q_id, pos, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= {TOLERANCE}"
 _ONE = "select q_id, pos as id, levenshtein(q, seq)::bigint as dist from queries, names where levenshtein(q, seq) <= 1"
 
+# The sequential loop: the next leader is the first string that is far from all leaders so far.
+_LEADERS = f"""{_NAMES},
+loop as (select min(pos) as id, [arg_min(seq, pos)] as chosen from names
+  union all select min(n.pos), list_append(any_value(chosen), arg_min(n.seq, n.pos)) from loop l, names n where n.pos > l.id and len(list_filter(chosen, lambda c: levenshtein(c, n.seq) <= {{}})) = 0 having count(*) > 0),
+lead as (select id, seq as s from loop join names on pos = id)"""
+
 ORACLES = {
+    "leader_pivots": f"with recursive {_LEADERS.format(2)} select id, s from lead",
+    "inter_class_distance": f"with recursive {_LEADERS.format(2)} select count(*) as n, min(levenshtein(a.s, b.s))::bigint as least, avg(levenshtein(a.s, b.s)) as mean, max(levenshtein(a.s, b.s))::bigint as most from lead a, lead b where a.id < b.id",
+    "intra_class_distance": f"""with recursive {_LEADERS.format(2)}, held as (select id as parent, pos, seq from lead, names where levenshtein(s, seq) <= 2)
+select parent, count(*) as n, min(levenshtein(a.seq, b.seq))::bigint as least, avg(levenshtein(a.seq, b.seq)) as mean, max(levenshtein(a.seq, b.seq))::bigint as most from held a join held b using (parent) where a.pos < b.pos group by 1""",
     "kmer_windows": f"with {_DNA} select doc_id, count(*) as n_windows, count(distinct seq) as n_distinct, min(seq) as first_kmer, max(seq) as last_kmer from kmers group by 1",
     "distinct_kmers": f"with {_DNA} select n, count(*) as n_kmers from (select count(*) as n from kmers group by seq) group by 1",
     "simulated_queries": f"with {_DNA} select q_id, q from queries",
@@ -68,6 +79,17 @@ ORACLES = {
     "fm_occurrences": f"""with {_DNA}, asked_parts as (select q_id, substr(q, 1, 8 + (q_id // 20 % {K - 7})::int) as pattern from queries),
 spots as (select doc_id, i - 1 as pos, substr(s, i, 8) as head, substr(s, i, {K}) as seq from dna, unnest(generate_series(1, length(s) - 7)) t(i))
 select q_id, pattern, doc_id as ref_id, pos from asked_parts join spots on head = substr(pattern, 1, 8) and starts_with(seq, pattern)""",
+    # Chains by their number of hits: per hit the least begin of a chain of n hits that ends in it.
+    "seed_chains": f"""with recursive {_DNA},
+long_drawn as (select doc_id as q_id, substr(s, ({_DRAW.format('doc_id')} % (length(s) - {LONG - 1})) + 1, {LONG}) as q from dna where length(s) >= {LONG} and doc_id % 20 = 0),
+long_reads as (select q_id, substr(q, 1, {LONG // 3}) || translate(substr(q, {LONG // 3 + 1}, 1), 'ACGT', 'CGTA') || substr(q, {LONG // 3 + 2}, {2 * LONG // 3 - LONG // 3 - 1}) || substr(q, {2 * LONG // 3 + 2}) as q from long_drawn),
+chain_seeds as (select q_id, o as off, substr(q, o + 1, {LENGTH}) as seed from long_reads, unnest(range(0, length(q) - {LENGTH - 1}, {STRIDE})) t(o)),
+chain_hits as (select q_id, doc_id, off, pos from chain_seeds join (select doc_id, i - 1 as pos, substr(s, i, {LENGTH}) as seed from dna, unnest(generate_series(1, length(s) - {LENGTH - 1})) t(i)) using (seed)),
+banded as (select q_id, doc_id, k, floor((pos - off + k * {DRIFT}) / {2 * DRIFT}) as band, off, pos from chain_hits, (values (0), (1)) t(k)),
+runs as (select q_id, doc_id, k, band, off, pos, 1 as n, pos as first from banded union all
+  select h.q_id, h.doc_id, h.k, h.band, h.off, h.pos, max(r.n) + 1, min(r.first) from runs r join banded h on h.q_id = r.q_id and h.doc_id = r.doc_id and h.k = r.k and h.band = r.band and h.off >= r.off + {LENGTH} and h.pos >= r.pos + {LENGTH} group by all),
+best as (select q_id, doc_id, min(struct_pack(n := -n, first := first, last := pos + {LENGTH})) as x from runs group by 1, 2)
+select q_id, doc_id as ref_id, -x.n::bigint * {LENGTH} as score, x.first as begin, x.last as "end" from best""",
     "range_search": f"with {_DNA} select q_id, doc_id as ref_id, pos, levenshtein(q, seq)::bigint as dist from queries, kmers where {_MAY} and levenshtein(q, seq) <= {T}",
     "range_search_loop": f"with {_NAMES} {_RANGE}",
     "truth_positions": f"with {_DNA} select q_id, doc_id as ref_id, pos, t.max_dist from queries, kmers, (values (2::bigint), (4::bigint)) t(max_dist) where {_MAY} and levenshtein(q, seq) <= t.max_dist // 2",

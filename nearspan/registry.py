@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .functions.strings import bounded_distance, parse_doubles, parse_ints, parse_thresholds, to_bases, window_distance
 from .functions.vectors import euclidean
-from .operators import anchors, cluster, dag, evaluate, fmindex, generate, pivots, search
+from .operators import anchors, chain, cluster, dag, evaluate, fmindex, generate, pivots, search
 from .sources import files, reports
 from .sources.tables import materialise, shared_dir, spread
 
 K, T = 20, 3
+#: Letters of a long read.
+LONG = 150
 NUM_ANCHORS = 100
 EUCLID_R = 1.25
 DAG_RADII = {dag.SMALL: 2, dag.MIDDLE: 4, dag.LARGE: 8}
@@ -93,6 +95,17 @@ def fm_occurrences(spark, d):
     return longs(fmindex.occurrences(index, asked).join(asked, "pattern").select("q_id", "pattern", "ref_id", "pos"))
 
 
+def seed_chains(spark, d):
+    """The best chain of a read of LONG letters, with one base changed and one left out, on every
+    document that it has a seed of."""
+    refs = references(spark, d)
+    drawn = generate.simulate_queries(refs.filter(F.col("ref_id") % 20 == 0), None, LONG)
+    a, b = LONG // 3, 2 * LONG // 3
+    changed = F.concat(F.substring("q", 1, a), F.translate(F.substring("q", a + 1, 1), "ACGT", "CGTA"), F.substring("q", a + 2, b - a - 1), F.substring("q", b + 2, LONG))
+    asked = materialise(drawn.select("q_id", changed.alias("q")), "reads")
+    return longs(chain.chains(asked, refs))
+
+
 def range_search(spark, d):
     return longs(search.range_search(reads(spark, d), references(spark, d), K, T))
 
@@ -444,7 +457,7 @@ def mutated_reads(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, fm_occurrences, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, extended_candidates, position_metrics, metrics_summary, distance_stats,
+        kmer_windows, distinct_kmers, simulated_queries, exact_occurrences, fm_occurrences, seed_chains, range_search, range_search_loop, truth_positions, seed_hits, sae_candidates, extended_candidates, position_metrics, metrics_summary, distance_stats,
         window_min_distance, anchor_index, anchor_rank, anchor_candidates, anchor_candidates_topk, anchor_accesses, anchor_conjunctive, nearby_anchor_filter, retained_queries, near_anchors, last_random_anchor, query_buckets,
         edit_join, knn_edit, range_search_pivot, range_search_removed, range_search_appended, range_limit, range_ranked, batch_retrieval, pivot_accesses, routing_anchors, structure, index_violations, overlap_stats, outlier_members,
         range_euclidean, knn_euclidean, substring_extract, parse_int_list, json_thresholds, distance_lists, literal_arrays, fasta_records, reference_prefix, fastq_queries, result_csv, report_scrape, method_results,

@@ -9,7 +9,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.strings import normalise_bases
 
