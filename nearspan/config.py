@@ -11,27 +11,16 @@ METHODS = ("range", "pivot", "anchor", "sae")
 class Config:
     method: str = "range"
     max_dist: tuple[int, ...] = field(default=(3,))
-    truncate_ref_len: int | None = None
     k: int = 20
     num_anchors: int = 100
-    num_queries: int = 100
     seed: int = 42
     use_all: bool = True
     start_idx: int = 0
     end_idx: int = 0
     last_random: bool = False
-    seed_len: int = 10
-    min_capacity: int = 50
-    max_capacity: int = -1
-    leaf_radius: float = 0.0
-    require_distance: bool = False
 
     def __post_init__(self):
         if self.method not in METHODS:
             raise ValueError(f"method must be one of {METHODS}, not {self.method!r}")
         if not 0 <= self.start_idx <= self.end_idx:
             raise ValueError("start_idx and end_idx must be 0 <= start <= end")
-
-    @property
-    def capacity(self) -> int:
-        return self.max_capacity if self.max_capacity > 0 else 2 * self.min_capacity - 1

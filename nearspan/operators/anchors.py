@@ -17,6 +17,9 @@ from ..sources.tables import materialise
 from .generate import draw
 from .search import edit_join, small
 
+#: Queries whose rules (some kB each) are broadcast at most.
+RULE_ROWS = 20_000
+
 
 def random_anchors(objects: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n distinct strings in the order of a seeded hash: (anchor_id, seq)."""
@@ -75,15 +78,25 @@ def band_sizes(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
 
 def candidates(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
     """(q_id, pos) in the band of every selected anchor whose band is not empty. The rarest
-    band of a query gives the objects that the others are tested on."""
-    bands = materialise(band_sizes(selected, index, t), "bands")
-    rule = F.struct("anchor_id", "low", "high")
-    asked = bands.groupBy("q_id").agg(F.min_by(rule, F.struct("size", "anchor_id")).alias("first"), F.collect_list(rule).alias("rules"))
-    probes = asked.select("q_id", "rules", F.col("first.anchor_id").alias("anchor_id"), F.explode(F.sequence("first.low", "first.high")).alias("dist"))
-    hits = probes.join(index, ["anchor_id", "dist"]).select("q_id", "rules", "pos")
-    seen = index.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("anchor_id", "dist"))).alias("seen"))
-    inside = F.forall("rules", lambda r: F.coalesce(F.try_element_at("seen", r["anchor_id"]).between(r["low"], r["high"]), F.lit(False)))
-    return hits.join(seen, "pos").filter(inside).select("q_id", "pos")
+    band of a query gives the objects that the others are tested on, from the rarest on, so
+    most objects fall at the first tests. An object's distances are an array by anchor number:
+    a test is one access, and only (q_id, pos) meets it by shuffle."""
+    numbers = index.select("anchor_id").distinct().withColumn("no", F.row_number().over(Window.orderBy("anchor_id")))
+    numbers = materialise(numbers, "anchor-numbers")  # a row for each anchor
+    n = numbers.count()
+    bands = band_sizes(selected, index, t).join(small(numbers), "anchor_id")
+    asked = bands.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("size", "no", "low", "high", "anchor_id"))).alias("rules"))
+    asked = materialise(asked, "bands")
+    first = asked.select("q_id", F.col("rules")[0].alias("f")).select("q_id", "f.anchor_id", F.explode(F.sequence("f.low", "f.high")).alias("dist"))
+    hits = first.join(index, ["anchor_id", "dist"]).select("q_id", "pos")
+    entries = index.join(small(numbers), "anchor_id").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("no", "dist"))).alias("e"))
+    whole, listed = F.transform("e", lambda x: x["dist"]), F.map_from_entries("e")
+    sparse = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at(listed, i))
+    seen = entries.select("pos", F.when(F.size("e") == n, whole).otherwise(sparse).alias("seen")) if n else entries.select("pos", whole.alias("seen"))
+    rules = asked.select("q_id", F.transform("rules", lambda r: F.struct(r["no"].alias("no"), r["low"].alias("low"), r["high"].alias("high"))).alias("rules"))
+    rules = F.broadcast(rules) if rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS else rules
+    inside = F.forall("rules", lambda r: F.coalesce(F.get("seen", r["no"] - 1).between(r["low"], r["high"]), F.lit(False)))
+    return hits.join(seen, "pos").join(rules, "q_id").filter(inside).select("q_id", "pos")
 
 
 def anchor_accesses(selected: DataFrame, index: DataFrame, found: DataFrame, t: int) -> DataFrame:

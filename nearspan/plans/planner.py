@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import anchors, evaluate, pivots, search
+from ..sources.tables import number_rows
 
 #: Below this seed length most of the reference is hit and the loop is as good.
 LEAST_SEED = 4
@@ -45,6 +46,10 @@ class RangeRetriever:
         plan = choose_plan(self.k, t, windows, queries.count())
         if plan == "loop":
             found = search.nested_loop(queries, search.kmers(self.refs, self.k), t)
+        elif plan == "pivot":
+            index = PivotRetriever(Config(k=self.k))
+            index.build(self.refs)
+            found = index.retrieve(queries, t)
         else:
             found = search.range_search(queries, self.refs, self.k, t)
         if self.first_only:
@@ -86,7 +91,8 @@ class PivotRetriever:
 
     def build(self, refs: DataFrame) -> None:
         spots = search.kmers(refs, self.config.k).groupBy("seq").agg(F.collect_list(F.struct("ref_id", "pos")).alias("places"))
-        objects = spots.select(F.xxhash64("seq").alias("id"), F.col("seq").alias("obj"), "places")
+        # Numbers, not hashes, are ids: two k-mers never share one.
+        objects = number_rows(spots, ["seq"], "id").select("id", F.col("seq").alias("obj"), "places")
         self.places = objects.select("id", "places")
         self.pivots, self.members = pivots.build(objects.select("id", "obj"), self.config.num_anchors, F.levenshtein)
 

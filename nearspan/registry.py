@@ -179,7 +179,7 @@ def anchor_rank(spark, d):
 def _anchor_result(spark, d, start=None, end=None):
     a = name_anchors(spark, d)
     chosen = anchors.select_anchors(anchors.query_anchors(name_queries(spark, d), a), start, end)
-    return anchors.candidates(chosen, anchors.build_index(a, names(spark, d)), TOLERANCE)
+    return anchors.candidates(chosen, materialise(anchors.build_index(a, names(spark, d)), "anchor-index"), TOLERANCE)
 
 
 def anchor_candidates(spark, d):

@@ -226,13 +226,25 @@ def test_experiment(spark, method):
     assert method not in ("range", "pivot") or got["precision"] > 0
 
 
+def test_seeds_too_short_go_by_pivots(spark, monkeypatch):
+    rng = random.Random(5)
+    refs = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(200))) for i in range(2)], "ref_id long, seq string")
+    queries = generate.simulate_queries(refs, None, 10).select("q_id", "q")
+    monkeypatch.setattr(planner, "LOOP_PAIRS", 0)
+    made = []
+    monkeypatch.setattr(planner.PivotRetriever, "retrieve", lambda self, q, t, own=planner.PivotRetriever.retrieve: made.append(t) or own(self, q, t))
+    one = planner.RangeRetriever(10)
+    one.build(refs)
+    got = {tuple(r) for r in one.retrieve(queries, 3).select("q_id", "ref_id", "pos", "dist").collect()}
+    assert made == [3] and got == {tuple(r) for r in search.nested_loop(queries, search.kmers(refs, 10), 3).select("q_id", "ref_id", "pos", "dist").collect()}
+
+
 def test_planner_and_config():
     assert planner.choose_plan(20, 3, 10**9, 100) == "seed" and planner.choose_plan(10, 3, 10**9, 100) == "pivot" and planner.choose_plan(20, 3, 100, 10) == "loop"
     with pytest.raises(ValueError):
         Config(method="other")
     with pytest.raises(ValueError):
         Config(start_idx=3, end_idx=-1)
-    assert Config(min_capacity=10).capacity == 19
 
 
 def test_streamed_queries(spark, tmp_path):
