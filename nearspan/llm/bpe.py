@@ -10,8 +10,9 @@ The vocabulary file's path is a parameter; the file holds `vocab` and `merges` o
 byte-level BPE and its added tokens, which are matched in the text before the pattern.
 
 Defined results: a null text is an empty one (no ids, sha of nothing); lone copies of an
-added token become its id; rows are independent, so repeats and ties need no rule; an empty
-table gives no rows.
+added token become its id; rows are independent, so repeats and ties need no rule; a very long
+text is encoded whole; columns called as those that are added are replaced, others stay; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

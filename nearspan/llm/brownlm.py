@@ -23,7 +23,8 @@ Tokens are words `[^\\x20\\x09-\\x0D]+` after lowering A-Z, then one end token a
 
 Defined results: a null text is an empty one (the end token alone); rows are scored one by
 one, so repeats get equal scores; equal counts are ordered by the word's bytes; with no
-training rows every count is 0; an empty table gives no rows.
+training rows every count is 0; an empty table gives no rows; a very long text is scored whole in
+one task; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations

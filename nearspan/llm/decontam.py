@@ -20,8 +20,9 @@ broadcast has a fixed bound, and every block meets all rows.
 Defined results: null and empty texts or items match nothing; an item of up to q bytes once
 folded is too short for q-grams, and is held by a text that has it as a whole line; one whole
 segment of an item is enough, so a text that holds what several items share holds them all;
-repeated rows are found each time; of equal alignments the first is reported; empty tables
-give no rows.
+repeated rows are found each time; of equal alignments the first is reported; a very long text is
+scanned whole; `flag` replaces a column called as its result and keeps all others, `leaks` uses
+no other column; empty tables give no rows.
 """
 
 from __future__ import annotations

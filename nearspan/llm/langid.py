@@ -17,7 +17,7 @@ of doc_id among all labelled rows. Everything else reads whole texts of all rows
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the
 first language in code-point order; a table without labelled rows gives `und` everywhere;
-repeated rows are scored alike; other columns, whatever their names, are not used.
+repeated rows are scored alike; a very long text is scored whole; other columns, whatever their names, are not used.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ result stays exact.
 Defined results: a null or empty text is one empty line; lines of rows with a null doc_id
 count for no document and stay; rows with one doc_id are one document, so a line that one of
 them loses all of them lose; of equal counts nothing has to be chosen, as the largest doc_id
-is unique; columns called as the two counts are replaced, all others stay; an empty table
+is unique; a very long text or line is one like any other; columns called as the two counts are replaced, all others stay; an empty table
 gives no rows.
 """
 

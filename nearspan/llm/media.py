@@ -10,7 +10,8 @@ A shard is written under a name of its own and renamed when it is whole, so a ta
 again after a lost executor leaves no half-written file that an index row points to.
 
 Defined results: a null text is an empty one; an empty text is one row of 64 zero bytes;
-repeated rows share a member; ties cannot arise; an empty table writes no shard.
+repeated rows share a member; ties cannot arise; a very long text is one member; an empty table
+writes no shard; columns other than the key are not used, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ both sides of a join are plain tables. Tables that no later pass reads are remov
 Defined results: a null text is a class of its own; texts without words have no shingles and
 are grouped with equal texts only; texts of one to four words have one shingle, the whole
 text; a class's id is its least doc_id (null where all are null); repeated rows share a class;
-an empty table gives no rows; other columns are not used.
+a very long text is compared whole; an empty table gives no rows; other columns are not used,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -21,8 +21,9 @@ outside where it does not. Labelling itself reads whole texts of all rows.
 
 Offsets are code points, ends exclusive. Defined results: a null text is an empty one and has
 no span; of overlapping base spans of several kinds all stay, added spans overlap no other;
-rows are labelled one by one, so repeats get equal spans; an empty table gives no rows, and
-without any sample the field adds nothing.
+rows are labelled one by one, so repeats get equal spans; a very long text is labelled whole; an
+empty table gives no rows, and without any sample the field adds nothing; other columns are not
+used, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ slot p div k, so shard sizes differ by at most one row, slots have no gaps and a
 place can be computed from its number alone. Everything is DataFrame expressions.
 
 Defined results: a null text has no bytes (size 8, checksum 0); a null doc_id sorts first;
-repeated rows get numbers of their own; an empty table gives no rows; other columns of the
+repeated rows get numbers of their own; a very long text counts by its size; an empty table gives no rows; other columns of the
 input are ignored, whatever their names.
 """
 
