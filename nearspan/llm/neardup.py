@@ -249,25 +249,41 @@ def verify(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes with links: least node reachable. Each round takes the least
-    label among neighbours, then jumps to that label's label; rounds are logarithmic in the
-    longest path, and each is a table."""
+    """(node, label) of all nodes with links: least node reachable. A round takes the least of a
+    node's label, its neighbours' labels and its label's label; rounds are logarithmic in the
+    longest path where labels jump, and each is one table."""
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("least"), F.col("label").alias("was"))
-        least = materialise(least, "least")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("label").alias("new"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        far = labels.join(up, "label").select("node", "new")
+        # Labels are nodes themselves, so every node has a row of either kind.
+        least = near.unionByName(far).groupBy("node").agg(F.min("new").alias("new"))
+        new = labels.join(least, "node").select("node", F.least("label", "new").alias("label"), F.col("label").alias("was"))
+        new = materialise(new, "labels")
         discard(labels)
-        up = least.select(F.col("node").alias("up"), F.col("least").alias("far"))
-        new = materialise(least.join(up, least["least"] == up["up"], "left").select("node", F.least("least", F.coalesce("far", "least")).alias("label"), "was"), "labels")
-        discard(least)
         labels = new.select("node", "label")
         if not new.filter(F.col("label") != F.col("was")).limit(1).count():
             discard(both)
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with the classes that further links connect made one: components of
+    the labels alone, which are few."""
+    far = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    ends = links.select("a", "b").join(far, "a", "left").join(far.toDF("b", "lb"), "b", "left")
+    pairs = materialise(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct(), "class-links")
+    moved = components(pairs)
+    # Ends without a label so far are classes of their own, so `moved` has them itself.
+    every = labels.unionByName(moved.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
+    out = every.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    out = materialise(out, "labels")
+    discard(pairs, moved)
+    return out
+
+
 def rest_links(rest: DataFrame) -> DataFrame:
     """All links across classes of small buckets; rest: (bucket, n, main, band, node, label)."""
     small = rest.filter(F.col("n") <= SMALL_BUCKET)
@@ -403,12 +419,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     large = rest.filter(F.col("n") > SMALL_BUCKET)
     if large.limit(1).count():
         found.append(tile_links(tiles(large, nodes, texts), threshold))
-    if any(new.limit(1).count() for new in found):
-        discard(labels)
-        every = good
-        for new in found:
-            every = every.unionByName(new)
-        labels = components(every)
+    found = [new for new in found if new.limit(1).count()]
+    if found:
+        first, *others = [new.select("a", "b") for new in found]
+        labels = joined(labels, first.unionByName(others[0]) if others else first)
     discard(buckets, shared, links, texts, rest, more, good, *found)
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     heads = materialise(named.groupBy("label").agg(F.min("least").alias("class_id")), "class-ids")
