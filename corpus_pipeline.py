@@ -3,7 +3,11 @@ benchmark decontamination, BPE encoding.
 
 A stage is a function of (session, documents, table folder). Each one's result is written as
 Parquet and read again as the next one's documents; all but the last have the columns of
-`documents`.
+`documents`, and further columns, whatever their names, stay with their rows until the last.
+
+Defined results, beside those of the operators: null texts and texts without a letter are rejected by
+the first stage; repeated rows count as copies, of which one stays; ties for what stays go to the
+least doc_id, then the least digest; very long texts go through whole; an empty table gives none.
 """
 
 from __future__ import annotations
