@@ -258,9 +258,9 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("label").alias("new"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("new"))
         far = labels.join(up, "label").select("node", "new")
-        # Labels are nodes themselves, so every node has a row of either kind.
-        least = near.unionByName(far).groupBy("node").agg(F.min("new").alias("new"))
-        new = labels.join(least, "node").select("node", F.least("label", "new").alias("label"), F.col("label").alias("was"))
+        own = labels.select("node", F.col("label").alias("new"), F.col("label").alias("was"))
+        every = near.unionByName(far).unionByName(own, allowMissingColumns=True)
+        new = every.groupBy("node").agg(F.min("new").alias("label"), F.max("was").alias("was"))
         new = materialise(new, "labels")
         discard(labels)
         labels = new.select("node", "label")
