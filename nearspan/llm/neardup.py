@@ -307,7 +307,10 @@ def tiles(large: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     main class are dealt into parts u, and meet each other's parts and those of the main
     class: two texts of the main class never have to meet, so a bucket of one large class and
     few others costs a row a text. kind 0 is the side that is held, kind 1 the one that runs."""
-    full = large.join(texts, "node").join(nodes.select("node", "bands"), "node").withColumn("outside", F.col("label") != F.col("main"))
+    # A node meets its text once, with its buckets (BANDS at most) as a list.
+    own = large.groupBy("node").agg(F.collect_list(F.struct("bucket", "main", "band", "label")).alias("_in"))
+    met = own.join(texts, "node").join(nodes.select("node", "bands"), "node")
+    full = met.select("node", "text", "bands", F.explode("_in").alias("_at")).select("node", "text", "bands", "_at.*").withColumn("outside", F.col("label") != F.col("main"))
     weight = F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES))
     part = lambda side: F.ceil(F.sum(F.when(side, weight).otherwise(0)) / TILE_BYTES).cast("int")
     sizes = full.groupBy("bucket").agg(part(F.col("outside")).alias("out"), part(~F.col("outside")).alias("in"))
