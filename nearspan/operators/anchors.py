@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.strings import band, bounded_distance, window_distance
-from ..sources.tables import materialise
+from ..sources.tables import materialise, spread
 from .generate import draw
 from .search import edit_join, small
 
 #: Queries whose rules (some kB each) are broadcast at most.
 RULE_ROWS = 20_000
+#: Objects and queries of one tile where candidates are only counted.
+TILE_OBJECTS, TILE_QUERIES = 1 << 15, 1 << 11
 
 
 def random_anchors(objects: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -38,7 +42,9 @@ def record_anchors(refs: DataFrame, k: int, per_record: int, seed: int = 42) ->
 
 def build_index(anchors: DataFrame, objects: DataFrame, max_store: int | None = None) -> DataFrame:
     """(anchor_id, pos, dist) of every anchor and object within max_store (None: all)."""
+    # A stated number of partitions: small rows, but much work, so they are not to be merged.
     strings = objects.select("seq").distinct()
+    strings = strings.repartition(4 * strings.sparkSession.sparkContext.defaultParallelism)
     pairs = small(anchors.select("anchor_id", F.col("seq").alias("a"))).crossJoin(strings)
     d = F.levenshtein("a", "seq") if max_store is None else bounded_distance(F.col("a"), F.col("seq"), max_store)
     scored = pairs.select("anchor_id", "seq", d.alias("dist")).filter("dist >= 0")
@@ -48,7 +54,7 @@ def build_index(anchors: DataFrame, objects: DataFrame, max_store: int | None =
 def query_anchors(queries: DataFrame, anchors: DataFrame) -> DataFrame:
     """(q_id, anchor_id, d, rank): anchors of a query by distance; ties by anchor_id."""
     a = small(anchors.select("anchor_id", F.col("seq").alias("a")))
-    scored = queries.crossJoin(a).select("q_id", "anchor_id", F.levenshtein("q", "a").alias("d"))
+    scored = spread(queries).crossJoin(a).select("q_id", "anchor_id", F.levenshtein("q", "a").alias("d"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("d", "anchor_id")) - 1)
 
 
@@ -99,13 +105,64 @@ def candidates(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
     return hits.join(seen, "pos").join(rules, "q_id").filter(inside).select("q_id", "pos")
 
 
-def anchor_accesses(selected: DataFrame, index: DataFrame, found: DataFrame, t: int) -> DataFrame:
-    """(q_id, index_accesses, candidate_accesses): entries of all bands, and candidates."""
+def anchor_accesses(selected: DataFrame, index: DataFrame, found: DataFrame | None, t: int) -> DataFrame:
+    """(q_id, index_accesses, candidate_accesses): entries of all bands, and candidates: those
+    found, or (None) counted without a list."""
     entries = band_sizes(selected, index, t).groupBy("q_id").agg(F.sum("size").alias("index_accesses"))
-    kept = found.groupBy("q_id").agg(F.count("*").alias("candidate_accesses"))
+    kept = count_candidates(selected, index, t) if found is None else found.groupBy("q_id").agg(F.count("*").alias("candidate_accesses"))
     return entries.join(kept, "q_id", "left").na.fill(0, ["candidate_accesses"]).select("q_id", "index_accesses", "candidate_accesses")
 
 
+def count_candidates(selected: DataFrame, index: DataFrame, t: int) -> DataFrame:
+    """(q_id, candidate_accesses): how many objects `candidates` has for each query, none of them
+    a row. Objects of equal distances to all anchors are one with a count. They are dealt into
+    tiles; for an anchor and a distance the objects of a band are bits, and a query's bands are
+    met by their bits. Queries with equal rules are counted once."""
+    asked = band_sizes(selected, index, t).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("anchor_id", "low", "high"))).alias("rules"))
+    asked = materialise(asked.withColumn("k", F.sha2(F.to_json("rules"), 256)), "bands")
+    rules = materialise(asked.groupBy("k").agg(F.first("rules").alias("rules")), "rules")
+    kinds = materialise(index.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("anchor_id", "dist"))).alias("e")).groupBy("e").agg(F.count("*").alias("n")), "kinds")
+    tiles, sides = -(-kinds.count() // TILE_OBJECTS), -(-rules.count() // TILE_QUERIES)
+    if not tiles or not sides:
+        return asked.select("q_id", F.lit(0).cast("long").alias("candidate_accesses"))
+    dealt = kinds.select(F.pmod(F.xxhash64("e"), F.lit(tiles)).alias("u"), "e", "n").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    met = rules.select(F.pmod(F.xxhash64("k"), F.lit(sides)).alias("v"), "k", "rules").withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held, n = left.column("e").combine_chunks(), left.column("n").to_numpy()
+        if isinstance(held, pa.ChunkedArray):
+            held = held.chunk(0) if held.num_chunks else pa.array([], held.type)
+        flat = held.flatten()
+        row = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+        anchor, dist = flat.field("anchor_id").to_numpy(zero_copy_only=False), flat.field("dist").to_numpy(zero_copy_only=False)
+        order = np.argsort(anchor, kind="stable")
+        names, first = np.unique(anchor[order], return_index=True)
+        places = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
+        bands: dict = {}
+
+        def band_bits(a, low, high) -> np.ndarray:
+            bits = bands.get((a, low, high))
+            if bits is None:
+                inside = np.zeros(len(held), bool)
+                at = places.get(a, order[:0])
+                inside[row[at[(dist[at] >= low) & (dist[at] <= high)]]] = True
+                bits = bands[a, low, high] = np.packbits(inside)
+            return bits
+
+        keys, counts, single = right.column("k").to_pylist(), [], bool((n == 1).all())
+        for own in right.column("rules").to_pylist() if len(n) else []:
+            bits = None
+            for x in own:
+                new = band_bits(x["anchor_id"], x["low"], x["high"])
+                bits = new if bits is None else bits & new
+            counts.append(int(np.bitwise_count(bits).sum()) if single else int(n[np.unpackbits(bits, count=len(n)).astype(bool)].sum()))
+        return pa.table({"k": pa.array(keys if counts else [], pa.string()), "c": pa.array(counts, pa.int64())})
+
+    parts = min(tiles * sides, 2000)
+    counted = dealt.repartition(parts, "u", "v").groupBy("u", "v").cogroup(met.repartition(parts, "u", "v").groupBy("u", "v")).applyInArrow(run, "k string, c long")
+    return asked.join(counted.groupBy("k").agg(F.sum("c").alias("c")), "k", "left").select("q_id", F.coalesce("c", F.lit(0)).alias("candidate_accesses"))
+
+
 def retained(queries: DataFrame, kept: DataFrame) -> DataFrame:
     """(n_queries, n_kept, percent) of a filter of queries."""
     both = queries.agg(F.count("*").alias("n_queries")).crossJoin(kept.agg(F.count("*").alias("n_kept")))
@@ -142,5 +199,5 @@ def near_anchors(queries: DataFrame, anchors: DataFrame, t: int = 5) -> DataFram
 def group_queries(queries: DataFrame, anchors: DataFrame) -> DataFrame:
     """(q_id, bucket): each query's nearest anchor, the first of equal ones."""
     a = small(anchors.select("anchor_id", F.col("seq").alias("a")))
-    scored = queries.crossJoin(a).select("q_id", "anchor_id", F.levenshtein("q", "a").alias("d"))
+    scored = spread(queries).crossJoin(a).select("q_id", "anchor_id", F.levenshtein("q", "a").alias("d"))
     return scored.groupBy("q_id").agg(F.min_by("anchor_id", F.struct("d", "anchor_id")).alias("bucket"))
