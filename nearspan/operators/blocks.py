@@ -83,6 +83,28 @@ def vector_block(objects: list, others: list) -> Iterator[tuple[slice, np.ndarra
         yield slice(i, i + len(out)), out
 
 
+def edit_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
+    """(ls, rs, dist) of distinct strings (ls) and (rs) within t edits, without an index: groups of
+    left strings meet tiles of right ones in tasks of their own, and only pairs within t leave them."""
+    held = materialise(left.filter(F.col("ls").isNotNull()), "left")
+    other = materialise(right.filter(F.col("rs").isNotNull()), "right")
+    groups, tiles = max(-(-held.count() // SIDE), 1), max(-(-other.count() // SIDE), 1)
+    dealt = held.repartitionByRange(groups, "ls").withColumn("_u", F.spark_partition_id()).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    met = other.withColumn("_y", F.pmod(F.xxhash64("rs"), F.lit(tiles)).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b, parts = a.sort_by("ls").column("ls"), b.column("rs"), []
+        if len(a) and len(b):
+            for own, d in edit_block(a.to_pylist(), b.to_pylist()):
+                i, j = np.nonzero(d <= t)
+                parts.append(pa.table({"ls": a.take(pa.array(i + own.start)), "rs": b.take(pa.array(j)), "dist": pa.array(d[i, j].astype(np.int32))}))
+        return pa.concat_tables(parts) if parts else pa.table({"ls": a.slice(0, 0), "rs": b.slice(0, 0), "dist": pa.array([], pa.int32())})
+
+    # A stated number of partitions: small rows, but much work, so they are not to be merged.
+    parts = min(groups * tiles, 2000)
+    return dealt.repartition(parts, "_u", "_v").groupBy("_u", "_v").cogroup(met.repartition(parts, "_x", "_y").groupBy("_x", "_y")).applyInArrow(run, "ls string, rs string, dist int")
+
+
 KERNELS = {F.levenshtein: edit_block, euclidean: vector_block}
 
 

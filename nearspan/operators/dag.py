@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.strings import anchor_prunable
 from ..sources.tables import discard, materialise, number_rows
-from .search import edit_join, small
+from . import blocks
+from .search import edit_join
 
 SMALL, MIDDLE, LARGE = 1, 2, 3
 #: Ball radii of the three layers.
 RADII = {SMALL: 5, MIDDLE: 15, LARGE: 30}
-#: Strings of the first batch of leader selection.
-START = 1000
+#: Strings of the first batch of leader selection, and those that are looked at side by side.
+START, SIDE = 8192, 256
+#: Centers that strings meet in blocks, without an index.
+CENTERS = 8192
 #: Strings of a group on one side of a tile, when all its pairs are compared.
 TILE = 500
 
@@ -66,7 +69,7 @@ def leaders(strings: DataFrame, radius: float, start: int = START) -> DataFrame:
         if end >= n:
             return chosen
         rest = left.filter(F.col("_n") >= end)
-        near = edit_join(rest.select("id", "s"), new, int(radius)).select(F.col("l_id").alias("id")).distinct()
+        near = _pairs(rest, new, int(radius)).select(F.col("l_id").alias("id")).distinct()
         left, end = materialise(rest.join(near, "id", "left_anti"), "undecided"), 2 * end
 
 
@@ -78,10 +81,17 @@ def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
     if strings.limit(most + 1).count() <= most:
 
         def pick(rows: pd.DataFrame) -> pd.DataFrame:
-            kept: list[tuple] = []
-            for i, s in rows.sort_values("id")[["id", "s"]].itertuples(index=False):
-                if not (edit_distances(s, [c for _, c in kept]) <= radius).any():
-                    kept.append((i, s))
+            left, kept = rows.sort_values("id")[["id", "s"]], []
+            while len(left):
+                # The leaders among the first strings, then all others near one of them leave.
+                first, new = left.iloc[:SIDE], []
+                for i, s in first.itertuples(index=False):
+                    if not (edit_distances(s, [c for _, c in new]) <= radius).any():
+                        new.append((i, s))
+                kept += new
+                left = left.iloc[SIDE:].sort_values("s")
+                near = [(d <= radius).any(1) for _, d in blocks.edit_block(left["s"].tolist(), [c for _, c in new])]
+                left = left[~np.concatenate(near)].sort_values("id") if near else left
             return pd.DataFrame(kept, columns=["id", "s"])
 
         return materialise(strings.groupBy().applyInPandas(pick, strings.select("id", "s").schema), "leaders")
@@ -102,7 +112,7 @@ def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
 
 
 def _pairs(a: DataFrame, b: DataFrame, t: int) -> DataFrame:
-    return edit_join(a.select("id", "s"), b.select("id", "s"), t)
+    return edit_join(a.select("id", "s"), b.select("id", "s"), t, CENTERS)
 
 
 def build(leaves: DataFrame, radii: dict[int, int] = RADII) -> tuple[DataFrame, DataFrame]:
@@ -146,65 +156,148 @@ def fingerprints(nodes: DataFrame, edges: DataFrame, k: int = 3) -> tuple[DataFr
     return anchors, fp.select("layer", "parent", "child", F.transform("a", lambda x: x["d"]).alias("fp"))
 
 
-def _descend(frontier: DataFrame, edges: DataFrame, nodes: DataFrame, layer: int) -> DataFrame:
-    """Children, one layer down, of a frontier (q_id, q, node_id): (q_id, q, parent, child,
-    center, radius), each pair of query and child once for each parent."""
-    down = frontier.join(edges.filter(F.col("layer") == layer).select(F.col("parent").alias("node_id"), "child"), "node_id")
+def _children(nodes: DataFrame, edges: DataFrame, layer: int, marks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(parent, child, center, radius, fp) of the edges of one layer; fp is null without marks."""
     own = nodes.filter(F.col("layer") == layer - 1).select(F.col("node_id").alias("child"), "center", "radius")
-    return down.join(own, "child").select("q_id", "q", F.col("node_id").alias("parent"), "child", "center", "radius")
-
-
-def _roots(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    top = small(nodes.filter(F.col("layer") == LARGE))
-    return queries.crossJoin(top).select("q_id", "q", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("parent"), F.col("node_id").alias("child"), "center", "radius")
-
-
-def _verified(frontier: DataFrame, leaves: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
-    found = frontier.join(edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")), "node_id").select("q_id", "q", "id").distinct()
-    return found.join(leaves, "id").select("q_id", "id", F.levenshtein("q", "s").alias("dist")).filter(F.col("dist") <= tol)
+    made = edges.filter(F.col("layer") == layer).select("parent", "child").join(own, "child")
+    if marks is None:
+        return made.withColumn("fp", F.lit(None).cast("array<int>"))
+    return made.join(marks[1].filter(F.col("layer") == layer).select("parent", "child", "fp"), ["parent", "child"], "left")
+
+
+def _top(nodes: DataFrame) -> DataFrame:
+    """The balls of the upper layer as children of one parent, 0."""
+    root = F.lit(0).cast(nodes.schema["node_id"].dataType)
+    return nodes.filter(F.col("layer") == LARGE).select(F.col("node_id").alias("child"), root.alias("parent"), "center", "radius", F.lit(None).cast("array<int>").alias("fp"))
+
+
+def _met(frontier: DataFrame, children: DataFrame, tol: int, pick: str = "all", anchors: DataFrame | None = None) -> DataFrame:
+    """(q, node_id, d, holds), as a table: for each query string at a parent (frontier: q, node_id)
+    the children (parent, child, center, radius, fp) whose balls meet its ball. pick: `all`; `holder`, the
+    first child that holds the query's whole ball for all of them, if there is one; `nearest`,
+    the nearest only. With anchors (parent, i, anchor), children that their fingerprints rule
+    out are left out, where a parent has more children than anchors and one. The queries of a
+    parent go in parts of blocks.SIDE, each with the parent's children in one task, so a query and
+    a child that do not meet are never a row."""
+    kind = children.schema["child"].dataType.simpleString()
+    parts = frontier.groupBy("node_id").agg(F.ceil(F.count("*") / blocks.SIDE).cast("int").alias("_k"))
+    asked = frontier.join(parts, "node_id").select("node_id", "q", F.pmod(F.xxhash64("q"), F.col("_k")).cast("int").alias("_v"))
+    if anchors is None:
+        held = children.withColumn("marks", F.lit(None).cast("array<string>"))
+    else:
+        listed = anchors.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "anchor"))), lambda x: x["anchor"]).alias("marks"))
+        held = children.join(listed, "parent", "left")
+    held = held.join(parts.withColumnRenamed("node_id", "parent"), "parent").withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("q"), right.sort_by("child")
+        strings, centers, radius = left.column("q").to_pylist(), right.column("center").to_pylist(), right.column("radius").to_numpy()
+        marks = right.column("marks")[0].as_py() if len(centers) else None
+        if not strings or not centers:
+            strings = []
+        fits, prints = np.zeros(len(centers), bool), np.zeros((len(centers), 0), np.int64)
+        if marks and len(centers) > len(marks) + 1:
+            listed = right.column("fp").to_pylist()
+            fits = np.array([x is not None and len(x) == len(marks) for x in listed])
+            prints = np.array([x if ok else [0] * len(marks) for x, ok in zip(listed, fits, strict=True)], np.int64)
+        out = {"q": [], "node_id": [], "d": [], "holds": []}
+        step = max(SIDE, (1 << 16) // max(len(centers), 1))
+        for a in range(0, len(strings), step):
+            some = strings[a : a + step]
+            ruled = np.zeros((len(some), len(centers)), bool)
+            if fits.any():
+                for k, own in enumerate(marks):
+                    ruled |= np.abs(edit_distances(own, some)[:, None] - prints[:, k]) > radius + tol
+                ruled &= fits
+            kept = np.flatnonzero(~ruled.all(0))
+            if not len(kept):
+                continue
+            left_in = [centers[j] for j in kept]
+            # The longer side is the one that an array runs over.
+            d = np.vstack([x for _, x in blocks.edit_block(some, left_in)]) if len(left_in) >= len(some) else np.array(list(blocks.edit_rows(left_in, some))).T
+            near = (d <= radius[kept] + tol) & ~ruled[:, kept]
+            holds = near & (d + tol <= radius[kept])
+            if pick == "holder":
+                first = np.arange(len(kept)) == holds.argmax(1)[:, None]
+                near = np.where(holds.any(1)[:, None], first, near)
+            elif pick == "nearest":
+                near &= np.arange(len(kept)) == np.where(near, d, 1 << 30).argmin(1)[:, None]
+            i, j = np.nonzero(near)
+            out["q"].append(left.column("q").take(pa.array(i + a)).combine_chunks())
+            out["node_id"].append(right.column("child").take(pa.array(kept[j])).combine_chunks())
+            out["d"].append(pa.array(d[i, j].astype(np.int32)))
+            out["holds"].append(pa.array(holds[i, j]))
+        if not out["d"]:
+            return pa.table({"q": left.column("q").slice(0, 0), "node_id": right.column("child").slice(0, 0), "d": pa.array([], pa.int32()), "holds": pa.array([], pa.bool_())})
+        return pa.table({c: pa.chunked_array(x) for c, x in out.items()})
+
+    n = 4 * frontier.sparkSession.sparkContext.defaultParallelism
+    sides = asked.repartition(n, "node_id", "_v").groupBy("node_id", "_v"), held.repartition(n, "parent", "_w").groupBy("parent", "_w")
+    return materialise(sides[0].cogroup(sides[1]).applyInArrow(run, f"q string, node_id {kind}, d int, holds boolean"), "met")
+
+
+def _asked(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct query strings at the root; copies share a search."""
+    return queries.filter(F.col("q").isNotNull()).select("q", F.lit(0).cast(nodes.schema["node_id"].dataType).alias("node_id")).distinct()
+
+
+def _opened(met: DataFrame) -> DataFrame:
+    return met.select("q", "node_id").distinct()
+
+
+def _first_holder(met: DataFrame) -> DataFrame:
+    """Of the balls that a query meets, the first that holds its whole ball for all of them."""
+    first = met.groupBy("q").agg(F.min(F.when(F.col("holds"), F.col("node_id"))).alias("_first"))
+    return _opened(met.join(first, "q").filter(F.col("_first").isNull() | (F.col("node_id") == F.col("_first"))))
+
+
+def _verified(queries: DataFrame, opened: DataFrame, leaves: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
+    """(q_id, id, dist) of the leaves of opened balls (q, node_id) within tol. Copies of a leaf and
+    of a query are compared once, and pairs are filtered before they are made distinct."""
+    named = leaves.select("id", "s").filter(F.col("s").isNotNull())
+    held = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")).join(named, "id").select("node_id", "s").distinct()
+    n = 4 * held.sparkSession.sparkContext.defaultParallelism
+    # A stated number of partitions: small rows, but much work, so they are not to be merged.
+    pairs = opened.repartition(n, "node_id").join(held.repartition(n, "node_id"), "node_id")
+    found = pairs.select("q", "s", F.when(F.abs(F.length("q") - F.length("s")) <= tol, F.levenshtein("q", "s", tol)).alias("dist")).filter("dist >= 0").distinct()
+    found = materialise(found, "found")
+    return queries.select("q_id", "q").join(found, "q").join(named, "s").select("q_id", "id", "dist")
+
+
+def _holding(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges above SMALL that a search of all balls needs: a child that some parent holds whole
+    is met whenever that parent is, so it needs no other; all edges of any other child."""
+    own = lambda up, name: nodes.select((F.col("layer") + up).alias("layer"), F.col("node_id").alias(name), F.col("center").alias(f"_{name}"), F.col("radius").alias(f"_r_{name}"))
+    inner = edges.filter(F.col("layer") > SMALL).join(own(0, "parent"), ["layer", "parent"]).join(own(1, "child"), ["layer", "child"])
+    room = F.col("_r_parent") - F.col("_r_child")
+    holder = inner.withColumn("_d", F.levenshtein("_parent", "_child")).groupBy("layer", "child").agg(F.min(F.when(F.col("_d") <= room, F.col("parent"))).alias("_holder"))
+    kept = edges.filter(F.col("layer") > SMALL).join(holder, ["layer", "child"])
+    return materialise(kept.filter(F.col("_holder").isNull() | (F.col("parent") == F.col("_holder"))).select("layer", "parent", "child"), "holding")
 
 
 def search_exhaustive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
     """(q_id, id, dist): all balls that the query's ball meets, level by level."""
-    level = _roots(queries, nodes)
-    for layer in (LARGE, MIDDLE, SMALL):
-        near = level.select("q_id", "q", F.col("child").alias("node_id"), "center", "radius").dropDuplicates(["q_id", "node_id"])
-        near = near.filter(F.levenshtein("q", "center") <= F.col("radius") + tol).select("q_id", "q", "node_id")
-        if layer == SMALL:
-            return _verified(near, leaves, edges, tol)
-        level = _descend(near, edges, nodes, layer)
-    raise AssertionError
-
-
-def _prune(level: DataFrame, near: DataFrame, edges: DataFrame, layer: int, marks: tuple[DataFrame, DataFrame], tol: int) -> DataFrame:
-    """Children of one layer without those whose fingerprints rule them out, where a node has
-    more children than it has anchors and one."""
-    anchors, prints = (m.filter(F.col("layer") == layer).drop("layer") for m in marks)
-    seen = near.join(anchors.withColumnRenamed("parent", "node_id"), "node_id")
-    own = seen.groupBy("q_id", F.col("node_id").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("i", F.levenshtein("q", "anchor").alias("d")))).alias("_qd"))
-    many = edges.filter(F.col("layer") == layer).groupBy("parent").agg(F.count("*").alias("_many"))
-    both = level.join(own.withColumn("_qd", F.transform("_qd", lambda x: x["d"])), ["q_id", "parent"], "left").join(prints, ["parent", "child"], "left").join(many, "parent", "left")
-    out = (F.col("_many") > F.size("_qd") + 1) & anchor_prunable(F.col("_qd"), F.col("fp"), F.col("radius"), tol)
-    return both.filter(~F.coalesce(out, F.lit(False))).select(*level.columns)
+    return _verified(queries, _all_met(queries, nodes, edges, tol)[SMALL], leaves, edges, tol)
+
+
+def _all_met(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> dict[int, DataFrame]:
+    """(q, node_id) by layer: all balls that distinct query strings meet on their way down."""
+    inner = _holding(nodes, edges)
+    out = {LARGE: _opened(_met(_asked(queries, nodes), _top(nodes), tol))}
+    for layer in (LARGE, MIDDLE):
+        out[layer - 1] = _opened(_met(out[layer], _children(nodes, inner, layer), tol))
+    return out
 
 
 def search_adaptive(queries: DataFrame, leaves: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int, marks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """The same result with less work: of the children of one parent, the first ball that
-    holds the query's whole ball stands for all of them, and with marks (anchors and
-    fingerprints) children that they rule out are never compared."""
-    level = _roots(queries, nodes)
-    for layer in (LARGE, MIDDLE, SMALL):
-        d = level.withColumn("d", F.levenshtein("q", "center")).filter(F.col("d") <= F.col("radius") + tol)
-        holds = F.col("d") + tol <= F.col("radius")
-        family = Window.partitionBy("q_id", "parent")
-        d = d.withColumn("first", F.min(F.when(holds, F.col("child"))).over(family))
-        near = d.filter(F.col("first").isNull() | (F.col("child") == F.col("first"))).select("q_id", "q", F.col("child").alias("node_id")).dropDuplicates(["q_id", "node_id"])
-        if layer == SMALL:
-            return _verified(near, leaves, edges, tol)
-        level = _descend(near, edges, nodes, layer)
-        if marks is not None:
-            level = _prune(level, near, edges, layer, marks, tol)
-    raise AssertionError
+    """The same result with less work: the first ball of a layer that holds the query's whole
+    ball stands for all of them, and with marks (anchors and fingerprints) children that they
+    rule out are never compared."""
+    opened = _first_holder(_met(_asked(queries, nodes), _top(nodes), tol, "holder"))
+    for layer in (LARGE, MIDDLE):
+        anchors = None if marks is None else marks[0].filter(F.col("layer") == layer).drop("layer")
+        opened = _first_holder(_met(opened, _children(nodes, edges, layer, marks), tol, "holder", anchors))
+    return _verified(queries, opened, leaves, edges, tol)
 
 
 def prototype_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,14 +312,10 @@ def prototype_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def visits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
     """(layer, visited, total): per layer the nodes that an exhaustive search opens, over all
     queries, and what opening all would be."""
-    level, out = _roots(queries, nodes), None
-    for layer in (LARGE, MIDDLE, SMALL):
-        near = level.select("q_id", "q", F.col("child").alias("node_id"), "center", "radius").dropDuplicates(["q_id", "node_id"])
-        near = near.filter(F.levenshtein("q", "center") <= F.col("radius") + tol).select("q_id", "q", "node_id")
-        row = near.agg(F.lit(layer).alias("layer"), F.count("*").alias("visited"))
+    copies, out = queries.groupBy("q").agg(F.count("*").alias("_n")), None
+    for layer, met in _all_met(queries, nodes, edges, tol).items():
+        row = met.groupBy("q").agg(F.count("*").alias("_m")).join(copies, "q").agg(F.lit(layer).alias("layer"), F.coalesce(F.sum(F.col("_m") * F.col("_n")), F.lit(0)).alias("visited"))
         out = row if out is None else out.unionByName(row)
-        if layer > SMALL:
-            level = _descend(near, edges, nodes, layer)
     every = nodes.groupBy("layer").agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("_q")))
     return out.join(every, "layer").select("layer", "visited", (F.col("n") * F.col("_q")).alias("total"))
 
@@ -234,14 +323,16 @@ def visits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) ->
 def search_greedy(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
     """(q_id, id): the leaves, not verified, of the one small ball reached by always taking
     the nearest ball that meets the query's."""
-    level = _roots(queries, nodes)
-    for layer in (LARGE, MIDDLE, SMALL):
-        d = level.withColumn("d", F.levenshtein("q", "center")).filter(F.col("d") <= F.col("radius") + tol)
-        best = d.groupBy("q_id").agg(F.min(F.struct("d", "child")).alias("m"), F.first("q").alias("q")).select("q_id", "q", F.col("m.child").alias("node_id"))
-        if layer == SMALL:
-            return best.join(edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")), "node_id").select("q_id", "id")
-        level = _descend(best, edges, nodes, layer)
-    raise AssertionError
+    best = _nearest(_met(_asked(queries, nodes), _top(nodes), tol, "nearest"))
+    for layer in (LARGE, MIDDLE):
+        best = _nearest(_met(best, _children(nodes, edges, layer), tol, "nearest"))
+    reached = best.join(edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")), "node_id")
+    return queries.select("q_id", "q").join(reached, "q").select("q_id", "id")
+
+
+def _nearest(met: DataFrame) -> DataFrame:
+    """The nearest ball of each query string, ties by id."""
+    return met.groupBy("q").agg(F.min(F.struct("d", "node_id")).alias("m")).select("q", F.col("m.node_id").alias("node_id"))
 
 
 def search_brute_force(queries: DataFrame, leaves: DataFrame, tol: int) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from nearspan.operators import blocks, pivots, search
+from nearspan.operators import blocks, dag, pivots, search
 from nearspan.operators.dag import edit_distance
 
 
@@ -55,3 +55,26 @@ def test_edit_join_of_a_common_beginning_lists_few_pairs(spark):
     got = {tuple(r) for r in search.edit_join(both, both, 2).collect()}
     d = {s: row for s, row in zip(sorted(names), np.vstack([d for _, d in blocks.edit_block(sorted(names), sorted(names))]), strict=True)}
     assert got == {(a, b, int(d[a][j])) for a in d for j, b in enumerate(sorted(names)) if d[a][j] <= 2}
+
+
+def test_loop_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOOP_PAIRS", 0)
+    monkeypatch.setattr(blocks, "SIDE", 7)
+    left = [(i, s) for i, s in enumerate(["", "ab", "ba", "aab", "zzzz", "abé", None, "ab"] * 3)]
+    right = [(i, s) for i, s in enumerate(["ab", "", None, "abc", "zz", "😀b", "ab"] * 2)]
+    for t in (1, 3):
+        want = sorted((i, j, d) for i, a in left for j, b in right if a is not None and b is not None and (d := edit_distance(a, b)) <= t)
+        got = search.edit_join(spark.createDataFrame(left, "id long, s string"), spark.createDataFrame(right, "id long, s string"), t)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_a_ball_is_met_through_one_parent(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIDE", 5)
+    rows = [(i, f"{i % 60 * 7919 % 1000:04d}") for i in range(90)]
+    leaves, queries = spark.createDataFrame(rows, "id long, s string"), spark.createDataFrame(rows[::4] + [(99, None)], "q_id long, q string")
+    nodes, edges = dag.build(leaves, {1: 1, 2: 2, 3: 3})
+    inner = dag._holding(nodes, edges)
+    assert inner.groupBy("layer", "child").count().filter("count > 1").isEmpty() and inner.count() < edges.filter("layer > 1").count()
+    want = sorted((q, i, d) for q, a in rows[::4] for i, b in rows if (d := edit_distance(a, b)) <= 1)
+    for mode in ("exhaustive", "adaptive", "pruned", "prototype"):
+        assert sorted(tuple(r) for r in dag.search(spark, mode, queries, leaves, nodes, edges, 1).collect()) == want
