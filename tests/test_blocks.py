@@ -1,10 +1,12 @@
 """Blocks of distances, pivots over them, and edit joins over strings with a common beginning."""
 
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from nearspan.functions.vectors import euclidean
 from nearspan.operators import blocks, dag, pivots, search
 from nearspan.operators.dag import edit_distance
 
@@ -68,6 +70,43 @@ def test_loop_by_blocks(spark, monkeypatch):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_vectors_meet_by_tiles(spark, monkeypatch):
+    """Searches of vectors list no pair beyond the results' own, whatever the balls; with copies, ties and a null element."""
+    monkeypatch.setattr(blocks, "LEAST_TILE", 40)
+    monkeypatch.setattr(blocks, "TILE_VECTORS", 30)
+    monkeypatch.setattr(blocks, "PAIRS", 50)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-2, 3)) + rng.random() * (i % 3 > 0) for _ in range(5)]) for i in range(70)]
+    rows += [(100 + i, v) for i, v in rows[:30]] + [(200, [1.0, None, 0.0, 0.0, 0.0]), (201, None)]
+    objects = spark.createDataFrame(rows, "id long, obj array<double>")
+    queries = objects.filter("id % 4 = 0").select(F.col("id").alias("q_id"), F.col("obj").alias("q"))
+    index = pivots.build(objects, 6, euclidean)
+    good = [(i, v) for i, v in rows if v and None not in v]
+
+    def dist(a, b):
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += (x - y) * (x - y)
+        return math.sqrt(total)
+
+    pairs = sorted((q, dist(a, b), i) for q, a in good if q % 4 == 0 for i, b in good)
+    for r in (0.0, 2.5):
+        found = pivots.range_search(queries, *index, euclidean, r)
+        assert sorted((x["q_id"], x["dist"], x["id"]) for x in found.collect()) == [p for p in pairs if p[1] <= r]
+    for k in (1, 3, 200):
+        want = [p for q in sorted({p[0] for p in pairs}) for p in [p for p in pairs if p[0] == q][:k]]
+        found = pivots.knn(queries, *index, euclidean, k)
+        assert "NestedLoopJoin" not in plan(found)
+        assert sorted((x["q_id"], x["dist"], x["id"]) for x in found.collect()) == want
+
+
+def test_vectors_of_several_lengths():
+    a, b = [[1.0, 2.0, 3.0], [1.0], [4.0, None]], [[0.0, 0.0], [2.0, 2.0, 2.0], []]
+    [(_, d)] = list(blocks.vector_block(a, b))
+    want = [[5**0.5, 2**0.5, 0.0], [1.0, 1.0, 0.0], [np.nan, np.nan, 0.0]]
+    assert np.array_equal(d, np.array(want), equal_nan=True)
+
+
 def test_a_ball_is_met_through_one_parent(spark, monkeypatch):
     monkeypatch.setattr(blocks, "SIDE", 5)
     rows = [(i, f"{i % 60 * 7919 % 1000:04d}") for i in range(90)]
