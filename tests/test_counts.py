@@ -21,6 +21,30 @@ def test_counted_candidates_are_those_listed(spark):
         assert "seen" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_candidates_are_never_shuffled(spark, monkeypatch):
+    """Tiles of objects and queries meet in a Cartesian product, and pairs go from it to the result."""
+    monkeypatch.setattr(anchors, "TILE_OBJECTS", 50)
+    monkeypatch.setattr(anchors, "TILE_QUERIES", 4)
+    monkeypatch.setattr(anchors, "PAIRS", 10)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))) for i in range(120)]
+    names = spark.createDataFrame(rows, "pos long, seq string")
+    some = names.filter("pos < 5").select(F.col("pos").alias("anchor_id"), "seq")
+    ranked = anchors.query_anchors(names.filter("pos % 12 = 0").select(F.col("pos").alias("q_id"), F.col("seq").alias("q")), some)
+    for most in (None, 4):
+        index = anchors.build_index(some, names, most)
+        found = anchors.candidates(ranked, index, 1)
+        top = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in top and "Exchange" not in top
+        held = {(r["anchor_id"], r["pos"]): r["dist"] for r in index.collect()}
+        rules = {}
+        for r in ranked.collect():
+            if any(a == r["anchor_id"] and abs(d - r["d"]) <= 1 for (a, _), d in held.items()):
+                rules.setdefault(r["q_id"], []).append((r["anchor_id"], r["d"]))
+        want = sorted((q, i) for q, own in rules.items() for i, _ in rows if all(abs(held.get((a, i), 99) - d) <= 1 for a, d in own))
+        assert want and sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_large_buckets_join_a_text_once(spark):
     from nearspan.llm import neardup
 
