@@ -1,17 +1,20 @@
 """Alignment of two tokenizers over the same bytes, in relational steps.
 
 Both tokenizers cut a text (with one space before it) at every single space that stands between
-two characters other than white space: neither has a token across it. So a text is a sequence
-of parts, and all that holds for a text is the sum over its parts. Alignment runs once for each
+two characters other than white space: neither has a token across it. The same holds between a
+letter and the sign or line end after it, and between a line end and the letter after it, where
+the vocabularies allow it (checked). So a text is a sequence of parts, the bytes of which are the
+text's, and all that holds for a text is the sum over its parts. Alignment runs once for each
 distinct part of the corpus:
 
 1. tokens of a part are exploded with their positions; running sums of their byte lengths
    (window by part) are their ends;
-2. A and B meet in a full equi-join on (part, end). An end that both have is a cut; the running
-   count of cuts numbers the groups;
+2. A and B meet in a full equi-join on (part, end). An end that both have is a cut;
 3. two tokens overlap in exactly one stretch between neighbouring ends, so a row of that join is
    a link: between the next A token and the next B token that end there or later (window). No
-   pairs of a group are listed beyond those that overlap.
+   pairs of a group are listed beyond those that overlap. A part's links, in order, each with the
+   two ids and which of them end there, are all that is kept: the running count of cuts numbers
+   its groups, and their text follows from it.
 
 Documents are packed into blocks of bounded size: a block has its distinct parts once and each
 document as numbers of parts. A block's parts meet their alignments by an equi-join, and what a
@@ -29,12 +32,15 @@ names. Strings of special tokens are plain text.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import re
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import default_path, tokenizer
-from .common import discard, materialise, small_batches, table
+from .common import discard, materialise, small_batches, table, views
 from .tokenfile import encoder
 
 #: Bytes of text in one block; a longer text is a block of its own.
@@ -51,6 +57,10 @@ BLOCK_BYTES = 16 << 20
 SLICE_PARTS = 1 << 18
 #: A single space between two characters that are no white space.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Between a letter and an ASCII sign (no apostrophe) or line end, or a single line end and a letter.
+SIGN = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-/:-@\[-`{-~\n])|(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+#: Bits of a link: whether its A token, its B token ends with it; then the B id, the A id.
+A_ENDS, B_ENDS, B_AT, A_AT = 1, 2, 2, 32
 
 
 def default_pieces() -> str:
@@ -74,28 +84,48 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def tokens_a(self, parts: list[str]) -> list[list[int]]:
-        """Parts that neither begin nor end with white space are encoded together."""
+        """Parts are encoded together, after a space or a line end each, where those stand alone
+        (no other white space at either end)."""
         out: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p and not p[0].isspace() and not p[-1].isspace()]
-        for k in range(0, len(plain), 512):
-            some = plain[k : k + 512]
-            ids = self.a.ids(" " + " ".join([parts[i] for i in some])).tolist()
-            sizes = np.cumsum([len(self.a_bytes[t]) for t in ids])
-            ends = np.cumsum([len(parts[i].encode()) + 1 for i in some])
-            cut = np.searchsorted(sizes, ends)
-            if (sizes[cut] != ends).any():
-                raise ValueError("a token reaches across a space")
-            for i, x, y in zip(some, np.r_[0, cut[:-1] + 1], cut + 1, strict=True):
-                out[i] = ids[x:y]
+        inner = [p[p[:1] == " " :] for p in parts]
+        alone = [p and not p[0].isspace() and not p[-1].isspace() for p in inner]
+        for lead in (" ", "\n"):
+            some_led = [i for i, p in enumerate(parts) if alone[i] and (p[0] == " ") == (lead == " ")]
+            for k in range(0, len(some_led), 512):
+                some = some_led[k : k + 512]
+                ids = self.a.ids(lead + lead.join([inner[i] for i in some])).tolist()
+                sizes = np.cumsum([len(self.a_bytes[t]) for t in ids])
+                ends = np.cumsum([len(inner[i].encode()) + 1 for i in some])
+                cut = np.searchsorted(sizes, ends)
+                first = np.r_[0, cut[:-1] + 1]
+                if (sizes[cut] != ends).any() or (lead == "\n" and any(len(self.a_bytes[ids[x]]) > 1 for x in first)):
+                    raise ValueError("a token reaches across a space")
+                for i, x, y in zip(some, first + (lead == "\n"), cut + 1, strict=True):
+                    out[i] = ids[x:y]
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = self.a.ids(" " + parts[i]).tolist()
+                out[i] = self.a.ids(parts[i]).tolist()
         return out
 
+    def tokens_b(self, parts: list[str]) -> list[list[int]]:
+        """The library adds a space: it takes that of a part, or stands before a line end that is
+        dropped again."""
+        made = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in parts], num_threads=1)
+        return [ids if p[0] == " " else ids[2:] for p, ids in zip(parts, made, strict=True)]
+
+    def signs(self) -> bool:
+        """Whether no token of either tokenizer reaches across SIGN: A's pattern cuts there, and B
+        has no piece with such a place, nor with a line end but that of its byte."""
+        b = self.b
+        own = [b.id_to_piece(i) for i in range(b.get_piece_size()) if not (b.is_control(i) or b.is_unknown(i) or b.is_byte(i) or b.is_unused(i))]
+        if self.a.fast is None or any("\n" in p or SIGN.search(p) for p in own):
+            return False
+        return [b.id_to_piece(i) for i in b.encode("\n")] == ["▁", "<0x0A>"]
+
     def tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
         """A ids, their lengths, B ids, their lengths, whether both give the part's bytes."""
-        for part, a, b in zip(parts, self.tokens_a(parts), self.b.encode(parts, num_threads=1), strict=True):
-            raw = b" " + part.encode()
+        for part, a, b in zip(parts, self.tokens_a(parts), self.tokens_b(parts), strict=True):
+            raw = part.encode()
             x, y = [self.a_bytes[t] for t in a], [self.b_bytes[t] for t in b]
             same = b"".join(x) == raw and b"".join(y) == raw
             yield (a, [len(t) for t in x], b, [len(t) for t in y], True) if same else ([], [], [], [], False)
@@ -107,7 +137,12 @@ def pair(bytes_path: str, pieces_path: str) -> Pair:
     return Pair(bytes_path, pieces_path)
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pieces(part: str, signs: bool) -> list[str]:
+    """The parts of what stands between two single spaces, the first with its space."""
+    return SIGN.split(" " + part) if signs else [" " + part]
+
+
+def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES, signs: bool = False) -> DataFrame:
     """(block, ids, sizes, codes, parts), as a table: the documents of a block, how many parts
     each has, all their parts as numbers (compressed), and the distinct parts by number."""
     small_batches(docs.sparkSession)
@@ -117,24 +152,29 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 32, 0
         zstd = zstandard.ZstdCompressor(level=1)
-        ids, sizes, codes, seen, held = [], [], [], {}, 0
+        ids, sizes, codes, seen, words, held = [], [], [], {}, {}, 0
         id_type = pa.null()
 
         def block() -> pa.RecordBatch:
-            packed = zstd.compress(np.array(codes, "<i4").tobytes())
+            # Byte by byte: numbers of frequent parts are small, so most high bytes are 0.
+            packed = zstd.compress(np.array(codes, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
             columns = [pa.array([task + number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "codes", "parts"])
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [seen.setdefault(p, len(seen)) for p in SPACE.split(text)] if text else []
+                own = []
+                for word in SPACE.split(text) if text else ():
+                    if (made := words.get(word)) is None:
+                        made = words[word] = tuple([seen.setdefault(p, len(seen)) for p in pieces(word, signs)])
+                    own += made
                 ids.append(doc_id), sizes.append(len(own)), codes.extend(own)
                 held += len(text) if text else 1
                 if held >= block_bytes:
                     yield block()
                     number += 1
-                    ids, sizes, codes, seen, held = [], [], [], {}, 0
+                    ids, sizes, codes, seen, words, held = [], [], [], {}, {}, 0
         if ids:
             yield block()
 
@@ -161,59 +201,66 @@ def tokenise(parts: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
 
 
 def links(tokens: DataFrame) -> DataFrame:
-    """(word, end, a_id, b_id, a, b, cut) of each stretch between neighbouring ends: the tokens
-    that end at its end (null where none does), those that cover it, and the number of cuts
-    from it on."""
-    # Dealt before tokens are exploded: all windows and the join keep that dealing.
-    dealt = tokens.filter("same").select("word", "a", "b").repartition("word")
+    """(word, end, a_id, b_id, a, b) of each stretch between neighbouring ends: the tokens that
+    end at its end (null where none does) and those that cover it."""
+    # Dealt before tokens are exploded, a token as one number: all windows and the join keep that dealing.
+    packed = [F.transform(c, lambda t: F.shiftleft(t["id"].cast("long"), 32) + t["size"]).alias(c) for c in ("a", "b")]
+    dealt = tokens.filter("same").select("word", *packed).repartition("word")
     by_place = Window.partitionBy("word").orderBy("pos")
 
     def ends(side: str) -> DataFrame:
-        rows = dealt.select("word", F.posexplode(side).alias("pos", "t")).select("word", "pos", F.col("t.id").alias(f"{side}_id"), "t.size")
-        return rows.select("word", f"{side}_id", F.sum("size").over(by_place).cast("int").alias("end"))
+        rows = dealt.select("word", F.posexplode(side).alias("pos", "t"))
+        size = F.col("t").bitwiseAND((1 << 32) - 1)
+        return rows.select("word", F.shiftright("t", 32).cast("int").alias(f"{side}_id"), F.sum(size).over(by_place).cast("int").alias("end"))
 
     met = ends("a").join(ends("b"), ["word", "end"], "full_outer")
     back = Window.partitionBy("word").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("int")
-    return met.select("*", F.last("a_id", True).over(back).alias("a"), F.last("b_id", True).over(back).alias("b"), F.sum(cut).over(back).alias("cut"))
+    return met.select("*", F.last("a_id", True).over(back).alias("a"), F.last("b_id", True).over(back).alias("b"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """(part, same, n_a, n_b, n_groups, n_links, groups, pairs) of each part, as a table. groups
-    is its groups as text; pairs has a number for each link: A id x 2^32 + B id."""
-
-    def side(c: str):
-        ends = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id")))))
-        return F.transform(ends, lambda e: e["id"].cast("string"))
-
-    groups = links(tokens).groupBy("word", "cut").agg(side("a_id").alias("a"), side("b_id").alias("b"), F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pairs"))
-    text = F.concat(F.array_join("a", ","), F.lit("|"), F.array_join("b", ","))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("cut")).alias("at"), text.alias("text"))))
-    words = groups.groupBy("word").agg(
-        F.sum(F.size("a")).alias("n_a"),
-        F.sum(F.size("b")).alias("n_b"),
-        F.count("*").alias("n_groups"),
-        F.array_join(F.transform(listed, lambda g: g["text"]), ";").alias("groups"),
-        F.flatten(F.collect_list("pairs")).alias("pairs"),
-    )
-    all_words = tokens.select("word", "part", "same").join(words, "word", "left")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "n_groups")]
-    whole = all_words.select("part", "same", *zero, F.coalesce(F.size("pairs"), F.lit(0)).cast("long").alias("n_links"), "groups", "pairs")
+    """(word, part, same, links) of each part, as a table. links has a number for each link, in
+    order: A id x 2^32 + B id x 4 + A_ENDS where the A token ends with it + B_ENDS likewise."""
+    flag = lambda c, bit: F.when(F.col(c).isNotNull(), F.lit(bit)).otherwise(F.lit(0)).cast("long")
+    number = F.shiftleft(F.col("a").cast("long"), A_AT) + F.shiftleft(F.col("b").cast("long"), B_AT) + flag("a_id", A_ENDS) + flag("b_id", B_ENDS)
+    listed = F.sort_array(F.collect_list(F.struct("end", number.alias("link"))))
+    words = links(tokens).groupBy("word").agg(F.transform(listed, lambda x: x["link"]).alias("links"))
+    whole = tokens.select("word", "part", "same").join(words, "word", "left")
     # Both sides of the join of ends are dealt by part already; the dealing by part and end that
-    # Spark would ask for ships every token once more.
-    conf, name = tokens.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(name)
-    conf.set(name, "false")
+    # Spark would ask for ships every token once more. Links come sorted by part, so lists need no
+    # hash table, which Spark would give up for a sort beyond a few parts.
+    conf, own = tokens.sparkSession.conf, {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    before = {k: conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            conf.set(k, v)
         return materialise(whole, "parts")
     finally:
-        conf.set(name, before)
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def _group_text(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of all groups of links (whole parts, one after another), each group with a
+    semicolon after it, as bytes, and where the text of each link's group begins."""
+    a, b = (links & A_ENDS) > 0, (links & B_ENDS) > 0
+    group = np.cumsum(a & b) - (a & b)  # the running count of cuts
+    key = np.concatenate([2 * group[a], 2 * group[b] + 1])
+    order = np.argsort(key, kind="stable")
+    ids = np.concatenate([links[a] >> A_AT, (links[b] & ((1 << A_AT) - 1)) >> B_AT])[order]
+    key = key[order]
+    last = np.r_[key[1:] != key[:-1], True] if len(key) else np.zeros(0, bool)
+    mark = pa.array([",", "|", ";"]).take(pa.array(np.where(last, 1 + (key & 1), 0)))
+    text = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), mark, "")
+    raw, off = views(text)
+    return raw, off[np.searchsorted(key, 2 * group)]
 
 
 def _codes(blocks: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
     """Documents of one block, number of parts of each, and all parts as numbers."""
     row = blocks.slice(0, 1).to_pydict()
-    return row["ids"][0], np.array(row["sizes"][0], np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"][0]), "<i4")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"][0]), np.uint8)
+    return row["ids"][0], np.array(row["sizes"][0], np.int64), np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4")[:, 0]
 
 
 def _sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -225,12 +272,12 @@ def _sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 def documents(blocks: DataFrame, parts: DataFrame) -> DataFrame:
     """As a table, rows of two kinds: for each document block, row, doc_id, n_a, n_b, n_groups,
-    n_links and groups_sha256; for each id pair of a block, pair and docs, the number of its
-    documents that link it."""
+    n_links and groups_sha256; for each id pair of a block, pair (A id x 2^30 + B id) and docs, the
+    number of its documents that link it."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     schema = f"block long, row int, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
     numbers = ["n_a", "n_b", "n_groups", "n_links"]
-    placed = blocks.select(F.col("block").alias("of"), F.posexplode("parts").alias("i", "part")).join(parts, "part").drop("part")
+    placed = blocks.select(F.col("block").alias("of"), F.posexplode("parts").alias("i", "part")).join(parts, "part").drop("part", "word")
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
         ids, sizes, codes = _codes(own)
@@ -240,15 +287,21 @@ def documents(blocks: DataFrame, parts: DataFrame) -> DataFrame:
         doc = np.repeat(np.arange(n), sizes)
         same = words["same"].to_numpy(zero_copy_only=False)
         good = (sizes > 0) & (_sum(~same[codes], doc, n) == 0)
-        made = [np.where(good, _sum(words[c].to_numpy()[codes], doc, n), 0) for c in numbers]
-        groups, at, sha = words["groups"].to_pylist(), np.r_[0, np.cumsum(sizes)], []
-        for d in range(n):
-            sha.append(hashlib.sha256(";".join([groups[c] for c in codes[at[d] : at[d + 1]]]).encode()).hexdigest() if good[d] else "")
-        lists = words["pairs"].combine_chunks()
+        lists = words["links"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        count = np.array(lists.value_lengths().fill_null(0))
+        count = np.array(lists.value_lengths().fill_null(0), np.int64)
         first = np.r_[0, np.cumsum(count)[:-1]]
-        pairs, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        links = lists.flatten().to_numpy()
+        of, a_ends, b_ends = np.repeat(np.arange(len(count)), count), (links & A_ENDS) > 0, (links & B_ENDS) > 0
+        each = [*(np.bincount(of[x], minlength=len(count)) for x in (a_ends, b_ends, a_ends & b_ends)), count]
+        made = [np.where(good, _sum(x[codes], doc, n), 0) for x in each]
+        raw, begin = _group_text(links)
+        begin, raw = np.r_[begin, len(raw)][np.r_[first, len(links)]].tolist(), raw.tobytes()
+        text, at, sha = [raw[x:y] for x, y in zip(begin, begin[1:], strict=False)], np.r_[0, np.cumsum(sizes)].tolist(), []
+        for d in range(n):
+            whole = b"".join([text[c] for c in codes[at[d] : at[d + 1]].tolist()]) if good[d] else b""
+            sha.append(hashlib.sha256(whole[:-1]).hexdigest() if good[d] else "")
+        pairs, number = np.unique(links >> B_AT, return_inverse=True)
         docs = np.zeros(len(pairs), np.int64)
         a = 0
         while a < n:
@@ -284,14 +337,16 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     """(pair, docs, best) over the corpus, as a table. The pairs of an A id are bounded by B's
     vocabulary."""
     counts = rows.filter(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("docs").alias("docs"))
-    most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 32)))
+    most = F.max("docs").over(Window.partitionBy(F.shiftright("pair", A_AT - B_AT)))
     return materialise(counts.select("pair", "docs", (F.col("docs") == most).alias("best")), "pair-counts")
 
 
 def link_sums(blocks: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
     """(block, row, n_best, count_sum) of each document."""
-    each = parts.select("part", F.explode("pairs").alias("pair")).join(counts, "pair")
-    values = materialise(each.groupBy("part").agg(F.sum("docs").alias("total"), F.sum(F.col("best").cast("long")).alias("best")), "part-sums")
+    each = parts.select("word", F.explode(F.transform("links", lambda x: F.shiftright(x, B_AT))).alias("pair")).join(counts, "pair")
+    sums = each.groupBy("word").agg(F.sum("docs").alias("total"), F.sum(F.col("best").cast("long")).alias("best"))
+    values = materialise(parts.select("word", "part").join(sums, "word").drop("word"), "part-sums")
+    _clear()
     placed = blocks.select(F.col("block").alias("of"), F.posexplode("parts").alias("i", "part")).join(values, "part").drop("part")
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
@@ -309,14 +364,18 @@ def link_sums(blocks: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFra
 
 def _clear(*tables: DataFrame) -> None:
     """Removes tables that no later step reads, and the shuffle files of the steps that are
-    done: Spark deletes those when the driver's collector finds their plans unused."""
+    done: Spark deletes those when the driver's collector finds their plans unused, which those
+    of the last step are only a moment after it."""
     discard(*tables)
-    SparkSession.getActiveSession()._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def alignment(docs: DataFrame, bytes_path: str, pieces_path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    blocks = pack(docs, block_bytes)
+    blocks = pack(docs, block_bytes, pair(bytes_path, pieces_path).signs())
     tokens = tokenise(blocks.select(F.explode("parts").alias("part")).distinct(), bytes_path, pieces_path)
     _clear()
     parts = align(tokens)

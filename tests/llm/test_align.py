@@ -109,3 +109,27 @@ def test_links_of_long_parts_are_as_many_as_stretches(spark):
 def test_empty_table_and_clashing_names(none, clash, docs):
     assert run(none) == []
     assert run(clash) == run(docs)
+
+
+def test_parts_are_cut_at_signs_and_lines():
+    assert align.pair(default_path(), align.default_pieces()).signs()
+    assert align.pieces("der.\nEnkel,\n\nx", True) == [" der", ".\n", "Enkel", ",\n\nx"]
+    assert align.pieces("don't.\nEnkel", False) == [" don't.\nEnkel"]
+
+
+def test_a_word_is_aligned_once_whatever_sign_follows(spark):
+    rows = [(i, "word" + sign + "\nline word") for i, sign in enumerate([".", ",", "%%", "?!", ""])]
+    blocks = align.pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), signs=True)
+    parts = blocks.collect()[0]["parts"]
+    assert sorted(parts) == sorted([" word", "line", ".\n", ",\n", "%%\n", "?!\n", "\n"])
+    tokens = align.tokenise(spark.createDataFrame([(p,) for p in parts], "part string"), default_path(), align.default_pieces())
+    made = align.align(tokens).collect()
+    assert sorted(r["part"] for r in made) == sorted(parts) and all(r["same"] for r in made)
+    assert made[0].asDict().keys() == {"word", "part", "same", "links"}
+
+
+def test_signs_between_letters_of_many_kinds(spark):
+    rng = random.Random(5)
+    alphabet = "aBéßøж²½1'.,;_`«\n\n  "
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
+    assert run(spark.createDataFrame(rows, SCHEMA).repartition(2)) == brute(rows)
