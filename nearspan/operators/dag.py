@@ -8,6 +8,8 @@ sequential loop whatever the size of the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,15 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import discard, materialise, number_rows
+from ..sources.tables import discard, materialise, number_rows, spread
 from . import blocks
-from .search import edit_join
+from .search import edit_join, shuffled, small
 
 SMALL, MIDDLE, LARGE = 1, 2, 3
 #: Ball radii of the three layers.
 RADII = {SMALL: 5, MIDDLE: 15, LARGE: 30}
 #: Strings of the first batch of leader selection, and those that are looked at side by side.
 START, SIDE = 8192, 256
+#: Times START that a batch may have where leaders are few.
+LONGER = 16
 #: Centers that strings meet in blocks, without an index.
 CENTERS = 8192
 #: Strings of a group on one side of a tile, when all its pairs are compared.
@@ -57,20 +61,41 @@ def leaders(strings: DataFrame, radius: float, start: int = START) -> DataFrame:
     """(id, s) of the leaders: in order of id, each string farther than radius from every leader
     before it. Of equal strings only the first can be one.
 
-    Strings go through in batches by order of id, each as long as all before it. The leaders of
-    a batch are found in rounds over its near pairs; then all later strings near one of them are
-    decided and leave. So where strings lie close together few are left to be compared, and
-    where they do not, few pairs are near."""
+    Strings go through in batches by order of id; once a batch has its leaders, all later strings
+    near one of them are decided and leave. Where leaders are a small share of a batch, the
+    next one is as many undecided strings as a task compares with them in the time that START
+    far strings take. Where they are not, few pairs are near: a batch is as long as all before it
+    and is settled in rounds over its near pairs."""
     left = number_rows(strings.groupBy("s").agg(F.min("id").alias("id")), ["id"], "_n").select("id", "s", "_n")
-    n, end, chosen = left.count(), start, left.select("id", "s").limit(0)
+    n, end, size, chosen = left.count(), start, start, left.select("id", "s").limit(0)
     while True:
-        new = _independent(left.filter(F.col("_n") < end).select("id", "s"), radius, start)
+        batch = left.filter(F.col("_n") < end)
+        new = _independent(batch.select("id", "s"), radius, size)
         chosen = chosen.unionByName(new)
         if end >= n:
             return chosen
-        rest = left.filter(F.col("_n") >= end)
-        near = _pairs(rest, new, int(radius)).select(F.col("l_id").alias("id")).distinct()
-        left, end = materialise(rest.join(near, "id", "left_anti"), "undecided"), 2 * end
+        rest, found, looked = left.filter(F.col("_n") >= end), new.count(), batch.count()
+        if found <= CENTERS:
+            left = materialise(_far(rest, [row["s"] for row in new.select("s").collect()], radius), "undecided")
+        else:
+            near = _pairs(rest, new, int(radius)).select(F.col("l_id").alias("id")).distinct()
+            left = materialise(rest.join(shuffled(near), "id", "left_anti"), "undecided")
+        size = min(int(start * (looked / max(found, 1)) ** 0.5), LONGER * start)
+        if size >= 2 * start:
+            last = left.orderBy("_n").limit(size).agg(F.max("_n")).first()[0]
+            end = n if last is None else last + 1
+        else:
+            size, end = start, 2 * end
+
+
+def _far(strings: DataFrame, centers: list[str], radius: float) -> DataFrame:
+    """The strings (s, ...) that are near none of the centers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~blocks.near_any(centers, batch.column("s").to_pylist(), radius)))
+
+    return spread(strings).mapInArrow(run, strings.schema)
 
 
 def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
@@ -89,9 +114,8 @@ def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
                     if not (edit_distances(s, [c for _, c in new]) <= radius).any():
                         new.append((i, s))
                 kept += new
-                left = left.iloc[SIDE:].sort_values("s")
-                near = [(d <= radius).any(1) for _, d in blocks.edit_block(left["s"].tolist(), [c for _, c in new])]
-                left = left[~np.concatenate(near)].sort_values("id") if near else left
+                left = left.iloc[SIDE:]
+                left = left[~blocks.near_any([c for _, c in new], left["s"].tolist(), radius)]
             return pd.DataFrame(kept, columns=["id", "s"])
 
         return materialise(strings.groupBy().applyInPandas(pick, strings.select("id", "s").schema), "leaders")
@@ -99,13 +123,13 @@ def _independent(strings: DataFrame, radius: float, most: int) -> DataFrame:
     pairs = materialise(near, "near")
     left, chosen = strings.select("id"), None
     while True:
-        new = materialise(left.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        new = materialise(left.join(shuffled(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_anti"), "leaders")
         chosen = new if chosen is None else chosen.unionByName(new)
-        gone = pairs.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        left = materialise(left.join(new, "id", "left_anti").join(gone, "id", "left_anti"), "undecided")
+        gone = pairs.join(shuffled(new.select(F.col("id").alias("a"))), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        left = materialise(left.join(shuffled(new), "id", "left_anti").join(shuffled(gone), "id", "left_anti"), "undecided")
         if left.isEmpty():
-            return materialise(strings.join(chosen, "id").select("id", "s"), "leaders")
-        rest = pairs.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi")
+            return materialise(strings.join(shuffled(chosen), "id").select("id", "s"), "leaders")
+        rest = pairs.join(shuffled(left.select(F.col("id").alias("a"))), "a", "left_semi").join(shuffled(left.select(F.col("id").alias("b"))), "b", "left_semi")
         rest = materialise(rest.select("a", "b"), "near")
         discard(pairs)
         pairs = rest
@@ -129,7 +153,7 @@ def build(leaves: DataFrame, radii: dict[int, int] = RADII) -> tuple[DataFrame,
         centers = layers[low]
         first = leaders(centers, radii[high] - radii[low])
         covered = _pairs(centers, first, radii[high] - radii[low]).select(F.col("l_id").alias("id")).distinct()
-        above = first.unionByName(centers.join(covered, "id", "left_anti")).dropDuplicates(["id"])
+        above = first.unionByName(centers.join(shuffled(covered), "id", "left_anti")).dropDuplicates(["id"])
         layers[high] = above = materialise(above, "centers")
         met = _pairs(centers, above, radii[high] + radii[low])
         edges.append(met.select(F.lit(high).alias("layer"), F.col("r_id").alias("parent"), F.col("l_id").alias("child")))
@@ -138,31 +162,31 @@ def build(leaves: DataFrame, radii: dict[int, int] = RADII) -> tuple[DataFrame,
         part = df.select(F.lit(layer).alias("layer"), F.col("id").alias("node_id"), F.col("s").alias("center"), F.lit(radii[layer]).alias("radius"))
         nodes = part if nodes is None else nodes.unionByName(part)
     every = materialise(edges[0].unionByName(edges[1]).unionByName(edges[2]), "edges")
-    return nodes.join(every.select("layer", F.col("parent").alias("node_id")).distinct(), ["layer", "node_id"], "left_semi"), every
+    return nodes.join(shuffled(every.select("layer", F.col("parent").alias("node_id")).distinct()), ["layer", "node_id"], "left_semi"), every
 
 
 def fingerprints(nodes: DataFrame, edges: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Routing anchors (parent, i, anchor) of every inner node, chosen by farthest-point
     sampling from the least child id, and fingerprints (parent, child, fp) of its children."""
-    children = edges.filter(F.col("layer") > SMALL).join(nodes.select((F.col("layer") + 1).alias("layer"), F.col("node_id").alias("child"), F.col("center").alias("s")), ["layer", "child"])
+    children = edges.filter(F.col("layer") > SMALL).join(small(nodes.select((F.col("layer") + 1).alias("layer"), F.col("node_id").alias("child"), F.col("center").alias("s"))), ["layer", "child"])
     picked = children.groupBy("layer", "parent").agg(F.min_by("s", "child").alias("anchor")).withColumn("i", F.lit(0))
     anchors = picked
     for i in range(1, k):
-        far = children.join(anchors, ["layer", "parent"]).withColumn("d", F.levenshtein("s", "anchor"))
+        far = children.join(shuffled(anchors), ["layer", "parent"]).withColumn("d", F.levenshtein("s", "anchor"))
         least = far.groupBy("layer", "parent", "child").agg(F.min("d").alias("d"), F.first("s").alias("s"))
         nxt = least.filter("d > 0").groupBy("layer", "parent").agg(F.max_by("s", F.struct("d", -F.col("child"))).alias("anchor")).withColumn("i", F.lit(i))
         anchors = anchors.unionByName(nxt)
-    fp = children.join(anchors, ["layer", "parent"]).groupBy("layer", "parent", "child").agg(F.array_sort(F.collect_list(F.struct("i", F.levenshtein("s", "anchor").alias("d")))).alias("a"))
+    fp = children.join(shuffled(anchors), ["layer", "parent"]).groupBy("layer", "parent", "child").agg(F.array_sort(F.collect_list(F.struct("i", F.levenshtein("s", "anchor").alias("d")))).alias("a"))
     return anchors, fp.select("layer", "parent", "child", F.transform("a", lambda x: x["d"]).alias("fp"))
 
 
 def _children(nodes: DataFrame, edges: DataFrame, layer: int, marks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(parent, child, center, radius, fp) of the edges of one layer; fp is null without marks."""
     own = nodes.filter(F.col("layer") == layer - 1).select(F.col("node_id").alias("child"), "center", "radius")
-    made = edges.filter(F.col("layer") == layer).select("parent", "child").join(own, "child")
+    made = edges.filter(F.col("layer") == layer).select("parent", "child").join(small(own), "child")
     if marks is None:
         return made.withColumn("fp", F.lit(None).cast("array<int>"))
-    return made.join(marks[1].filter(F.col("layer") == layer).select("parent", "child", "fp"), ["parent", "child"], "left")
+    return made.join(shuffled(marks[1].filter(F.col("layer") == layer).select("parent", "child", "fp")), ["parent", "child"], "left")
 
 
 def _top(nodes: DataFrame) -> DataFrame:
@@ -181,13 +205,13 @@ def _met(frontier: DataFrame, children: DataFrame, tol: int, pick: str = "all",
     a child that do not meet are never a row."""
     kind = children.schema["child"].dataType.simpleString()
     parts = frontier.groupBy("node_id").agg(F.ceil(F.count("*") / blocks.SIDE).cast("int").alias("_k"))
-    asked = frontier.join(parts, "node_id").select("node_id", "q", F.pmod(F.xxhash64("q"), F.col("_k")).cast("int").alias("_v"))
+    asked = frontier.join(shuffled(parts), "node_id").select("node_id", "q", F.pmod(F.xxhash64("q"), F.col("_k")).cast("int").alias("_v"))
     if anchors is None:
         held = children.withColumn("marks", F.lit(None).cast("array<string>"))
     else:
         listed = anchors.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "anchor"))), lambda x: x["anchor"]).alias("marks"))
-        held = children.join(listed, "parent", "left")
-    held = held.join(parts.withColumnRenamed("node_id", "parent"), "parent").withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        held = children.join(shuffled(listed), "parent", "left")
+    held = held.join(shuffled(parts.withColumnRenamed("node_id", "parent")), "parent").withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by("q"), right.sort_by("child")
@@ -248,30 +272,30 @@ def _opened(met: DataFrame) -> DataFrame:
 def _first_holder(met: DataFrame) -> DataFrame:
     """Of the balls that a query meets, the first that holds its whole ball for all of them."""
     first = met.groupBy("q").agg(F.min(F.when(F.col("holds"), F.col("node_id"))).alias("_first"))
-    return _opened(met.join(first, "q").filter(F.col("_first").isNull() | (F.col("node_id") == F.col("_first"))))
+    return _opened(met.join(shuffled(first), "q").filter(F.col("_first").isNull() | (F.col("node_id") == F.col("_first"))))
 
 
 def _verified(queries: DataFrame, opened: DataFrame, leaves: DataFrame, edges: DataFrame, tol: int) -> DataFrame:
     """(q_id, id, dist) of the leaves of opened balls (q, node_id) within tol. Copies of a leaf and
     of a query are compared once, and pairs are filtered before they are made distinct."""
     named = leaves.select("id", "s").filter(F.col("s").isNotNull())
-    held = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")).join(named, "id").select("node_id", "s").distinct()
+    held = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")).join(shuffled(named), "id").select("node_id", "s").distinct()
     n = 4 * held.sparkSession.sparkContext.defaultParallelism
     # A stated number of partitions: small rows, but much work, so they are not to be merged.
-    pairs = opened.repartition(n, "node_id").join(held.repartition(n, "node_id"), "node_id")
+    pairs = opened.repartition(n, "node_id").join(shuffled(held.repartition(n, "node_id")), "node_id")
     found = pairs.select("q", "s", F.when(F.abs(F.length("q") - F.length("s")) <= tol, F.levenshtein("q", "s", tol)).alias("dist")).filter("dist >= 0").distinct()
     found = materialise(found, "found")
-    return queries.select("q_id", "q").join(found, "q").join(named, "s").select("q_id", "id", "dist")
+    return queries.select("q_id", "q").join(shuffled(found), "q").join(shuffled(named), "s").select("q_id", "id", "dist")
 
 
 def _holding(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges above SMALL that a search of all balls needs: a child that some parent holds whole
     is met whenever that parent is, so it needs no other; all edges of any other child."""
     own = lambda up, name: nodes.select((F.col("layer") + up).alias("layer"), F.col("node_id").alias(name), F.col("center").alias(f"_{name}"), F.col("radius").alias(f"_r_{name}"))
-    inner = edges.filter(F.col("layer") > SMALL).join(own(0, "parent"), ["layer", "parent"]).join(own(1, "child"), ["layer", "child"])
+    inner = edges.filter(F.col("layer") > SMALL).join(small(own(0, "parent")), ["layer", "parent"]).join(small(own(1, "child")), ["layer", "child"])
     room = F.col("_r_parent") - F.col("_r_child")
     holder = inner.withColumn("_d", F.levenshtein("_parent", "_child")).groupBy("layer", "child").agg(F.min(F.when(F.col("_d") <= room, F.col("parent"))).alias("_holder"))
-    kept = edges.filter(F.col("layer") > SMALL).join(holder, ["layer", "child"])
+    kept = edges.filter(F.col("layer") > SMALL).join(shuffled(holder), ["layer", "child"])
     return materialise(kept.filter(F.col("_holder").isNull() | (F.col("parent") == F.col("_holder"))).select("layer", "parent", "child"), "holding")
 
 
@@ -304,7 +328,7 @@ def prototype_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Only the edges whose child's center lies in the parent's ball. A child's ball may then
     stick out of its parent, so a search over these edges can miss results."""
     own = lambda up, name: nodes.select((F.col("layer") + up).alias("layer"), F.col("node_id").alias(name), F.col("center").alias(f"_{name}"), F.col("radius").alias(f"_r_{name}"))
-    inner = edges.filter(F.col("layer") > SMALL).join(own(0, "parent"), ["layer", "parent"]).join(own(1, "child"), ["layer", "child"])
+    inner = edges.filter(F.col("layer") > SMALL).join(small(own(0, "parent")), ["layer", "parent"]).join(small(own(1, "child")), ["layer", "child"])
     held = inner.filter(F.levenshtein("_parent", "_child") <= F.col("_r_parent")).select("layer", "parent", "child")
     return edges.filter(F.col("layer") == SMALL).select("layer", "parent", "child").unionByName(held)
 
@@ -314,7 +338,7 @@ def visits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: int) ->
     queries, and what opening all would be."""
     copies, out = queries.groupBy("q").agg(F.count("*").alias("_n")), None
     for layer, met in _all_met(queries, nodes, edges, tol).items():
-        row = met.groupBy("q").agg(F.count("*").alias("_m")).join(copies, "q").agg(F.lit(layer).alias("layer"), F.coalesce(F.sum(F.col("_m") * F.col("_n")), F.lit(0)).alias("visited"))
+        row = met.groupBy("q").agg(F.count("*").alias("_m")).join(shuffled(copies), "q").agg(F.lit(layer).alias("layer"), F.coalesce(F.sum(F.col("_m") * F.col("_n")), F.lit(0)).alias("visited"))
         out = row if out is None else out.unionByName(row)
     every = nodes.groupBy("layer").agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("_q")))
     return out.join(every, "layer").select("layer", "visited", (F.col("n") * F.col("_q")).alias("total"))
@@ -326,8 +350,8 @@ def search_greedy(queries: DataFrame, nodes: DataFrame, edges: DataFrame, tol: i
     best = _nearest(_met(_asked(queries, nodes), _top(nodes), tol, "nearest"))
     for layer in (LARGE, MIDDLE):
         best = _nearest(_met(best, _children(nodes, edges, layer), tol, "nearest"))
-    reached = best.join(edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id")), "node_id")
-    return queries.select("q_id", "q").join(reached, "q").select("q_id", "id")
+    reached = best.join(shuffled(edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("node_id"), F.col("child").alias("id"))), "node_id")
+    return queries.select("q_id", "q").join(shuffled(reached), "q").select("q_id", "id")
 
 
 def _nearest(met: DataFrame) -> DataFrame:
@@ -367,7 +391,7 @@ def pair_stats(rows: DataFrame) -> DataFrame:
     (grp, id, s). The strings of a group are dealt into parts of about TILE, and each two parts
     meet in one task, which gives four numbers: no pair leaves it."""
     parts = rows.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
-    dealt = rows.join(parts, "grp").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    dealt = rows.join(shuffled(parts), "grp").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda v: F.struct(F.least(v, F.col("_own")).alias("u"), F.greatest(v, F.col("_own")).alias("v")))
     placed = dealt.select("grp", "_own", "id", "s", F.explode(meets).alias("t")).select("grp", "t.u", "t.v", "_own", "id", "s")
     kind = rows.schema["grp"].dataType.simpleString()
@@ -391,7 +415,7 @@ def pair_stats(rows: DataFrame) -> DataFrame:
 
 def intra_class(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """(parent, n, least, mean, most) of the distances between any two leaves of a small ball."""
-    own = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("grp"), F.col("child").alias("id")).join(leaves, "id")
+    own = edges.filter(F.col("layer") == SMALL).select(F.col("parent").alias("grp"), F.col("child").alias("id")).join(shuffled(leaves), "id")
     return pair_stats(own).withColumnRenamed("grp", "parent")
 
 

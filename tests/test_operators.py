@@ -365,3 +365,24 @@ def test_sides_that_look_small_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in joins(near)
     pairs = {(a["id"], b["id"], d) for a in asked.collect() for b in names.collect() if (d := dag.edit_distance(a["s"], b["s"])) <= 2}
     assert {tuple(x) for x in found.collect()} == pairs == {tuple(x) for x in near.select("q_id", "id", "dist").collect()}
+
+
+def leader_loop(rows, radius):
+    found = []
+    for i, s in sorted(rows):
+        if not found or not (dag.edit_distances(s, [c for _, c in found]) <= radius).any():
+            found.append((i, s))
+    return found
+
+
+def test_leaders_of_close_strings_need_no_rounds(spark, monkeypatch):
+    close = [(i, f"Customer#{i:09d}") for i in range(0, 1200)]
+    monkeypatch.setattr(dag, "edit_join", None)
+    assert sorted(map(tuple, dag.leaders(spark.createDataFrame(close, "id long, s string"), 2, 64).collect())) == leader_loop(close, 2)
+
+
+def test_leaders_of_far_strings(spark, monkeypatch):
+    rng = random.Random(5)
+    far = [(i, "".join(rng.choice("ab" if i % 400 < 100 else "abcdefgh\xe9") for _ in range(rng.randrange(9)))) for i in range(800)]
+    monkeypatch.setattr(dag, "CENTERS", 20)
+    assert sorted(map(tuple, dag.leaders(spark.createDataFrame(far, "id long, s string"), 2, 64).collect())) == leader_loop(far, 2)
