@@ -30,8 +30,8 @@ START, SIDE = 8192, 256
 LONGER = 16
 #: Centers that strings meet in blocks, without an index.
 CENTERS = 8192
-#: Strings of a group on one side of a tile, when all its pairs are compared.
-TILE = 500
+#: Distinct strings of a group on one side of a tile, when all its pairs are compared.
+TILE = 2048
 
 
 def edit_distances(a: str, others: list[str]) -> np.ndarray:
@@ -388,24 +388,34 @@ def statistics(nodes: DataFrame, edges: DataFrame, leaves: DataFrame) -> DataFra
 
 def pair_stats(rows: DataFrame) -> DataFrame:
     """(grp, n, least, mean, most) of the distances between any two strings of a group; rows:
-    (grp, id, s). The strings of a group are dealt into parts of about TILE, and each two parts
-    meet in one task, which gives four numbers: no pair leaves it."""
-    parts = rows.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
-    dealt = rows.join(shuffled(parts), "grp").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
+    (grp, id, s). Copies of a string are one with a count. The strings of a group are dealt into
+    parts of about TILE, and each two parts meet in one task, which gives four numbers: no pair
+    leaves it."""
+    held = rows.groupBy("grp", "s").agg(F.count("*").alias("c"))
+    parts = held.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_k"))
+    dealt = held.join(shuffled(parts), "grp").withColumn("_own", F.pmod(F.xxhash64("s"), F.col("_k")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda v: F.struct(F.least(v, F.col("_own")).alias("u"), F.greatest(v, F.col("_own")).alias("v")))
-    placed = dealt.select("grp", "_own", "id", "s", F.explode(meets).alias("t")).select("grp", "t.u", "t.v", "_own", "id", "s")
+    placed = dealt.select("grp", "_own", "s", "c", F.explode(meets).alias("t")).select("grp", "t.u", "t.v", "_own", "s", "c")
     kind = rows.schema["grp"].dataType.simpleString()
 
     def tile(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = part["u"].iloc[0], part["v"].iloc[0]
-        held = part.loc[part["_own"] == u, "s"].tolist()
-        other = held if u == v else part.loc[part["_own"] == v, "s"].tolist()
+        part, u, v = part.sort_values("s"), part["u"].iloc[0], part["v"].iloc[0]
+        a, b = part[part["_own"] == u], part[part["_own"] == v]
+        strings, others, c, c_others = a["s"].tolist(), b["s"].tolist(), a["c"].to_numpy(), b["c"].to_numpy()
         n, total, least, most = 0, 0, None, None
-        for i, s in enumerate(held):
-            d = edit_distances(s, other[i + 1 :] if u == v else other)
-            if len(d):
-                n, total = n + len(d), total + int(d.sum())
-                least, most = min(int(d.min()), d.max() if least is None else least), max(int(d.max()), -1 if most is None else most)
+        if u == v and (c > 1).any():
+            n, least, most = int((c * (c - 1) // 2).sum()), 0, 0
+        for at in range(0, len(strings), SIDE):
+            first = at if u == v else 0
+            for own, d in blocks.edit_block(strings[at : at + SIDE], others[first:]):
+                counts = c[at : at + SIDE][own, None] * c_others[first:]
+                if u == v:
+                    # Of the strings of one part those behind each one.
+                    counts *= np.arange(d.shape[1]) > np.arange(own.start, own.stop)[:, None]
+                if counts.any():
+                    some = d[counts > 0]
+                    n, total = n + int(counts.sum()), total + int((counts * d).sum())
+                    least, most = min(int(some.min()), int(some.max()) if least is None else least), max(int(some.max()), -1 if most is None else most)
         return pd.DataFrame({"grp": [part["grp"].iloc[0]], "n": [n], "total": [total], "least": pd.array([least], "Int64"), "most": pd.array([most], "Int64")})
 
     tiles = placed.groupBy("grp", "u", "v").applyInPandas(tile, f"grp {kind}, n long, total long, least long, most long")

@@ -1,6 +1,7 @@
 """Column functions, files and operators on hand-made inputs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -386,3 +387,18 @@ def test_leaders_of_far_strings(spark, monkeypatch):
     far = [(i, "".join(rng.choice("ab" if i % 400 < 100 else "abcdefgh\xe9") for _ in range(rng.randrange(9)))) for i in range(800)]
     monkeypatch.setattr(dag, "CENTERS", 20)
     assert sorted(map(tuple, dag.leaders(spark.createDataFrame(far, "id long, s string"), 2, 64).collect())) == leader_loop(far, 2)
+
+
+def test_distances_within_groups_compare_copies_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(g, i, "".join(rng.choice("ab\xe9") for _ in range(rng.randrange(6)))) for g in range(4) for i in range((1, 2, 30, 700)[g])]
+    df = spark.createDataFrame(rows, "grp int, id int, s string")
+    monkeypatch.setattr(dag, "TILE", 100)
+    got = {r["grp"]: (r["n"], r["least"], round(r["mean"], 9), r["most"]) for r in dag.pair_stats(df).collect()}
+    expected = {}
+    for g in range(1, 4):
+        held = [s for x, _, s in rows if x == g]
+        d = np.concatenate([dag.edit_distances(s, held[i + 1 :]) for i, s in enumerate(held)])
+        expected[g] = (len(d), d.min(), round(d.mean(), 9), d.max())
+    assert got == expected
+    assert re.search(r"Aggregate \[grp#\w+, s#\w+\]", dag.pair_stats(df)._jdf.queryExecution().optimizedPlan().toString())
