@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearspan import registry
 from nearspan.config import Config
 from nearspan.functions import strings, vectors
 from nearspan.operators import anchors, cluster, dag, evaluate, generate, pivots, search
@@ -402,3 +403,7 @@ def test_distances_within_groups_compare_copies_once(spark, monkeypatch):
         expected[g] = (len(d), d.min(), round(d.mean(), 9), d.max())
     assert got == expected
     assert re.search(r"Aggregate \[grp#\w+, s#\w+\]", dag.pair_stats(df)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_methods_are_counted_without_all_pairs(spark):
+    assert "NestedLoop" not in joins(registry.method_results(spark, "/root/testdata/sf0.01"))
